@@ -14,13 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from veilwork.operators.audit import audit_log, audit_redactions, scan_summaries
+from veilwork.operators.audit import audit_events
 from veilwork.operators.detect import explode_detections
 from veilwork.operators.dictionary import mask_with_pseudonyms, pseudonym_dictionary
 from veilwork.operators.messages import mask_messages
 from veilwork.plans.scan import mask, scan
 from veilwork.policy import Policy
-from veilwork.session import materialized
 
 DICTIONARY_SCHEMA = (
     "entity_type string, text string, idx bigint, fake string, n bigint, batch_id bigint"
@@ -111,17 +110,10 @@ def stream_audit(
     """Append the audit events of a stream as JSON lines, a folder per batch."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        # both kinds of events come from one scan of the batch
-        masked = materialized(
-            mask(scan(batch, policy, key), policy).select(
-                *key, "source", "scanned", "detections", "redactions"
-            )
+        masked = mask(scan(batch, policy, key), policy)
+        audit_events(masked, timestamp, dry_run=policy.dry_run).write.mode("overwrite").json(
+            batch_folder(path, batch_id)
         )
-        events = audit_log(
-            audit_redactions(masked, timestamp, policy.dry_run),
-            scan_summaries(masked, timestamp, dry_run=policy.dry_run),
-        )
-        events.write.mode("overwrite").json(batch_folder(path, batch_id))
 
     return _start(texts.writeStream.foreachBatch(each), checkpoint)
 
