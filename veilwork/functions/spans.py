@@ -1,8 +1,10 @@
 """Match spans of the structured types, as one nested column per text.
 
 Spark finds matches but does not say where.  The gaps between the matches come
-from ``split`` on the same pattern, so the offsets are running sums over gap and
-match lengths, counted in code points.
+from replacing each match by a mark and splitting at the marks, so the offsets
+are running sums over gap and match lengths, counted in code points.  Splitting
+at a single character needs no pattern; a text that holds the mark itself is
+split by the pattern, which compiles it again for every row.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from veilwork.constants import (
     REGEX_TYPES,
 )
 from veilwork.functions.checks import iban_length_ok, luhn_ok
-from veilwork.functions.columns import literal, quoted
+from veilwork.functions.columns import let, literal, quoted
 from veilwork.functions.regex import SPARK_PATTERNS
 
 SPANS_TYPE = "array<struct<start:int,end:int,text:string>>"
-FOUND_TYPE = "array<struct<ord:int,found:array<string>>>"
+FOUND_TYPE = "array<struct<ord:int,found:array<string>,gaps:array<string>>>"
+MARK = r"'\u0000'"
 DETECTION_TYPE = (
     "struct<entity_type:string,start:int,end:int,text:string,"
     "confidence:double,context:string,engine:string,ord:int>"
@@ -49,7 +52,7 @@ GUARDS = {
     "SSN": r"T rlike '\\p{Nd}-\\p{Nd}{2}-\\p{Nd}{4}'",
     "IBAN": r"T rlike '[A-Z]{2}\\p{Nd}{2}'",
     "IP_ADDRESS": r"T rlike '\\p{Nd}\\.\\p{Nd}{1,3}\\.\\p{Nd}'",
-    "IPV6_ADDRESS": "contains(T, ':') and T rlike '[0-9a-fA-F:]:'",
+    "IPV6_ADDRESS": "contains(T, '::') or T rlike ':[0-9a-fA-F]{1,4}:'",
     "MAC_ADDRESS": "T rlike '[:-][0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]'",
     "API_KEY_AWS": "contains(T, 'AKIA')",
     "API_KEY_OPENAI": "contains(T, 'sk-')",
@@ -73,16 +76,27 @@ def _all_matches(text: str, pattern: str) -> str:
     return f"regexp_extract_all({text}, {quoted(pattern)}, 0)"
 
 
+def _gaps(text: str, pattern: str) -> str:
+    marked = f"split(regexp_replace({text}, {quoted(pattern)}, {MARK}), {MARK}, -1)"
+    return f"if(contains({text}, {MARK}), split({text}, {quoted(pattern)}, -1), {marked})"
+
+
 def _found(text: str, types: list[str]) -> str:
     """The types with matches, each behind its guard, as ``FOUND_TYPE``."""
     entries = []
     for entity_type in types:
-        matches = _all_matches(text, SPARK_PATTERNS[entity_type])
+        pattern = SPARK_PATTERNS[entity_type]
+        entry = let(
+            _all_matches(text, pattern),
+            "m",
+            f"""if(size(m) > 0, named_struct('ord', {ord_of(entity_type)}, 'found', m,
+                'gaps', {_gaps(text, pattern)}), null)""",
+        )
         if entity_type in GUARDS:
             guard = GUARDS[entity_type].replace("T", text)
-            matches = f"if({guard}, {matches}, null)"
-        entries.append(f"named_struct('ord', {ord_of(entity_type)}, 'found', {matches})")
-    return f"filter(array({', '.join(entries)}), c -> size(c.found) > 0)"
+            entry = f"if({guard}, {entry}, null)"
+        entries.append(entry)
+    return f"filter(array({', '.join(entries)}), c -> c is not null)"
 
 
 def _candidates(text: str, types: Iterable[str]) -> str:
@@ -98,10 +112,10 @@ def _candidates(text: str, types: Iterable[str]) -> str:
     return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
 
 
-def spans_of(text: str, pattern: str, found: str) -> str:
-    """Where each of ``found`` (all matches of ``pattern``) lies in ``text``."""
+def spans_of(gaps: str, found: str) -> str:
+    """Offsets of the matches ``found``, which lie between ``gaps``."""
     return f"""aggregate(
-        zip_with(split({text}, {pattern}, -1), {found},
+        zip_with({gaps}, {found},
             (gap, hit) -> named_struct('gap', length(gap), 'hit', hit)),
         named_struct('pos', 0, 'out', cast(array() as {SPANS_TYPE})),
         (acc, p) -> if(p.hit is null, acc, named_struct(
@@ -115,10 +129,9 @@ def spans_of(text: str, pattern: str, found: str) -> str:
 
 def match_offsets(text: str, pattern: str) -> str:
     """Start, end and text of every match of a Java pattern, as ``SPANS_TYPE``."""
-    return (
-        f"if({text} is null, null,"
-        f" {spans_of(text, quoted(pattern), _all_matches(text, pattern))})"
-    )
+    spans = let(_all_matches(text, pattern), "m", f"""if(size(m) > 0,
+        {spans_of(_gaps(text, pattern), "m")}, cast(array() as {SPANS_TYPE}))""")
+    return f"if({text} is null, null, {spans})"
 
 
 def _confidence(ord_: str, hit: str) -> str:
@@ -134,9 +147,8 @@ def _confidence(ord_: str, hit: str) -> str:
 def regex_detections(text: str, types: Iterable[str] = REGEX_TYPES) -> str:
     """Every match of every type, in list order; overlaps are still there."""
     names = literal(REGEX_TYPES)
-    patterns = literal(SPARK_PATTERNS[t] for t in REGEX_TYPES)
     of_one_type = f"""transform(
-        {spans_of(text, f"element_at({patterns}, cand.ord)", "cand.found")},
+        {spans_of("cand.gaps", "cand.found")},
         s -> named_struct(
             'entity_type', element_at({names}, cand.ord),
             'start', s.start, 'end', s.end, 'text', s.text,

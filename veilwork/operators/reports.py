@@ -73,13 +73,17 @@ def distribution(audit: DataFrame, column: str) -> DataFrame:
 def compliance_report(audit: DataFrame, generated: Column | str | None = None) -> DataFrame:
     """All figures as one row with ``report`` as JSON.
 
-    One pass over the audit table reduces it to a row per combination of type,
-    strategy and source; the report is made from that small table.
+    One pass over the audit table counts every combination of type, strategy and
+    source map-side; grouping sets over that small table give the distributions
+    and the totals, which one last aggregation puts side by side.
     """
+    parts = {
+        "entity_type_distribution": "entity_type",
+        "masking_strategy_distribution": "masking_strategy",
+        "tool_distribution": "tool_name",
+    }
     small = audit.groupBy(
-        F.coalesce("entity_type", F.lit(_MISSING["entity_type"])).alias("entity_type"),
-        F.coalesce("masking_strategy", F.lit("unknown")).alias("masking_strategy"),
-        F.coalesce("tool_name", F.lit("unknown")).alias("tool_name"),
+        *[F.coalesce(c, F.lit(_MISSING[c])).alias(c) for c in parts.values()]
     ).agg(
         F.expr(f"count_if({IS_SUMMARY})").alias("scans"),
         F.expr(f"count_if({IS_REDACTION})").alias("redactions"),
@@ -88,35 +92,38 @@ def compliance_report(audit: DataFrame, generated: Column | str | None = None) -
         F.expr("min(nullif(timestamp, ''))").alias("first"),
         F.expr("max(nullif(timestamp, ''))").alias("last"),
     )
-    totals = small.agg(
-        F.expr("coalesce(min(first), 'N/A')").alias("period_start"),
-        F.expr("coalesce(max(last), 'N/A')").alias("period_end"),
-        F.expr("coalesce(sum(scans), 0)").alias("total_scans"),
-        F.expr("coalesce(sum(redactions), 0)").alias("total_entities_redacted"),
-        F.expr(
-            "round(if(sum(redactions) > 0, sum(confidence) / sum(redactions), 0D), 3)"
-        ).alias("average_confidence"),
-        F.expr("coalesce(sum(dry_runs), 0)").alias("dry_run_events"),
-    ).withColumn("one", F.lit(1))
-    parts = {
-        "entity_type_distribution": "entity_type",
-        "masking_strategy_distribution": "masking_strategy",
-        "tool_distribution": "tool_name",
-    }
-    for alias, column in parts.items():
-        counted = small.where("redactions > 0").groupBy(column).agg(
-            F.sum("redactions").alias("n")
-        )
-        in_order = f"""array_sort(collect_list(struct(n, {column})), (a, b) -> case
+    grouped = small.groupingSets(
+        [[F.col(c)] for c in parts.values()] + [[]], *[F.col(c) for c in parts.values()]
+    ).agg(
+        F.grouping_id().alias("set"),
+        *[F.sum(c).alias(c) for c in ("scans", "redactions", "confidence", "dry_runs")],
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+    )
+    # bits of the grouping id, first column highest: set when summed over it
+    everything, sets = 0b111, dict(zip(parts, (0b011, 0b101, 0b110), strict=True))
+
+    def total(column: str) -> str:
+        return f"coalesce(max(if(set = {everything}, {column}, null)), 0)"
+
+    def nested(alias: str) -> Column:
+        pairs = f"""collect_list(if(set = {sets[alias]} and redactions > 0,
+            struct(redactions as n, {parts[alias]} as k), null))"""
+        ordered = f"""array_sort({pairs}, (a, b) -> case
             when a.n > b.n then -1 when a.n < b.n then 1
-            when a.{column} < b.{column} then -1 when a.{column} > b.{column} then 1
-            else 0 end)"""
-        nested = counted.agg(
-            F.expr(f"map_from_entries(transform({in_order}, x -> struct(x.{column}, x.n)))").alias(
-                alias
-            )
-        ).withColumn("one", F.lit(1))
-        totals = totals.join(nested, "one")
+            when a.k < b.k then -1 when a.k > b.k then 1 else 0 end)"""
+        return F.expr(f"map_from_entries(transform({ordered}, x -> struct(x.k, x.n)))").alias(alias)
+
+    mean = f"if({total('redactions')} > 0, {total('confidence')} / {total('redactions')}, 0D)"
+    totals = grouped.agg(
+        F.expr(f"coalesce(max(if(set = {everything}, first, null)), 'N/A')").alias("period_start"),
+        F.expr(f"coalesce(max(if(set = {everything}, last, null)), 'N/A')").alias("period_end"),
+        F.expr(total("scans")).alias("total_scans"),
+        F.expr(total("redactions")).alias("total_entities_redacted"),
+        F.expr(f"round({mean}, 3)").alias("average_confidence"),
+        F.expr(total("dry_runs")).alias("dry_run_events"),
+        *[nested(alias) for alias in parts],
+    )
     fields = [
         "period_start",
         "period_end",

@@ -23,7 +23,6 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="veilwork-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
@@ -34,9 +33,14 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """Computed now and kept on shared storage, so that it outlives executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Computed now and kept as a table on shared storage.
+
+    The table outlives executors, cuts the lineage, is read column by column and
+    has a known size, so that later joins are planned on facts.
+    """
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
