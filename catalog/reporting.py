@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.inputs import (
@@ -104,7 +104,8 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
     return audit_events(_masked(spark, sf), F.expr(_STAMP_SPARK), F.expr(_MS))
 
 
-_TYPES = F.array_join(F.array_sort(F.map_keys("entity_counts")), ",").alias("types")
+def _types() -> Column:
+    return F.array_join(F.array_sort(F.map_keys("entity_counts")), ",").alias("types")
 
 
 @query("audit_redactions", _audit_sql("SELECT * FROM redactions"))
@@ -119,7 +120,7 @@ def summaries(spark: SparkSession, sf: str) -> DataFrame:
     return scan_summaries(
         _masked(spark, sf), F.expr(_STAMP_SPARK), F.expr(_MS), key=("doc_id",)
     ).select(
-        "doc_id", "timestamp", "event_type", "tool_name", "total_entities", _TYPES,
+        "doc_id", "timestamp", "event_type", "tool_name", "total_entities", _types(),
         "processing_time_ms", "dry_run",
     )
 
@@ -149,7 +150,7 @@ def audit_written(spark: SparkSession, sf: str) -> DataFrame:
     write_audit(_log(spark, sf), path)
     return read_audit(spark, path).select(
         "timestamp", "event_type", "tool_name", "entity_type", "original_length", "masked_text",
-        "confidence", "masking_strategy", "total_entities", _TYPES,
+        "confidence", "masking_strategy", "total_entities", _types(),
     )
 
 

@@ -23,6 +23,15 @@ def window_of(text: str, start: str, end: str, window: int = CONTEXT_WINDOW) ->
     )
 
 
+def lowered(text: str) -> str:
+    """The text in which words are looked for, at the offsets of the original.
+
+    Lower-casing can lengthen a text; a window then moves against its match, and
+    what lies beyond the length of the original is never looked at.
+    """
+    return f"left(lower({text}), length({text}))"
+
+
 def _has_word(words_by_type: dict[str, list[str]], entity_type: str, context: str) -> str:
     words = f"try_element_at({literal(words_by_type)}, {entity_type})"
     return f"coalesce(exists({words}, w -> contains({context}, w)), false)"
@@ -52,9 +61,6 @@ def rescored(confidence: str, boost: str, reduce: str, label: str) -> str:
 def with_context_scores(text: str, detections: str, window: int = CONTEXT_WINDOW) -> str:
     """Detections with their context and the confidence it gives, order kept.
 
-    Words are looked for in a window of the lower-cased text, taken at the
-    offsets of the original: lower-casing can lengthen a text, and then the
-    window moves with it.
     """
     score = rescored(
         "d.confidence",
@@ -70,5 +76,5 @@ def with_context_scores(text: str, detections: str, window: int = CONTEXT_WINDOW
             'context', {window_of(text, "d.start", "d.end", window)},
             'engine', d.engine, 'ord', d.ord)""",
     )
-    every = let(f"lower({text})", "lowered", f"transform({detections}, d -> {scored})")
+    every = let(lowered(text), "lowered", f"transform({detections}, d -> {scored})")
     return f"if(size({detections}) > 0, {every}, {detections})"

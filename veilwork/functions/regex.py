@@ -45,7 +45,7 @@ FIRST_CHARACTER = {
 # Patterns whose first or last character can be something else than a letter,
 # digit or underscore need both looks at that end; the others only the outer one.
 OPEN_START = ("EMAIL", "IPV6_ADDRESS")
-OPEN_END = ("EMAIL", "IPV6_ADDRESS", "JWT_TOKEN")
+OPEN_END = ("EMAIL", "IBAN", "IPV6_ADDRESS", "JWT_TOKEN")
 
 _SHORTHAND = re.compile(r"\\[bds]|\\.|\[\^?|\]|.", re.DOTALL)
 

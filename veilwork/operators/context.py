@@ -10,6 +10,7 @@ from veilwork.functions.columns import compute_once, name
 from veilwork.functions.context import (
     boost_hit,
     label_hit,
+    lowered,
     reduce_hit,
     rescored,
     window_of,
@@ -38,7 +39,7 @@ def context_signals(
     Adds ``context``, ``boosted``, ``reduced``, ``labelled`` and ``rescored``.
     """
     kept = [name(c) for c in df.columns if c not in (text, column)]
-    around = compute_once(df, _lowered=f"lower({name(text)})")
+    around = compute_once(df, _lowered=lowered(name(text)))
     flat = around.select(
         *kept,
         F.expr(
