@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -30,6 +30,20 @@ from veilwork.session import materialized
 KNOWN_TOKEN = TOKEN_PREFIX + "(?:" + "|".join(ALL_TYPES) + r")_[0-9]{6,}__"
 
 
+def _first_place(values: DataFrame, key: Sequence[str]) -> Column:
+    """Where a value appears first: smallest key, then rightmost in the text.
+
+    For a single integer key both numbers fit into one decimal.  That keeps the
+    aggregation a hash aggregation, which counts map-side without sorting; a
+    struct would turn it into a sort of all occurrences.
+    """
+    integral = ("tinyint", "smallint", "int", "bigint")
+    if len(key) == 1 and dict(values.dtypes)[key[0]] in integral:
+        packed = f"cast({name(key[0])} as decimal(20,0)) * cast(4294967296 as decimal(10,0))"
+        return F.min(F.expr(f"{packed} - start"))
+    return F.min(F.struct(*[F.col(name(k)) for k in key], (-F.col("start")).alias("_right")))
+
+
 def pseudonym_dictionary(
     values: DataFrame,
     key: Sequence[str] = ("doc_id",),
@@ -43,9 +57,8 @@ def pseudonym_dictionary(
     ones continue after the largest of their type; only new ones are returned.
     Column ``n`` says how many rows hold the value.
     """
-    first = F.min(F.struct(*[F.col(k) for k in key], (-F.col("start")).alias("_right")))
     distinct = values.groupBy("entity_type", "text").agg(
-        first.alias("_first"), F.count(F.lit(1)).alias("n")
+        _first_place(values, key).alias("_first"), F.count(F.lit(1)).alias("n")
     )
     if known is not None:
         distinct = distinct.join(
