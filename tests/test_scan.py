@@ -66,7 +66,7 @@ def test_dry_run_changes_nothing(table, cases):
 
 def test_scan_is_done_once_below_a_filter(table):
     plan = scan(table).where("size(detections) > 0")._jdf.queryExecution().executedPlan().toString()
-    # the matches, and their gaps in two forms, in one place
+    # one pattern: in the replacement, and twice for texts that hold the mark
     assert plan.count("ghp|gho|ghu") == 3
 
 

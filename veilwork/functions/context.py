@@ -46,7 +46,11 @@ def reduce_hit(entity_type: str, lowered_context: str) -> str:
 
 
 def label_hit(lowered_context: str) -> str:
-    return f"({lowered_context} rlike {quoted(SPARK_LABEL_PATTERN)})"
+    """Is there a label with a colon or an equals sign?  Most windows have neither."""
+    return (
+        f"((contains({lowered_context}, ':') or contains({lowered_context}, '='))"
+        f" and {lowered_context} rlike {quoted(SPARK_LABEL_PATTERN)})"
+    )
 
 
 def rescored(confidence: str, boost: str, reduce: str, label: str) -> str:

@@ -1,10 +1,10 @@
 """Match spans of the structured types, as one nested column per text.
 
-Spark finds matches but does not say where.  The gaps between the matches come
-from replacing each match by a mark and splitting at the marks, so the offsets
-are running sums over gap and match lengths, counted in code points.  Splitting
-at a single character needs no pattern; a text that holds the mark itself is
-split by the pattern, which compiles it again for every row.
+Spark finds matches but does not say where.  So each match is put between two
+marks and the text is split at the marks: gaps and matches alternate, and the
+offsets are running sums of their lengths, counted in code points.  That takes
+one pass of the pattern, and splitting at a single character takes none.  A text
+that holds the mark itself is split by the pattern instead.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from veilwork.functions.columns import let, literal, quoted
 from veilwork.functions.regex import SPARK_PATTERNS
 
 SPANS_TYPE = "array<struct<start:int,end:int,text:string>>"
-FOUND_TYPE = "array<struct<ord:int,found:array<string>,gaps:array<string>>>"
+FOUND_TYPE = "array<struct<ord:int,pieces:array<string>>>"
 MARK = r"'\u0000'"
+MARKED_MATCH = r"'\u0000$0\u0000'"
 DETECTION_TYPE = (
     "struct<entity_type:string,start:int,end:int,text:string,"
     "confidence:double,context:string,engine:string,ord:int>"
@@ -72,31 +73,29 @@ def ord_of(entity_type: str) -> int:
     return REGEX_TYPES.index(entity_type) + 1
 
 
-def _all_matches(text: str, pattern: str) -> str:
-    return f"regexp_extract_all({text}, {quoted(pattern)}, 0)"
-
-
-def _gaps(text: str, pattern: str) -> str:
-    marked = f"split(regexp_replace({text}, {quoted(pattern)}, {MARK}), {MARK}, -1)"
-    return f"if(contains({text}, {MARK}), split({text}, {quoted(pattern)}, -1), {marked})"
+def _pieces(text: str, pattern: str) -> str:
+    """Gap, match, gap, ... of a text; null or a single piece without a match."""
+    by_marks = let(
+        f"regexp_replace({text}, {quoted(pattern)}, {MARKED_MATCH})",
+        "marked",
+        f"if(octet_length(marked) = octet_length({text}), null, split(marked, {MARK}, -1))",
+    )
+    by_pattern = f"""flatten(zip_with(split({text}, {quoted(pattern)}, -1),
+        regexp_extract_all({text}, {quoted(pattern)}, 0),
+        (gap, hit) -> if(hit is null, array(gap), array(gap, hit))))"""
+    return f"if(contains({text}, {MARK}), {by_pattern}, {by_marks})"
 
 
 def _found(text: str, types: list[str]) -> str:
     """The types with matches, each behind its guard, as ``FOUND_TYPE``."""
     entries = []
     for entity_type in types:
-        pattern = SPARK_PATTERNS[entity_type]
-        entry = let(
-            _all_matches(text, pattern),
-            "m",
-            f"""if(size(m) > 0, named_struct('ord', {ord_of(entity_type)}, 'found', m,
-                'gaps', {_gaps(text, pattern)}), null)""",
-        )
+        pieces = _pieces(text, SPARK_PATTERNS[entity_type])
         if entity_type in GUARDS:
             guard = GUARDS[entity_type].replace("T", text)
-            entry = f"if({guard}, {entry}, null)"
-        entries.append(entry)
-    return f"filter(array({', '.join(entries)}), c -> c is not null)"
+            pieces = f"if({guard}, {pieces}, null)"
+        entries.append(f"named_struct('ord', {ord_of(entity_type)}, 'pieces', {pieces})")
+    return f"filter(array({', '.join(entries)}), c -> size(c.pieces) > 1)"
 
 
 def _candidates(text: str, types: Iterable[str]) -> str:
@@ -112,25 +111,21 @@ def _candidates(text: str, types: Iterable[str]) -> str:
     return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
 
 
-def spans_of(gaps: str, found: str) -> str:
-    """Offsets of the matches ``found``, which lie between ``gaps``."""
-    return f"""aggregate(
-        zip_with({gaps}, {found},
-            (gap, hit) -> named_struct('gap', length(gap), 'hit', hit)),
-        named_struct('pos', 0, 'out', cast(array() as {SPANS_TYPE})),
-        (acc, p) -> if(p.hit is null, acc, named_struct(
-            'pos', acc.pos + p.gap + length(p.hit),
-            'out', array_append(acc.out, named_struct(
-                'start', acc.pos + p.gap,
-                'end', acc.pos + p.gap + length(p.hit),
-                'text', p.hit)))),
+def spans_of(pieces: str) -> str:
+    """The matches among alternating gaps and matches, with their offsets."""
+    return f"""aggregate({pieces},
+        named_struct('pos', 0, 'hit', false, 'out', cast(array() as {SPANS_TYPE})),
+        (acc, p) -> named_struct(
+            'pos', acc.pos + length(p),
+            'hit', not acc.hit,
+            'out', if(acc.hit, array_append(acc.out, named_struct(
+                'start', acc.pos, 'end', acc.pos + length(p), 'text', p)), acc.out)),
         acc -> acc.out)"""
 
 
 def match_offsets(text: str, pattern: str) -> str:
     """Start, end and text of every match of a Java pattern, as ``SPANS_TYPE``."""
-    spans = let(_all_matches(text, pattern), "m", f"""if(size(m) > 0,
-        {spans_of(_gaps(text, pattern), "m")}, cast(array() as {SPANS_TYPE}))""")
+    spans = f"coalesce({spans_of(_pieces(text, pattern))}, cast(array() as {SPANS_TYPE}))"
     return f"if({text} is null, null, {spans})"
 
 
@@ -148,7 +143,7 @@ def regex_detections(text: str, types: Iterable[str] = REGEX_TYPES) -> str:
     """Every match of every type, in list order; overlaps are still there."""
     names = literal(REGEX_TYPES)
     of_one_type = f"""transform(
-        {spans_of("cand.gaps", "cand.found")},
+        {spans_of("cand.pieces")},
         s -> named_struct(
             'entity_type', element_at({names}, cand.ord),
             'start', s.start, 'end', s.end, 'text', s.text,
