@@ -52,7 +52,7 @@ from veilwork.operators.reports import (
 )
 from veilwork.plans.scan import scan, scan_and_mask
 from veilwork.policy import AlertRoute, Policy
-from veilwork.session import new_folder
+from veilwork.session import new_folder, spread
 from veilwork.sources.audit_log import parse_audit, read_audit, write_audit
 from veilwork.sources.lines import read_messages, stream_messages
 from veilwork.sources.texts import as_texts
@@ -564,7 +564,9 @@ def _stream_texts(spark: SparkSession, sf: str) -> DataFrame:
             .parquet(sf)
         )
 
-    return as_texts(stream("documents")).unionByName(order_texts(stream("orders")))
+    streams = as_texts(stream("documents")).unionByName(order_texts(stream("orders")))
+    tables = documents(spark, sf).unionByName(order_texts(table(spark, sf, "orders")))
+    return spread(streams, "doc_id", like=tables)
 
 
 @query(

@@ -43,14 +43,16 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
     """Use all cores for an input that is smaller than one split per core.
 
     Scanning texts is CPU-bound, and a small file is one task.  Anything that
-    already fills the cores comes back unchanged, without a shuffle.
+    already fills the cores comes back unchanged, without a shuffle.  ``like`` is
+    a table of the size to go by, for a stream whose own size is not known.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    sized = df if like is None else like
+    size = int(sized._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores, *keys) if size < cores * split else df
