@@ -55,6 +55,21 @@ def row_batch(columns: dict[str, pa.Array | list], types: dict[str, pa.DataType]
     return pa.RecordBatch.from_arrays(arrays, names=list(columns))
 
 
+# Rows of one bigint that may be broadcast: 16 MB of keys, whatever the input's size.
+BROADCAST_KEYS = 2_000_000
+
+
+def rows_with(df: DataFrame, keys: DataFrame, on: str, without: bool = False) -> DataFrame:
+    """Rows whose bigint ``on`` is among ``keys`` (or is not), a stored table of distinct keys.
+
+    Keys are sent to the rows, which then need no shuffle, as long as they are few
+    enough; beyond that both sides are dealt out by key.
+    """
+    small = keys.count() <= BROADCAST_KEYS
+    side = keys.select(on)
+    return df.join(F.broadcast(side) if small else side, on, "left_anti" if without else "left_semi")
+
+
 def join_balanced(
     left: DataFrame,
     right: DataFrame,

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilwork.llm import bpe
 from veilwork.llm.base import documents
 from veilwork.llm.exact_dedup import exact_duplicates
+from veilwork.llm.language_id import identify, remainder
 from veilwork.llm.license_scan import scan_licenses
+from veilwork.llm.ngram_join import similar_components
+from veilwork.llm.substring_dedup import remove_repeated
 
 TOKENIZER = tokenizer_path("word_bpe_49k.json")
 
@@ -28,6 +32,18 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir), TOKENIZER), TOKENIZER)
 
 
+@_query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = identify(docs, remainder("doc_id", 4) != 2)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(documents(spark, sf_dir), words=4, percent=85)
+
+
 @_query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
@@ -38,6 +54,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+@_query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 ORACLES["op9_exact_dedup"] = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
