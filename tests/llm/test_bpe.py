@@ -21,6 +21,7 @@ AWKWARD = [
     "😀😀 日本語テキスト 한국어 नमस्ते ١٢٣ ½ Ⅷ",
     "a" * 5000 + "b" * 999,
     "éè" * 700,
+    "ÀÉÎÕÜ ÿ ß µ ª º ½²³ × ÷ ¿qué? «a» ´¨ AÉ\u0301",
     "\x00\x01\x7f ﻿x",
 ]
 
@@ -43,7 +44,7 @@ def test_awkward_texts_as_the_library(library, text):
 
 
 @settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.text(max_size=60) | st.text("abcdefgh'st ré1 .é\x1f", max_size=80))
+@given(st.text(max_size=60) | st.text("abcdefgh'st ré1 .é\x1f", max_size=80) | st.text(st.characters(max_codepoint=255), max_size=60))
 def test_any_text_as_the_library(library, text):
     same(library, text)
 

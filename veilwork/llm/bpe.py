@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from veilwork.llm.base import map_rows, whole_text
 
 # Texts in memory of a task: entries and the longest text that is kept.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 500_000
 MEMO_LONGEST = 64
 
+_NEVER = 1 << 60
 # str.split() also cuts at these, the tokenizer does not
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -66,13 +67,16 @@ class BytePairs:
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.special_ids = added
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges = {
-            (self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)
-        }
+        self.ranks = {(self.ids[a], self.ids[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.results = [self.ids[a + b] for a, b in pairs]
         inside = (t[: len(t) - len(self.suffix)] if self.suffix and t.endswith(self.suffix) else t for t in self.ids)
-        self.joined = {t[k : k + 2] for t in inside for k in range(len(t) - 1)}
+        self.joined = {pair for t in inside for pair in zip(t, t[1:])}
+        # byte-level form of every byte, as the library writes it
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.byte_form = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.ascii_words = regex.compile(split["pattern"]["Regex"]).findall
+        self.simple_words = regex.compile(split["pattern"]["Regex"]).findall
         self.fragments = Memo(self._encode_fragment)
         self.chunks = Memo(self._encode_chunk)
 
@@ -89,29 +93,32 @@ class BytePairs:
         return np.array(merged, "<u4").tobytes()
 
     def _merge_few(self, parts: list[int]) -> list[int]:
-        merges = self.merges
-        while len(parts) > 1:
-            best = None
-            for k in range(len(parts) - 1):
-                found = merges.get((parts[k], parts[k + 1]))
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, at = found, k
-            if best is None:
+        rank_of, result = self.ranks.get, self.results
+        ranks = [rank_of(pair, _NEVER) for pair in zip(parts, parts[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == _NEVER:
                 break
-            parts[at : at + 2] = [best[1]]
+            at = ranks.index(rank)
+            parts[at : at + 2] = [result[rank]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank_of((parts[at - 1], parts[at]), _NEVER)
+            if at < len(ranks):
+                ranks[at] = rank_of((parts[at], parts[at + 1]), _NEVER)
         return parts
 
     def _merge_many(self, parts: list[int]) -> list[int]:
         """The same in n log n: a heap of possible merges over a linked list."""
-        merges, count = self.merges, len(parts)
+        ranks, results, count = self.ranks, self.results, len(parts)
         after, before = list(range(1, count + 1)), list(range(-1, count - 1))
         heap = []
 
         def offer(k: int) -> None:
             if k >= 0 and after[k] < count:
-                found = merges.get((parts[k], parts[after[k]]))
-                if found is not None:
-                    heapq.heappush(heap, (found[0], k, parts[k], parts[after[k]], found[1]))
+                rank = ranks.get((parts[k], parts[after[k]]))
+                if rank is not None:
+                    heapq.heappush(heap, (rank, k, parts[k], parts[after[k]], results[rank]))
 
         for k in range(count - 1):
             offer(k)
@@ -133,8 +140,10 @@ class BytePairs:
     def cut(self, word: str) -> list[str]:
         """The word's fragments between certain cuts."""
         joined, start, out = self.joined, 0, []
-        for k in range(1, len(word)):
-            if word[k - 1 : k + 1] not in joined:
+        if joined.issuperset(zip(word, word[1:])):
+            return [word]
+        for k, pair in enumerate(zip(word, word[1:]), 1):
+            if pair not in joined:
                 out.append(word[start:k])
                 start = k
         out.append(word[start:])
@@ -143,6 +152,8 @@ class BytePairs:
     def _encode_word(self, word: str) -> bytes:
         *first, last = self.cut(word)
         fragments = self.fragments
+        if not first:
+            return fragments[" " + last]
         return b"".join([*(fragments[f] for f in first), fragments[" " + last]])
 
     def _encode_chunk(self, chunk: str) -> bytes:
@@ -156,8 +167,15 @@ class BytePairs:
         return b"".join(out)
 
     def _words(self, piece: str) -> Iterable[str]:
-        if piece.isascii() and piece.isprintable():
-            return self.ascii_words(piece.lower())
+        """Words in byte-level form; below U+0100 nothing composes and letters are plain."""
+        if piece.isprintable():
+            if piece.isascii():
+                return self.simple_words(piece.lower())
+            if max(piece) < "\u0100":
+                form = self.byte_form
+                return [
+                    w.encode().decode("latin-1").translate(form) for w in self.simple_words(piece.lower())
+                ]
         normal = self.normalizer.normalize_str(piece)
         return [w for w, _ in self.pre_tokenizer.pre_tokenize_str(normal)]
 

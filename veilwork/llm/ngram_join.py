@@ -201,7 +201,7 @@ def _lists(percent: int, across: bool):
     return run
 
 
-def _pairs(index: DataFrame, percent: int, across: bool) -> DataFrame:
+def list_pairs(index: DataFrame, percent: int, across: bool) -> DataFrame:
     ordered = index.repartition("gram").sortWithinPartitions("gram", "n", "id")
     component = "component" if across else "id"
     return (
@@ -274,10 +274,10 @@ def similar_components(
     index = materialized(
         index.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("sets > 1").drop("sets")
     )
-    links = materialized(_linked(texts, materialized(_pairs(index, percent, False)), words, percent))
+    links = materialized(_linked(texts, materialized(list_pairs(index, percent, False)), words, percent))
     ids = classes.where("class_id IS NOT NULL").select(F.col("class_id").alias("id")).distinct()
     first = materialized(min_labels(ids, links))
-    further = _pairs(index.join(first, "id"), percent, True)
+    further = list_pairs(index.join(first, "id"), percent, True)
     more = materialized(_linked(texts, materialized(further), words, percent))
     labels = min_labels(ids, links.union(more)) if not more.isEmpty() else first
     named = materialized(

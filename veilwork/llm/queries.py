@@ -13,7 +13,9 @@ from veilwork.llm.base import documents
 from veilwork.llm.exact_dedup import exact_duplicates
 from veilwork.llm.language_id import identify, remainder
 from veilwork.llm.license_scan import scan_licenses
+from veilwork.llm.line_dedup import deduplicate_lines
 from veilwork.llm.ngram_join import similar_components
+from veilwork.llm.packing import pack
 from veilwork.llm.substring_dedup import remove_repeated
 
 TOKENIZER = tokenizer_path("word_bpe_49k.json")
@@ -32,6 +34,12 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir), TOKENIZER), TOKENIZER)
 
 
+@_query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = deduplicate_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @_query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -44,6 +52,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir), words=4, percent=85)
 
 
+@_query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), TOKENIZER)
+
+
 @_query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
