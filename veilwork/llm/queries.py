@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from veilwork.llm import bpe
 from veilwork.llm.base import documents
+from veilwork.llm.class_lm import score_texts
 from veilwork.llm.exact_dedup import exact_duplicates
 from veilwork.llm.language_id import identify, remainder
 from veilwork.llm.license_scan import scan_licenses
 from veilwork.llm.line_dedup import deduplicate_lines
 from veilwork.llm.ngram_join import similar_components
 from veilwork.llm.packing import pack
+from veilwork.llm.spot_signatures import edited_fingerprints
 from veilwork.llm.substring_dedup import remove_repeated
 
 TOKENIZER = tokenizer_path("word_bpe_49k.json")
@@ -57,11 +59,31 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), TOKENIZER)
 
 
+@_query
+def op6_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 @_query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
 
+@_query
+def op8_class_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_texts(documents(spark, sf_dir), remainder("doc_id", 10) != 0)
+    return found.select(
+        "doc_id",
+        (remainder("doc_id", 10) == 0).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+        "perplexity",
+    )
+
+
 @_query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
