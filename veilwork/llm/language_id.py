@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
-from veilwork.llm.base import map_rows, whole_text
+from veilwork.llm.base import whole_text
 
 PROFILE_SIZE = 400
 UNKNOWN = "und"
@@ -92,9 +93,12 @@ def identify(
     text_column: str = "text",
     lang_column: str = "lang",
     size: int = PROFILE_SIZE,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Predicted language of each text: columns id, lang_pred, score.
 
+    With ``keep`` those columns of ``docs`` instead, and _lang_pred and _score.
+
     Profiles are learned from the rows where ``training`` holds and the language is
     not null.  A text's out-of-place distance to a profile is the sum, over its own most
     frequent n-grams, of how far their places are apart, ``size`` for one the profile lacks.
@@ -126,21 +130,24 @@ def identify(
                 best, name = distance, lang
         return name, 1.0 - best / (size * len(mine))
 
+    kept = [F.col(id_column).cast("bigint").alias(id_column)] if keep is None else [F.col(f"`{c}`") for c in keep]
+    rows = docs.select(*kept, whole_text(text_column).alias("_text"))
+    mark = "" if keep is None else "_"
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        predicted = [predict(t) for t in batch.column(1).to_pylist()]
+        predicted = [predict(t) for t in batch.columns[-1].to_pylist()]
         return pa.RecordBatch.from_arrays(
             [
-                batch.column(0),
+                *batch.columns[:-1],
                 pa.array([p for p, _ in predicted], pa.string()),
                 pa.array([s for _, s in predicted], pa.float64()),
             ],
-            names=["_id", "lang_pred", "score"],
+            names=[*batch.schema.names[:-1], f"{mark}lang_pred", f"{mark}score"],
         )
 
-    rows = docs.select(docs[id_column].cast("bigint").alias("_id"), whole_text(text_column))
-    return map_rows(rows, run, "_id bigint, lang_pred string, score double").withColumnRenamed(
-        "_id", id_column
-    )
+    schema = StructType([f for f in rows.schema.fields[:-1]])
+    schema = schema.add(f"{mark}lang_pred", StringType()).add(f"{mark}score", DoubleType())
+    return rows.mapInArrow(lambda batches: map(run, batches), schema)
 
 
 def remainder(id_column: str, modulus: int) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.llm.base import join_balanced, map_rows, min_labels, rows_with, whole_text
@@ -146,8 +146,6 @@ def _signed_lines(rows: DataFrame, least_chars: int, size: int, bands: int, per_
 
 def _index(classes: DataFrame, bands: int) -> DataFrame:
     """gram (a band's key) and node of all bands that lines share."""
-    from pyspark.sql import Window
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         joined = b"".join(batch.column(1).to_pylist())
         grams = np.frombuffer(joined, np.int64)
@@ -206,8 +204,9 @@ def deduplicate_lines(
     bands: int = BANDS,
     rows_per_band: int = ROWS,
     least_chars: int = LEAST_CHARS,
+    mark: str = "",
 ) -> DataFrame:
-    """``docs`` with each text's lines that stay, and n_lines, n_removed.
+    """``docs`` with each text's lines that stay, and n_lines, n_removed (after ``mark``).
 
     Lines are compared in lower case with white space made single spaces.  Two are linked
     if equal or if the Jaccard similarity of their character shingles is at least
@@ -251,10 +250,10 @@ def deduplicate_lines(
     removed = materialized(gone.groupBy("id", "key").agg(F.collect_set("line").alias("_gone")))
     keys = materialized(removed.select(F.col("key").alias("_key")).distinct())
 
-    others = [c for c in docs.columns if c not in (text_column, "n_lines", "n_removed")]
+    others = [c for c in docs.columns if c not in (text_column, f"{mark}n_lines", f"{mark}n_removed")]
     text = F.col(text_column)
-    tagged = docs.select(*[docs[c] for c in others], docs[text_column]).select(
-        *[F.col(c) for c in others],
+    tagged = docs.select(
+        *[F.col(f"`{c}`") for c in others],
         text,
         F.coalesce(F.col(id_column).cast("bigint"), F.lit(_LAST_ID)).alias("_id"),
         F.xxhash64(id_column, whole_text(text_column)).alias("_key"),
@@ -267,8 +266,8 @@ def deduplicate_lines(
     is_gone = F.size(F.coalesce("_gone", F.array().cast("array<int>")))
     kept = F.array_join(F.filter(parts, lambda x, k: ~F.array_contains(F.col("_gone"), k)), "\n")
     return changed.unionByName(same, allowMissingColumns=True).select(
-        *[F.col(c) for c in others],
+        *[F.col(f"`{c}`") for c in others],
         F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(text_column),
-        F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(parts)).alias("n_lines"),
-        is_gone.alias("n_removed"),
+        F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(parts)).alias(f"{mark}n_lines"),
+        is_gone.alias(f"{mark}n_removed"),
     )

@@ -12,12 +12,13 @@ places with a long enough match are to be removed; then it joins the automaton i
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from veilwork.llm.base import map_rows, rows_with, whole_text
 from veilwork.llm.ngram_join import sequence_hashes, word_hashes
@@ -151,15 +152,18 @@ class Shard:
         return covered(self.automaton.matches(piece.split(b" ")), self.least)
 
 
-def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _documents_columns(id_column: str, text_column: str) -> dict[str, Column]:
     """key tells apart texts under one id; a null id comes after all others."""
     text = whole_text(text_column)
-    return docs.select(
-        F.coalesce(F.col(id_column).cast("bigint"), F.lit(_LAST_ID)).alias("id"),
-        F.xxhash64(id_column, text).alias("key"),
-        F.col(id_column).isNull().alias("unnamed"),
-        text.alias("text"),
-    )
+    return {
+        "id": F.coalesce(F.col(id_column).cast("bigint"), F.lit(_LAST_ID)),
+        "key": F.xxhash64(F.col(id_column).cast("bigint"), text),
+        "text": text,
+    }
+
+
+def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(*(c.alias(k) for k, c in _documents_columns(id_column, text_column).items()))
 
 
 def _shared_anchors(rows: DataFrame, window: int, size: int) -> DataFrame:
@@ -333,9 +337,12 @@ def remove_repeated(
     text_column: str = "text",
     window: int = WINDOW,
     anchor: int = ANCHOR,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """id, n_words, n_removed and ``kept`` (words that stay, with single spaces) of each row.
 
+    With ``keep`` those columns of ``docs`` instead, and _n_words, _n_removed and _kept.
+
     A word goes if ``window`` consecutive words around it (cut at space and U+0009 to
     U+000D, compared byte by byte) also stand in a document with a smaller id.  Windows
     are judged on the input.  A null text counts as empty; a null id is larger than all
@@ -349,36 +356,40 @@ def remove_repeated(
         .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     )
     keys = materialized(spans.select("key").distinct())
+    id_text = _documents_columns(id_column, text_column)
+    kept = [F.col(id_column).cast("bigint").alias(id_column)] if keep is None else [F.col(f"`{c}`") for c in keep]
+    full = docs.select(*kept, id_text["id"].alias("_id"), id_text["key"].alias("_key"), id_text["text"].alias("_text"))
+    mark = "" if keep is None else "_"
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, removed, kept = [], [], []
-        for text, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        counts, removed, stay = [], [], []
+        *others, texts, spans = batch.columns
+        for text, found in zip(texts.to_pylist(), spans.to_pylist()):
             words = split_words(text)
-            stays, at = [], 0
+            left, at = [], 0
             for span in found or ():
-                stays.extend(words[at : span["start"]])
+                left.extend(words[at : span["start"]])
                 at = max(at, span["end"])
-            stays.extend(words[at:])
+            left.extend(words[at:])
             counts.append(len(words))
-            removed.append(len(words) - len(stays))
-            kept.append(b" ".join(stays).decode("utf-8", "surrogatepass"))
+            removed.append(len(words) - len(left))
+            stay.append(b" ".join(left).decode("utf-8", "surrogatepass"))
         return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(1),
-                pa.array(counts, pa.int64()),
-                pa.array(removed, pa.int64()),
-                pa.array(kept, pa.string()),
-            ],
-            names=["id", "unnamed", "n_words", "n_removed", "kept"],
+            [*others, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(stay, pa.string())],
+            names=[*batch.schema.names[:-2], *(f"{mark}{c}" for c in ("n_words", "n_removed", "kept"))],
         )
 
-    schema = "id bigint, unnamed boolean, n_words bigint, n_removed bigint, kept string"
+    columns = [F.col(f"`{c}`") for c in full.columns if c not in ("_id", "_key")]
+    schema = StructType([f for f in full.schema.fields if f.name not in ("_id", "_key", "_text")])
+    for name, kind in (("n_words", LongType()), ("n_removed", LongType()), ("kept", StringType())):
+        schema = schema.add(f"{mark}{name}", kind)
     # only documents that lose something meet their spans in a shuffle
-    changed = rows_with(rows, keys, "key").join(spans, ["id", "key"], "left").select("id", "unnamed", "text", "spans")
-    none = F.lit(None).cast(spans.schema["spans"].dataType)
-    same = rows_with(rows, keys, "key", without=True).select("id", "unnamed", "text", none.alias("spans"))
-    done = map_rows(changed, finish, schema).unionByName(map_rows(same, finish, schema))
-    return done.select(
-        F.when(~F.col("unnamed"), F.col("id")).alias(id_column), "n_words", "n_removed", "kept"
-    )
+    places = spans.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
+    changed = rows_with(full, keys.select(F.col("key").alias("_key")), "_key").join(places, ["_id", "_key"], "left")
+    none = F.lit(None).cast(places.schema["_spans"].dataType)
+    same = rows_with(full, keys.select(F.col("key").alias("_key")), "_key", without=True).withColumn("_spans", none)
+    parts = [
+        part.select(*columns, "_spans").mapInArrow(lambda batches: map(finish, batches), schema)
+        for part in (changed, same)
+    ]
+    return parts[0].unionByName(parts[1])
