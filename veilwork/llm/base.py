@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,40 @@ def rows_with(df: DataFrame, keys: DataFrame, on: str, without: bool = False) ->
     return df.join(F.broadcast(side) if small else side, on, "left_anti" if without else "left_semi")
 
 
+# Bits of a filter for hashes: 8 MB, whatever the size of the corpus.
+FILTER_BITS = 26
+
+
+def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h, mask = hashes.view(np.uint64), np.uint64((1 << FILTER_BITS) - 1)
+    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
+
+
+def filter_bits(hashes: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of a column of hashes, put together by Spark: 64 bits to a word."""
+    mask = F.lit((1 << FILTER_BITS) - 1)
+    slot = F.explode(
+        F.array(F.col(column).bitwiseAND(mask), F.shiftright(column, 32).bitwiseAND(mask))
+    )
+    words = (
+        hashes.select(slot.alias("slot"))
+        .groupBy(F.shiftright("slot", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits"))
+        .toArrow()
+    )
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits.view(np.uint64)
+
+
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """False for a hash that is surely not in the filter."""
+    both = np.ones(len(hashes), bool)
+    for slot in _slots(hashes):
+        both &= (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return both
+
+
 def join_balanced(
     left: DataFrame,
     right: DataFrame,

@@ -20,16 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwork.llm.base import join_balanced, map_rows, min_labels, rows_with, whole_text
+from veilwork.llm.base import filter_bits, in_filter, join_balanced, map_rows, min_labels, rows_with, whole_text
 from veilwork.session import materialized
 
 WORDS = 5
 PERCENT = 80
-# N-grams that come last in the order of prefixes: an order needs no exact counts, so
-# they are looked for among one document in FREQUENT_SHARE, and the table of them is bounded.
-FREQUENT_SHARE = 16
-FREQUENT_LEAST = 8
-FREQUENT_MOST = 65_536
+# N-grams with a hash below this, a fifth of all, are counted to learn which are shared.
+POOL_END = -(1 << 63) + (1 << 64) // 5
 
 _MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15)
 
@@ -80,20 +77,42 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _sketches(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """n, a digest of the set and its prefix: n-grams by (frequent, hash)."""
+def _shared(docs: DataFrame, words: int) -> np.ndarray:
+    """A filter of the pool's n-grams that more than one document has."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, digests, prefixes = [], [], []
+        found = [np.empty(0, np.int64)]
+        for text in batch.column(0).to_pylist():
+            s = shingles(text, words)
+            found.append(s[: np.searchsorted(s, POOL_END)])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["gram"])
+
+    counted = map_rows(docs.select("text"), run, "gram bigint").groupBy("gram").count()
+    return filter_bits(counted.where("count > 1"), "gram")
+
+
+def _sketches(docs: DataFrame, words: int, percent: int, shared: np.ndarray) -> DataFrame:
+    """n, a digest of the set, and what of its prefix others may have.
+
+    N-grams are in the order: of the pool and in one document alone, not of the pool, shared.
+    The first kind fills most prefixes; it matches nothing, so it is only counted (``alone``).
+    A filter that is too full changes the order, not what is found.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes, digests, alone, prefixes = [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text, words)
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            if len(frequent) and len(s):
-                at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                often = frequent[at] == s
-                s = np.concatenate([s[~often], s[often]])
-            prefixes.append(s[: prefix_length(len(s), percent)])
+            pool = int(np.searchsorted(s, POOL_END))
+            often = in_filter(bits.value, s[:pool])
+            first = pool - int(often.sum())
+            length = prefix_length(len(s), percent)
+            alone.append(min(first, length))
+            rest = np.concatenate([s[pool:], s[:pool][often]])
+            prefixes.append(rest[: max(length - first, 0)])
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
         values = np.concatenate([np.empty(0, np.int64), *prefixes])
         return pa.RecordBatch.from_arrays(
@@ -101,27 +120,14 @@ def _sketches(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -
                 batch.column(0),
                 pa.array(sizes, pa.int32()),
                 pa.array(digests, pa.binary()),
+                pa.array(alone, pa.int32()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
             ],
-            names=["id", "n", "digest", "prefix"],
+            names=["id", "n", "digest", "alone", "prefix"],
         )
 
-    return map_rows(docs, run, "id bigint, n int, digest binary, prefix array<bigint>")
-
-
-def _frequent(docs: DataFrame, words: int, percent: int) -> np.ndarray:
-    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(FREQUENT_SHARE)) == 0)
-    rows = (
-        _sketches(some, words, percent, np.empty(0, np.int64))
-        .select(F.explode("prefix").alias("gram"))
-        .groupBy("gram")
-        .count()
-        .where(F.col("count") >= FREQUENT_LEAST)
-        .orderBy(F.desc("count"), "gram")
-        .limit(FREQUENT_MOST)
-        .collect()
-    )
-    return np.array(sorted(r["gram"] for r in rows), np.int64)
+    schema = "id bigint, n int, digest binary, alone int, prefix array<bigint>"
+    return map_rows(docs, run, schema)
 
 
 def _reach(n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
@@ -144,7 +150,9 @@ def _lists(percent: int, across: bool):
         if not across:
             for other in (first, here - 1):
                 ok = (other < here) & (other >= first)
-                yield here[ok], other[ok]
+                x, y = here[ok], other[ok]
+                near = np.minimum(n[x] - at[x], n[y] - at[y]) >= _reach(n[x], n[y], percent)
+                yield x[near], y[near]
             return
         if (component == component[0]).all():
             return
@@ -259,8 +267,7 @@ def similar_components(
     pair by pair but across components, and what is compared is stored once per round.
     """
     texts = docs.select(docs[id_column].cast("bigint").alias("id"), whole_text(text_column).alias("text"))
-    frequent = _frequent(texts, words, percent)
-    sketched = materialized(_sketches(texts, words, percent, frequent))
+    sketched = materialized(_sketches(texts, words, percent, _shared(texts, words)))
     classes = materialized(
         sketched.where("digest IS NOT NULL")
         .groupBy("digest")
@@ -269,16 +276,21 @@ def similar_components(
     heads = sketched.join(
         classes.where("class_id IS NOT NULL").select(F.col("class_id").alias("id"), F.col("digest").alias("of")), "id"
     ).where("digest = of").dropDuplicates(["id", "digest"])
-    index = heads.select("id", "n", F.posexplode("prefix").alias("at", "gram"))
+    index = heads.select("id", "n", "alone", F.posexplode("prefix").alias("at", "gram")).select(
+        "id", "n", (F.col("alone") + F.col("at")).alias("at"), "gram"
+    )
     # lists of one set find nothing
     index = materialized(
         index.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("sets > 1").drop("sets")
     )
-    links = materialized(_linked(texts, materialized(list_pairs(index, percent, False)), words, percent))
+
+    def compared(candidates: DataFrame) -> DataFrame:
+        return materialized(_linked(texts, materialized(candidates), words, percent))
+
+    links = compared(list_pairs(index, percent, False))
     ids = classes.where("class_id IS NOT NULL").select(F.col("class_id").alias("id")).distinct()
     first = materialized(min_labels(ids, links))
-    further = list_pairs(index.join(first, "id"), percent, True)
-    more = materialized(_linked(texts, materialized(further), words, percent))
+    more = compared(list_pairs(index.join(first, "id"), percent, True))
     labels = min_labels(ids, links.union(more)) if not more.isEmpty() else first
     named = materialized(
         classes.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select(

@@ -20,15 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from veilwork.llm.base import map_rows, rows_with, whole_text
+from veilwork.llm.base import filter_bits, in_filter, map_rows, rows_with, whole_text
 from veilwork.llm.ngram_join import sequence_hashes, word_hashes
 from veilwork.session import materialized
 
 WINDOW = 13
 ANCHOR = 4
-# The filter for shared anchors: 2^FILTER_BITS bits, 8 MB, whatever the size of the corpus.
-# When it fills up, more pieces are looked at than need be; the result stays the same.
-FILTER_BITS = 26
+# The filter for shared anchors has a fixed size: when it fills up, more pieces are looked at
+# than need be; the result stays the same.
 # An anchor in more than this share of the documents is cut into single windows.
 HOT_SHARE = 1 / 500
 HOT_LEAST = 64
@@ -186,35 +185,6 @@ def _shared_anchors(rows: DataFrame, window: int, size: int) -> DataFrame:
     )
 
 
-def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h, mask = hashes.view(np.uint64), np.uint64((1 << FILTER_BITS) - 1)
-    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
-
-
-def _filter(shared: DataFrame) -> np.ndarray:
-    """Bits of the anchors in ``shared``, 64 to a word, put together by Spark."""
-    mask = (1 << FILTER_BITS) - 1
-    slot = F.explode(
-        F.array(F.col("anchor").bitwiseAND(F.lit(mask)), F.shiftright("anchor", 32).bitwiseAND(F.lit(mask)))
-    )
-    words = (
-        shared.select(slot.alias("slot"))
-        .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits"))
-        .toArrow()
-    )
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return bits.view(np.uint64)
-
-
-def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    both = np.ones(len(hashes), bool)
-    for slot in _slots(hashes):
-        both &= (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
-    return both
-
-
 def _pieces(rows: DataFrame, shared: DataFrame, total: int, window: int, size: int) -> DataFrame:
     """Pieces around shared anchors, by shard; spans where the verdict is known already.
 
@@ -226,7 +196,7 @@ def _pieces(rows: DataFrame, shared: DataFrame, total: int, window: int, size: i
     spark = rows.sparkSession
     hot_least = max(HOT_LEAST, total * HOT_SHARE)
     hot = np.array(sorted(r["anchor"] for r in shared.where(F.col("docs") > hot_least).collect()), np.int64)
-    shared_bits = spark.sparkContext.broadcast(_filter(shared))
+    shared_bits = spark.sparkContext.broadcast(filter_bits(shared, "anchor"))
 
     def often(hashes: np.ndarray) -> np.ndarray:
         if not len(hot):
@@ -278,7 +248,7 @@ def _pieces(rows: DataFrame, shared: DataFrame, total: int, window: int, size: i
             hashes, at = anchors(words, window, size)
             if not len(hashes):
                 continue
-            maybe, single = _has(bits, hashes), often(hashes)
+            maybe, single = in_filter(bits, hashes), often(hashes)
             # runs of windows with one anchor
             begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             end = np.r_[begin[1:], len(at)]
