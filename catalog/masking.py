@@ -26,6 +26,7 @@ from veilwork.operators.detect import detect, explode_detections
 from veilwork.operators.dictionary import (
     mask_with_pseudonyms,
     mask_with_sha3,
+    mask_with_tables,
     mask_with_tokens,
     merge_tokens,
     pseudonym_dictionary,
@@ -271,6 +272,26 @@ def mask_reversible(spark: SparkSession, sf: str) -> DataFrame:
     return _tokenized(spark, sf)[0].select("doc_id", "source", "masked_text")
 
 
+_MIXED = """(SELECT *, row_number() OVER (
+        PARTITION BY entity_type = 'EMAIL' ORDER BY doc_id, start DESC) AS number FROM final_pass)"""
+
+
+@query(
+    "mask_mixed_dictionaries",
+    with_parts(
+        masked_texts(
+            f"CASE WHEN d.entity_type = 'EMAIL' THEN p.fake ELSE {_TOKEN} END",
+            _MIXED,
+            joins=f"LEFT JOIN ({DICTIONARY_SQL}) p ON p.entity_type = d.entity_type AND p.text = d.text",
+        )
+    ),
+)
+def mask_mixed_dictionaries(spark: SparkSession, sf: str) -> DataFrame:
+    policy = Policy(use_reversible=True, entity_rules={"EMAIL": EntityRule(strategy="pseudo")})
+    masked, _ = mask_with_tables(scan(texts(spark, sf), policy), policy, keyring=keyring(spark))
+    return masked.select("doc_id", "source", "masked_text")
+
+
 @query(
     "restore_tokens",
     with_parts(
@@ -282,7 +303,7 @@ def tokens_restored(spark: SparkSession, sf: str) -> DataFrame:
     tokens = _tokenized(spark, sf)[1]
     known = tokens.select("token")
     asked = known.unionByName(known.select(F.concat("token", F.lit("x")).alias("token")))
-    return restore_tokens(asked, tokens, keyring(spark), ["token"])
+    return restore_tokens(asked, tokens, keyring(spark))
 
 
 @query("restore_text", f"SELECT doc_id, text AS restored_text FROM ({TEXTS_SQL})")
@@ -314,7 +335,7 @@ def token_mapping(spark: SparkSession, sf: str) -> DataFrame:
     merged = merge_tokens(
         read_tokens(spark, f"{path}/first"), read_tokens(spark, f"{path}/second")
     )
-    restored = restore_tokens(merged.select("token"), merged, keyring(spark), ["token"])
+    restored = restore_tokens(merged.select("token"), merged, keyring(spark))
     return merged.select("token", "entity_type", "key_id").join(restored, "token")
 
 

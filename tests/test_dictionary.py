@@ -70,12 +70,43 @@ def test_lookup_with_a_hot_key(spark, counts, share):
     right = right.withColumn("value", F.upper("key"))
     if counts is None:
         right = right.drop("n")
-    out = lookup(left, right, ["key"], ["id"], counts, share).collect()
+    if counts is not None and share == 0.05:
+        right = right.unionByName(spark.createDataFrame([("k1", 30, None)], right.schema))
+    out = lookup(left, right, ["key"], counts, share).collect()
     assert sorted((r.id, r.key, r.value) for r in out) == sorted(
         (i, k, None if k == "k1" else k.upper()) for i, k in rows
     )
 
 
+@pytest.mark.parametrize("known", [True, False])
+def test_a_hot_key_leaves_the_shuffled_join(spark, known):
+    """Its rows stay where they were, whether or not the right side knows it."""
+    left = spark.range(0, 6000, 1, 6).selectExpr(
+        "id", "if(id % 3 = 0, 'hot', concat('k', id % 1000)) AS key"
+    )
+    right = left.select("key").distinct().withColumn("value", F.upper("key"))
+    if not known:
+        right = right.where("key <> 'hot'")
+    settings = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = lookup(left, right, ["key"], share=0.05)
+        placed = out.withColumn("p", F.spark_partition_id())
+        sizes = [r.n for r in placed.groupBy("p").agg(F.count("*").alias("n"), F.max("value")).collect()]
+        values = {(r.key, r.value) for r in out.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 6000 and max(sizes) < 1000
+    assert ("hot", "HOT" if known else None) in values
+
+
 def test_dictionary_follows_first_appearance(table):
     found = explode_detections(scan(table))
     rows = pseudonym_dictionary(found).collect()
@@ -128,7 +159,7 @@ def test_tokens_that_cannot_be_resolved_stay(spark, table, ring):
     text = "a __SHIELD_EMAIL_000001__ b __SHIELD_EMAIL_999999____SHIELD_NO__SHIELD_EMAIL_000003__"
     df = spark.createDataFrame([(1, text), (2, None), (3, "plain")], "doc_id bigint, text string")
     rows = {r.doc_id: r.restored_text for r in restore_text(df, tokens, ring).collect()}
-    original = {r.token: r.original for r in restore_tokens(tokens.select("token"), tokens, ring, ["token"]).collect()}
+    original = {r.token: r.original for r in restore_tokens(tokens.select("token"), tokens, ring).collect()}
     assert rows == {
         1: text.replace("__SHIELD_EMAIL_000001__", original["__SHIELD_EMAIL_000001__"]).replace(
             "__SHIELD_EMAIL_000003__", original["__SHIELD_EMAIL_000003__"]
@@ -138,7 +169,7 @@ def test_tokens_that_cannot_be_resolved_stay(spark, table, ring):
     }
     wrong = ring.where("key_id = 2").withColumn("key_id", F.lit(1))
     for keys in (wrong, ring.where("key_id = 2")):
-        restored = restore_tokens(tokens.select("token"), tokens, keys, ["token"])
+        restored = restore_tokens(tokens.select("token"), tokens, keys)
         assert restored.where("original is not null").count() == 0
         assert restore_text(df, tokens, keys).where("doc_id = 1").first().restored_text == text
 

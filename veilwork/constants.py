@@ -146,7 +146,7 @@ SKIP_ACTION = "skip"
 REDACT_TEMPLATE = "<{entity_type}_REDACTED>"
 HASH_LENGTH = 16
 TOKEN_PREFIX = "__SHIELD_"
-TOKEN_PATTERN = r"__SHIELD_[A-Z0-9_]+?_\d{6,}__"
+TOKEN_PATTERN = r"__SHIELD_(?:[\p{L}\p{N}-]+_)+[0-9]{6,}__"
 PSEUDO_FORMATS = {
     "EMAIL": "user_%04d@anon.example",
     "PHONE_NUMBER": "+1-555-000-%04d",

@@ -85,8 +85,6 @@ def hashed(
 ) -> str:
     """An unknown algorithm is SHA-256 under the given name."""
     data = f"concat({quoted(salt)}, {text})"
-    if algorithm == "sha3_256":
-        raise ValueError("sha3_256 has no SQL form; see operators.dictionary.sha3_dictionary")
     digest = f"md5({data})" if algorithm == "md5" else f"sha2({data}, 256)"
     return f"concat({quoted(algorithm.upper() + ':')}, left({digest}, {length}))"
 
@@ -125,14 +123,20 @@ def token(entity_type: str, number: str) -> str:
     return f"concat({quoted(TOKEN_PREFIX)}, {entity_type}, format_string('_%06d__', {number}))"
 
 
-def splice(text: str, replacements: str, masked: str = "masked") -> str:
+def splice(text: str, replacements: str, masked: str = "masked", restoring: bool = False) -> str:
     """``text`` with every span in ``replacements`` (in text order) replaced.
 
-    A null replacement leaves the span as it is.
+    A span without a replacement never shows what was found: it becomes the redaction
+    of its type.  Only ``restoring``, where spans are tokens, leaves it as it is.
     """
     before = "if(i = 0, 0, spans[i - 1].end)"
+    otherwise = (
+        f"substring({text}, r.start + 1, r.end - r.start)"
+        if restoring
+        else redact("r.entity_type", REDACT_TEMPLATE)
+    )
     piece = f"""concat(substring({text}, {before} + 1, r.start - {before}),
-        coalesce(r.{masked}, substring({text}, r.start + 1, r.end - r.start)))"""
+        coalesce(r.{masked}, {otherwise}))"""
     whole = let(
         replacements,
         "spans",

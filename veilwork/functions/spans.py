@@ -111,16 +111,23 @@ def _candidates(text: str, types: Iterable[str]) -> str:
     return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
 
 
+# Appending copies an array, so matches are gathered in blocks of this many.
+SPANS_BLOCK = 256
+
+
 def spans_of(pieces: str) -> str:
     """The matches among alternating gaps and matches, with their offsets."""
     return f"""aggregate({pieces},
-        named_struct('pos', 0, 'hit', false, 'out', cast(array() as {SPANS_TYPE})),
+        named_struct('pos', 0, 'hit', false,
+            'done', cast(array() as array<{SPANS_TYPE}>), 'out', cast(array() as {SPANS_TYPE})),
         (acc, p) -> named_struct(
             'pos', acc.pos + length(p),
             'hit', not acc.hit,
-            'out', if(acc.hit, array_append(acc.out, named_struct(
-                'start', acc.pos, 'end', acc.pos + length(p), 'text', p)), acc.out)),
-        acc -> acc.out)"""
+            'done', if(acc.hit and size(acc.out) = {SPANS_BLOCK}, array_append(acc.done, acc.out), acc.done),
+            'out', if(acc.hit, array_append(
+                if(size(acc.out) = {SPANS_BLOCK}, cast(array() as {SPANS_TYPE}), acc.out),
+                named_struct('start', acc.pos, 'end', acc.pos + length(p), 'text', p)), acc.out)),
+        acc -> flatten(array_append(acc.done, acc.out)))"""
 
 
 def match_offsets(text: str, pattern: str) -> str:

@@ -15,10 +15,14 @@ from veilwork.functions import masks
 
 @dataclass(frozen=True)
 class Strategy:
-    """``form(entity_type, text)`` gives the SQL of the replacement."""
+    """``form(entity_type, text)`` gives the SQL of the replacement.
+
+    ``sha3`` has the length and the salt of a SHA3-256 digest, which a table gives.
+    """
 
     name: str
     form: Callable[[str, str], str] | None
+    sha3: tuple[int, str] | None = None
 
 
 def redact_strategy(template: str = REDACT_TEMPLATE) -> Strategy:
@@ -32,6 +36,8 @@ def partial_strategy(mark: str = "*", visible: int = 4) -> Strategy:
 def hash_strategy(
     algorithm: str = "sha256", length: int = HASH_LENGTH, salt: str = ""
 ) -> Strategy:
+    if algorithm == "sha3_256":
+        return Strategy("hash", None, (length, salt))
     return Strategy("hash", lambda kind, text: masks.hashed(text, algorithm, length, salt))
 
 
@@ -47,5 +53,5 @@ def get_strategy(name: str, registered: tuple[Strategy, ...] = ()) -> Strategy:
     """A strategy by name; names given in ``registered`` win."""
     known = _DEFAULTS | {s.name: s for s in registered}
     if name not in known:
-        raise ValueError(f"Unknown masking strategy '{name}'. Available: {list(known)}")
+        raise ValueError(f"Unknown masking strategy '{name}'; known are {', '.join(known)}")
     return known[name]

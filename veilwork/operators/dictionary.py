@@ -15,20 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from veilwork.constants import ALL_TYPES, HASH_LENGTH, TOKEN_PREFIX
+from veilwork.constants import HASH_LENGTH, TOKEN_PATTERN, TOKEN_PREFIX
 from veilwork.functions.columns import compute_once, name, quoted
 from veilwork.functions.masks import pseudonym, splice, token
 from veilwork.functions.spans import match_offsets
-from veilwork.functions.strategies import Strategy
+from veilwork.functions.strategies import hash_strategy
 from veilwork.operators.detect import DETECTION_FIELDS
 from veilwork.operators.lookup import lookup, with_positions
-from veilwork.operators.rules import broadcast_if_small
 from veilwork.plans.scan import mask, replacements
 from veilwork.policy import Policy
 from veilwork.session import materialized
 
-KNOWN_TOKEN = TOKEN_PREFIX + "(?:" + "|".join(ALL_TYPES) + r")_[0-9]{6,}__"
-
 
 def _first_place(values: DataFrame, key: Sequence[str]) -> Column:
     """Where a value appears first: smallest key, then rightmost in the text.
@@ -64,7 +61,7 @@ def pseudonym_dictionary(
         distinct = distinct.join(
             known.select("entity_type", "text"), ["entity_type", "text"], "left_anti"
         )
-    placed = with_positions(distinct, ["entity_type", "_first"])
+    placed = with_positions(distinct, ["entity_type", "_first", "text"])
     # one row per type from here on
     bases = placed.groupBy("entity_type").agg(F.min("position").alias("_base"))
     if known is not None:
@@ -82,68 +79,111 @@ def pseudonym_dictionary(
 
 
 def _open_values(hits: DataFrame, key: Sequence[str], strategy: str) -> DataFrame:
-    """The redactions of one strategy that still lack their replacement."""
+    """The redactions of one strategy that still lack their replacement.
+
+    ``_row`` tells the texts apart, whatever their keys; keys only give the order.
+    """
     return hits.select(
-        *[name(k) for k in key], F.posexplode("redactions").alias("_i", "r")
+        "_row", *[name(k) for k in key if k != "_row"], F.posexplode("redactions").alias("_i", "r")
     ).where(f"r.masked is null and r.strategy = {quoted(strategy)}").select(
-        *[name(k) for k in key], "_i", "r.entity_type", "r.start", "r.text"
+        "_row",
+        *[name(k) for k in key if k != "_row"],
+        "_i",
+        "r.entity_type",
+        "r.start",
+        "r.text",
     )
 
 
-def _finish(
-    waiting: DataFrame, rest: DataFrame, found: DataFrame, key: Sequence[str], text: str
-) -> DataFrame:
-    """Put looked-up replacements (key, _i, masked) back and splice all texts.
+def _finish(waiting: DataFrame, rest: DataFrame, found: DataFrame, text: str) -> DataFrame:
+    """Put looked-up replacements (_row, _i, masked) back and splice all texts.
 
     A group here is the redactions of one text.
     """
-    by_text = found.groupBy(*key).agg(
+    by_text = found.groupBy("_row").agg(
         F.map_from_entries(F.collect_list(F.struct("_i", "masked"))).alias("_filled")
     )
     fields = ", ".join(f"'{f}', r.{f}" for f in (*DETECTION_FIELDS, "strategy"))
     redactions = f"""transform(redactions, (r, i) -> named_struct({fields},
         'masked', coalesce(r.masked, try_element_at(_filled, i))))"""
-    filled = compute_once(waiting.join(by_text, list(key), "left"), redactions=redactions)
-    columns = list(map(name, waiting.columns))
+    filled = compute_once(waiting.join(by_text, "_row", "left"), redactions=redactions)
+    columns = list(map(name, rest.columns))
     both = filled.select(*columns).unionByName(rest.select(*columns))
     return both.withColumn("masked_text", F.expr(splice(name(text), "redactions")))
 
 
 def _split_open(scanned: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame]:
-    """(texts that wait for a lookup, kept on shared storage; the others).
+    """(texts that wait for a lookup, kept on shared storage with a row number; the others).
 
     The others are scanned again when they are written: a second pass over the
     texts is cheaper than shuffling or storing every one of them.
     """
     ready = replacements(scanned, policy)
     waiting = "exists(redactions, r -> r.masked is null)"
-    return materialized(ready.where(waiting)), ready.where(f"not {waiting}")
+    if "_row" in ready.columns:
+        return materialized(ready.where(waiting)), ready.where(f"not {waiting}")
+    numbered = ready.where(waiting).withColumn("_row", F.monotonically_increasing_id())
+    return materialized(numbered), ready.where(f"not {waiting}")
 
 
-def mask_with_pseudonyms(
+def mask_with_tables(
     scanned: DataFrame,
     policy: Policy,
     key: Sequence[str] = ("doc_id",),
     text: str = "text",
     dictionary: Callable[[DataFrame], DataFrame] | None = None,
-) -> DataFrame:
-    """Mask, with consistent fakes for the types whose strategy is ``pseudo``.
+    keyring: DataFrame | None = None,
+    key_id: int = 1,
+    first: int = 1,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Mask with every strategy of the policy, alone or mixed: (masked table, token table).
 
-    ``dictionary`` maps the values at hand to a dictionary table that covers
-    them; when it is missing a new dictionary is made.
+    Consistent fakes for ``pseudo``, digests for SHA3, and tokens that can be undone where
+    the policy is reversible and there is a keyring; without one the default strategy is used
+    and there is no token table.  ``dictionary`` maps the values at hand to a dictionary
+    table that covers them; when it is missing a new dictionary is made.
     """
+    if keyring is None:
+        policy = policy.without_tokens()
+    if not policy.needs_tables():
+        return mask(scanned, policy, text), None
     waiting, rest = _split_open(scanned, policy)
-    values = _open_values(waiting, key, "pseudo")
-    on, spread_by = ["entity_type", "text"], [*key, "_i"]
-    if dictionary is None:
-        fakes = materialized(pseudonym_dictionary(values, key)).select(
-            *on, F.col("fake").alias("masked"), "n"
-        )
-        found = lookup(values, fakes, on, spread_by, counts="n")
-    else:
-        fakes = dictionary(values).select(*on, F.col("fake").alias("masked"))
-        found = lookup(values, fakes, on, spread_by)
-    return _finish(waiting, rest, found, key, text)
+    on, parts, tokens = ["entity_type", "text"], [], None
+    answer = ["_row", "_i", "masked"]
+    if policy.uses("pseudo"):
+        values = _open_values(waiting, key, "pseudo")
+        if dictionary is None:
+            fakes = materialized(pseudonym_dictionary(values, key))
+            found = lookup(values, fakes.select(*on, F.col("fake").alias("masked"), "n"), on, "n")
+        else:
+            fakes = dictionary(values).select(*on, F.col("fake").alias("masked"))
+            found = lookup(values, fakes, on)
+        parts.append(found.select(*answer))
+    for strategy in {s.name: s for s in policy.strategies_in_use() if s.sha3}.values():
+        values = _open_values(waiting, key, strategy.name)
+        digests = materialized(sha3_dictionary(values, *strategy.sha3))
+        found = lookup(values, digests.withColumnRenamed("fake", "masked"), on, "n")
+        parts.append(found.select(*answer))
+    if policy.uses("reversible"):
+        values = _open_values(waiting, key, "reversible")
+        numbered = materialized(number_tokens(values, [*key, "_row"], first))
+        parts.append(numbered.select("_row", "_i", F.col("token").alias("masked")))
+        tokens = encrypt_tokens(numbered, keyring, key_id)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return _finish(waiting, rest, found, text), tokens
+
+
+def mask_with_pseudonyms(
+    scanned: DataFrame,
+    policy: Policy,
+    key: Sequence[str] = ("doc_id",),
+    text: str = "text",
+    dictionary: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Mask, with consistent fakes for the types whose strategy is ``pseudo``."""
+    return mask_with_tables(scanned, policy, key, text, dictionary)[0]
 
 
 @F.pandas_udf(StringType())
@@ -169,14 +209,10 @@ def mask_with_sha3(
     salt: str = "",
 ) -> DataFrame:
     """Mask every detection with its SHA3-256 digest."""
-    policy = Policy(default_strategy="hash", strategies=(Strategy("hash", None),))
-    waiting, rest = _split_open(scanned, policy)
-    values = _open_values(waiting, key, "hash")
-    digests = materialized(sha3_dictionary(values, length, salt)).withColumnRenamed(
-        "fake", "masked"
+    policy = Policy(
+        default_strategy="hash", strategies=(hash_strategy("sha3_256", length, salt),)
     )
-    found = lookup(values, digests, ["entity_type", "text"], [*key, "_i"], counts="n")
-    return _finish(waiting, rest, found, key, text)
+    return mask_with_tables(scanned, policy, key, text)[0]
 
 
 def number_tokens(values: DataFrame, key: Sequence[str], first: int = 1) -> DataFrame:
@@ -197,7 +233,7 @@ def encrypt_tokens(numbered: DataFrame, keyring: DataFrame, key_id: int) -> Data
     plan.  The nonce is a digest of key, token and text: recomputing a lost
     partition gives the same bytes, and no two different texts share a nonce.
     """
-    ring = broadcast_if_small(keyring.where(F.col("key_id") == key_id))
+    ring = F.broadcast(keyring.where(F.col("key_id") == key_id).limit(1))
     nonce = "unhex(left(sha2(concat(key, encode(concat(token, text), 'UTF-8')), 256), 24))"
     cipher = f"aes_encrypt(encode(text, 'UTF-8'), key, 'GCM', 'DEFAULT', {nonce})"
     return (
@@ -221,27 +257,27 @@ def mask_with_tokens(
     Types with a rule keep their own strategy.  Without a keyring the default
     strategy is used and there is no token table.
     """
-    if keyring is None:
-        return mask(scanned, replace(policy, use_reversible=False), text), None
-    waiting, rest = _split_open(scanned, replace(policy, use_reversible=True))
-    values = _open_values(waiting, key, "reversible")
-    numbered = materialized(number_tokens(values, key, first))
-    found = numbered.select(*map(name, key), "_i", F.col("token").alias("masked"))
-    masked = _finish(waiting, rest, found, key, text)
-    return masked, encrypt_tokens(numbered, keyring, key_id)
+    return mask_with_tables(
+        scanned,
+        replace(policy, use_reversible=True),
+        key,
+        text,
+        keyring=keyring,
+        key_id=key_id,
+        first=first,
+    )
 
 
 def restore_tokens(
-    requested: DataFrame, tokens: DataFrame, keyring: DataFrame, spread_by: Sequence[str]
+    requested: DataFrame, tokens: DataFrame, keyring: DataFrame
 ) -> DataFrame:
     """Add ``original`` to a table with a ``token`` column.
 
     Unknown tokens, missing keys and wrong keys give null.
     """
-    found = lookup(requested, tokens.select("token", "key_id", "ciphertext"), ["token"], spread_by)
-    ring = broadcast_if_small(keyring)
+    found = lookup(requested, tokens.select("token", "key_id", "ciphertext"), ["token"])
     return (
-        found.join(ring, "key_id", "left")
+        lookup(found, keyring.select("key_id", "key"), ["key_id"])
         .withColumn(
             "original",
             F.expr("cast(try_aes_decrypt(ciphertext, key, 'GCM', 'DEFAULT') as string)"),
@@ -254,34 +290,35 @@ def restore_text(
     df: DataFrame,
     tokens: DataFrame,
     keyring: DataFrame,
-    key: Sequence[str] = ("doc_id",),
     text: str = "text",
     restored: str = "restored_text",
 ) -> DataFrame:
     """Replace every token that can be resolved; everything else stays."""
     t = name(text)
-    spans = match_offsets(t, KNOWN_TOKEN)
+    spans = match_offsets(t, TOKEN_PATTERN)
     guarded = f"if(contains({t}, {quoted(TOKEN_PREFIX)}), {spans}, null)"
     marked = compute_once(df, _spans=guarded)
-    waiting = materialized(marked.where("size(_spans) > 0"))
+    waiting = materialized(
+        marked.where("size(_spans) > 0").withColumn("_row", F.monotonically_increasing_id())
+    )
     rest = marked.where("not coalesce(size(_spans) > 0, false)")
-    asked = waiting.select(
-        *map(name, key), F.posexplode("_spans").alias("_i", "s")
-    ).select(*map(name, key), "_i", F.col("s.text").alias("token"))
+    asked = waiting.select("_row", F.posexplode("_spans").alias("_i", "s")).select(
+        "_row", "_i", F.col("s.text").alias("token")
+    )
     answers = (
-        restore_tokens(asked, tokens, keyring, [*key, "_i"])
+        restore_tokens(asked, tokens, keyring)
         .where("length(original) > 0")
-        .groupBy(*key)
+        .groupBy("_row")
         .agg(F.map_from_entries(F.collect_list(F.struct("_i", "original"))).alias("_originals"))
     )
-    filled = waiting.join(answers, list(key), "left").withColumn(
+    filled = waiting.join(answers, "_row", "left").withColumn(
         "_spans",
         F.expr(
             """transform(_spans, (s, i) -> named_struct('start', s.start, 'end', s.end,
                 'masked', try_element_at(_originals, i)))"""
         ),
     )
-    done = filled.withColumn(restored, F.expr(splice(t, "_spans")))
+    done = filled.withColumn(restored, F.expr(splice(t, "_spans", restoring=True)))
     return done.select(*map(name, df.columns), restored).unionByName(
         rest.withColumn(restored, F.col(t)).select(*map(name, df.columns), restored)
     )

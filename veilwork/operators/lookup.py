@@ -59,45 +59,33 @@ def lookup(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
-    spread_by: Sequence[str],
     counts: str | None = None,
     share: float = HOT_SHARE,
 ) -> DataFrame:
     """Left join of many rows with a table that has one row per key.
 
-    Hot keys are answered from a broadcast table of fewer than ``1 / share``
-    rows.  Their rows get a spread-out key that matches nothing in the shuffled
-    join, so a value that fills a third of all rows never meets in one task.
-    ``counts`` names a column of ``right`` with the number of rows per key; when
-    it is missing they are counted here.  ``left`` is read more than once.
+    Rows with a hot key do not take part in the shuffled join at all: they meet a
+    broadcast table of hot keys, fewer than ``1 / share``, whether or not ``right`` knows
+    the key.  So a value that fills a third of all rows never meets in one task.
+    ``counts`` names a column of ``right`` with the number of rows of ``left`` per key,
+    if it covers them all; when it is missing they are counted here.  Both tables are
+    read more than once.
     """
+    keys = list(on)
+    side = right.select(*[c for c in right.columns if c != counts])
+    least = max(left.count() * share, 1)
     if counts is None:
-        per_key = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-        total = per_key.agg(F.sum("_n")).first()[0] or 0
-        hot_keys = per_key.where(F.col("_n") > max(total * share, 1)).select(*on)
-        hot = right.join(F.broadcast(hot_keys), list(on), "left_semi")
-        values = [c for c in right.columns if c not in on]
+        counted = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        hot_keys = counted.where(F.col("_n") > least).select(*keys)
     else:
-        total = right.agg(F.sum(counts)).first()[0] or 0
-        hot = right.where(F.col(counts) > max(total * share, 1))
-        values = [c for c in right.columns if c not in (*on, counts)]
-
-    packed = F.struct(*[F.col(v) for v in values])
-    hot_side = hot.select(*on, packed.alias("_hot"))
-    cold_side = right.select(
-        *[F.col(k).alias(f"_{k}") for k in on],
-        F.lit("").alias("_salt"),
-        packed.alias("_cold"),
-    )
-    salted = left.join(F.broadcast(hot_side), list(on), "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot").isNull(), F.lit("")).otherwise(
-            F.concat_ws("|", F.lit("hot"), *[F.col(k).cast("string") for k in spread_by])
-        ),
-    )
-    match = [F.col(k) == F.col(f"_{k}") for k in on]
-    joined = salted.join(cold_side, [*match, salted["_salt"] == cold_side["_salt"]], "left")
-    both = F.coalesce("_hot", "_cold")
-    return joined.select(
-        *[F.col(name(c)) for c in left.columns], *[both[v].alias(v) for v in values]
+        hot_keys = right.where(F.col(counts) > least).select(*keys)
+    hot_keys = materialized(hot_keys)
+    if hot_keys.isEmpty():
+        return left.join(side, keys, "left").select(*map(name, [*left.columns, *side.drop(*keys).columns]))
+    hot_side = side.join(F.broadcast(hot_keys), keys, "left_semi")
+    hot = left.join(F.broadcast(hot_keys), keys, "left_semi").join(
+        F.broadcast(hot_side), keys, "left"
     )
+    cold = left.join(F.broadcast(hot_keys), keys, "left_anti").join(side, keys, "left")
+    columns = [*left.columns, *side.drop(*keys).columns]
+    return hot.select(*map(name, columns)).unionByName(cold.select(*map(name, columns)))

@@ -7,7 +7,7 @@ Masking and rebuilding happen inside the row, without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 from veilwork.constants import DEFAULT_SOURCE
 from veilwork.functions.columns import compute_once, name
 from veilwork.functions.masks import splice
-from veilwork.operators.dictionary import mask_with_pseudonyms
+from veilwork.operators.dictionary import mask_with_tables
 from veilwork.plans.scan import find, redactions_of, scan, stages
 from veilwork.policy import Policy
+from veilwork.session import materialized
 
+# A longer line may be valid JSON that Spark's parser refuses, so it is not taken for
+# text that is no JSON.
+LONGEST_LINE = 16_000_000
 # In an object with repeated keys the last one counts.
 REPEATED_KEYS_SETTING = "spark.sql.variant.allowDuplicateKeys"
 
@@ -39,6 +43,13 @@ def _parsed(df: DataFrame, line: str) -> DataFrame:
     return compute_once(parsed, _content=content)
 
 
+def _unread(line: str) -> str:
+    """SQL: a line that names a result and is too long to be sure that it is no JSON."""
+    raw = name(line)
+    named = rf"(contains({raw}, 'result') or contains({raw}, '\\u'))"
+    return f"(_message is null and length({raw}) > {LONGEST_LINE} and {named})"
+
+
 def _tool_name() -> str:
     return (
         f"coalesce(try_variant_get(_message, '$.result._meta.tool_name', 'string'),"
@@ -60,7 +71,9 @@ def _block_text(block: str) -> str:
 def classify_messages(
     df: DataFrame, policy: Policy = Policy(), line: str = "line"
 ) -> DataFrame:
-    """Add ``message_class`` (candidate or passthrough) and ``tool_name``.
+    """Add ``message_class`` (candidate, passthrough or unread) and ``tool_name``.
+
+    An unread line is too long for the parser; it is masked to null, not passed on.
 
     ``tool_name`` is null where a line has no list of content.
     """
@@ -71,7 +84,7 @@ def classify_messages(
         "message_class",
         F.expr(
             f"if(_content is not null and {policy.scans('tool_name')},"
-            " 'candidate', 'passthrough')"
+            f" 'candidate', if({_unread(line)}, 'unread', 'passthrough'))"
         ),
     ).drop("_message", "_content")
 
@@ -162,8 +175,23 @@ def mask_messages(
     A line in which nothing is found stays as it is, byte for byte; a changed one
     is equal as JSON in everything but the masked texts.
     """
-    if policy.uses("pseudo") and not policy.dry_run:
-        return _mask_messages_with_pseudonyms(df, policy, key, line)
+    return mask_messages_reversibly(df, policy, None, 1, key, line)[0]
+
+
+def mask_messages_reversibly(
+    df: DataFrame,
+    policy: Policy,
+    keyring: DataFrame | None,
+    key_id: int = 1,
+    key: Sequence[str] = ("msg_id",),
+    line: str = "line",
+    dictionary: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """``mask_messages`` with all strategies: (masked messages, token table or None)."""
+    if keyring is None:
+        policy = policy.without_tokens()
+    if policy.needs_tables():
+        return _mask_with_tables(df, policy, key, line, keyring, key_id, dictionary)
     out = scan_messages(df, policy, line)
     masked = splice("block_text", redactions_of(policy, "block_found"))
     out = compute_once(
@@ -171,7 +199,7 @@ def mask_messages(
         block_masked=f"""zip_with(block_texts, block_detections,
             (block_text, block_found) -> if(size(block_found) > 0, {masked}, null))""",
     )
-    return _put_back(out, df, line)
+    return _put_back(out, df, line), None
 
 
 def _put_back(out: DataFrame, df: DataFrame, line: str) -> DataFrame:
@@ -186,39 +214,51 @@ def _put_back(out: DataFrame, df: DataFrame, line: str) -> DataFrame:
             "blocks_with_pii"
         ),
         "block_masked",
-        F.expr(f"if({hits}, coalesce({_rebuilt('block_masked')}, {raw}), {raw})").alias(
+        # a changed message that cannot be written, or one that could not be read, is
+        # held back, never passed on as it is
+        F.expr(f"if({hits}, {_rebuilt('block_masked')}, if({_unread(line)}, null, {raw}))").alias(
             "masked_line"
         ),
     )
 
 
-def _mask_messages_with_pseudonyms(
-    df: DataFrame, policy: Policy, key: Sequence[str], line: str
-) -> DataFrame:
-    """Block texts go through the dictionary as a table of their own.
-
-    Only messages with detections meet again by key; a group is one message.
+def _mask_with_tables(
+    df: DataFrame,
+    policy: Policy,
+    key: Sequence[str],
+    line: str,
+    keyring: DataFrame | None,
+    key_id: int,
+    dictionary: Callable[[DataFrame], DataFrame] | None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Block texts go through the dictionaries as a table of their own.
+
+    Messages are stored with a row number, so that null and repeated keys do no harm; keys
+    only give the order.  Only messages with detections meet again; a group is one message.
     """
-    blocks = explode_blocks(df, key, line)
-    block_key = [*key, "block"]
-    masked = mask_with_pseudonyms(scan(blocks, policy, block_key), policy, block_key)
+    numbered = materialized(df.withColumn("_message_row", F.monotonically_increasing_id()))
+    block_key = [*key, "_message_row", "block"]
+    blocks = explode_blocks(numbered, block_key[:-1], line)
+    masked, tokens = mask_with_tables(
+        scan(blocks, policy, block_key), policy, block_key, "text", dictionary, keyring, key_id
+    )
     by_message = (
         masked.where("size(detections) > 0")
-        .groupBy(*key)
+        .groupBy("_message_row")
         .agg(F.map_from_entries(F.collect_list(F.struct("block", "masked_text"))).alias("_new"))
     )
     out = (
-        _parsed(df, line)
+        _parsed(numbered, line)
         .withColumn("source", F.expr(_tool_name()))
         .withColumn("scanned", F.expr(f"_content is not null and {policy.scans('source')}"))
-        .join(by_message, list(key), "left")
+        .join(by_message, "_message_row", "left")
     )
     out = compute_once(
         out,
         block_masked="""if(_new is null, null,
             transform(_content, (b, i) -> try_element_at(_new, i)))""",
     )
-    return _put_back(out, df, line)
+    return _put_back(out, df, line), tokens
 
 
 def message_stats(masked: DataFrame) -> DataFrame:

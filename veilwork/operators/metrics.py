@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -81,11 +82,14 @@ def latency_percentiles(
         F.col(column).alias("value")
     ).agg(F.count(F.lit(1)).alias("n"))
     placed = with_positions(counted, ["value"])
-    total = int(placed.agg(F.sum("n")).first()[0] or 0)
+    sizes = placed.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("values")).first()
+    total = int(sizes["rows"] or 0)
     ranks = _ranks(max(total, 1), percentiles)
-    # Neighbouring values share a block; only the blocks that hold a wanted
-    # place (one per percentile) are looked into.
-    blocked = placed.withColumn("block", F.floor(F.col("position") / BLOCK_ROWS))
+    # Neighbouring values share a block; only the blocks that hold a wanted place (one per
+    # percentile) are looked into.  With as many blocks as a block has values, neither the
+    # list of blocks nor a block grows faster than the root of their number.
+    block_rows = max(BLOCK_ROWS, math.isqrt(sizes["values"]))
+    blocked = placed.withColumn("block", F.floor(F.col("position") / block_rows))
     sums = blocked.groupBy("block").agg(F.sum("n").alias("rows"))
     wanted = " or ".join(
         f"(before <= {at} and {at} < before + rows)" for at in ranks.values()

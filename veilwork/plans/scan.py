@@ -118,8 +118,12 @@ def replacements(scanned: DataFrame, policy: Policy) -> DataFrame:
 def mask(scanned: DataFrame, policy: Policy = Policy(), text: str = "text") -> DataFrame:
     """Add ``redactions`` and ``masked_text`` to a scanned table.
 
-    For strategies with an SQL form; ``operators.dictionary`` has the others.
+    For strategies with an SQL form; ``operators.dictionary.mask_with_tables`` has all.
+    Without a key there are no tokens: the default strategy takes their place.
     """
+    policy = policy.without_tokens()
+    if policy.needs_tables():
+        raise ValueError("pseudonyms and SHA3 digests need scan_and_mask or mask_with_tables")
     spliced = F.expr(splice(name(text), "redactions"))
     return replacements(scanned, policy).withColumn("masked_text", spliced)
 
@@ -132,10 +136,29 @@ def scan_and_mask(
     source: str = "source",
     ner: DataFrame | None = None,
 ) -> DataFrame:
-    """``scan`` followed by the masking the policy asks for, pseudonyms included."""
+    """``scan`` followed by the masking the policy asks for, all strategies included.
+
+    Tokens need a key: ``scan_and_mask_reversibly`` takes one and returns their table.
+    """
+    return scan_and_mask_reversibly(df, policy, None, 1, key, text, source, ner)[0]
+
+
+def scan_and_mask_reversibly(
+    df: DataFrame,
+    policy: Policy,
+    keyring: DataFrame | None,
+    key_id: int = 1,
+    key: Sequence[str] = ("doc_id",),
+    text: str = "text",
+    source: str = "source",
+    ner: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """(masked table, token table or None)."""
     scanned = scan(df, policy, key, text, source, ner)
-    if policy.dry_run or not policy.uses("pseudo"):
-        return mask(scanned, policy, text)
-    from veilwork.operators.dictionary import mask_with_pseudonyms
+    if keyring is None:
+        policy = policy.without_tokens()
+    if not policy.needs_tables():
+        return mask(scanned, policy, text), None
+    from veilwork.operators.dictionary import mask_with_tables
 
-    return mask_with_pseudonyms(scanned, policy, key, text)
+    return mask_with_tables(scanned, policy, key, text, keyring=keyring, key_id=key_id)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from veilwork.constants import (
     ALERT_EVENT,
@@ -113,6 +113,17 @@ class Policy:
         cases = [f"when {literal(name)} then {form}" for name, form in forms.items()]
         return f"case {self.strategy_name(kind)} {' '.join(cases)} end"
 
+    def strategies_in_use(self) -> list[Strategy]:
+        return [self.fallback_strategy(), *self._by_type().values()]
+
+    def needs_tables(self) -> bool:
+        """Does some replacement depend on other texts, or on what SQL lacks?"""
+        return not self.dry_run and any(s.form is None for s in self.strategies_in_use())
+
+    def without_tokens(self) -> Policy:
+        """The policy when there is no key for reversible tokens."""
+        return replace(self, use_reversible=False) if self.use_reversible else self
+
     def uses(self, strategy: str) -> bool:
         names = {self.fallback_strategy().name, *(s.name for s in self._by_type().values())}
         return strategy in names

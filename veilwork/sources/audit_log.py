@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from veilwork.operators.audit import AUDIT_SCHEMA
 
 
+_CORRUPT = "_corrupt_record"
+_READ_SCHEMA = f"{AUDIT_SCHEMA}, {_CORRUPT} string"
+
+
 def write_audit(events: DataFrame, path: str) -> None:
     """Append events; fields without a value are left out of a line."""
     events.write.mode("append").json(path)
@@ -21,9 +25,10 @@ def parse_audit(lines: DataFrame, line: str = "value") -> DataFrame:
     return (
         lines.select(trimmed)
         .where(F.col("_line").startswith("{"))
-        .where(F.try_parse_json("_line").isNotNull())
-        .select(F.from_json("_line", AUDIT_SCHEMA).alias("_event"))
+        .select(F.from_json("_line", _READ_SCHEMA, {"columnNameOfCorruptRecord": _CORRUPT}).alias("_event"))
+        .where(F.col("_event").isNotNull() & F.col(f"_event.{_CORRUPT}").isNull())
         .select("_event.*")
+        .drop(_CORRUPT)
     )
 
 

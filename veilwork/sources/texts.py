@@ -11,6 +11,10 @@ from veilwork.constants import DEFAULT_SOURCE
 from veilwork.functions.columns import name
 
 
+# A source with a third of all rows still fills several tasks.
+FILES_PER_VALUE = 32
+
+
 def as_texts(
     df: DataFrame,
     key: Sequence[str] = ("doc_id",),
@@ -52,11 +56,13 @@ def write_masked(
 ) -> None:
     """Write the masked text in place of the original.
 
-    Detections are not written: they hold the original values.
+    Detections are not written: they hold the original values.  With ``partition_by`` the
+    rows of a value come to ``FILES_PER_VALUE`` tasks at most, so that there is no file for
+    each task and value; the text is shuffled once for that, and ``None`` avoids it.
     """
-    writer = (
-        masked.select(*map(name, key), "source", F.col("masked_text").alias("text"))
-        .write.format(format)
-        .mode(mode)
-    )
+    rows = masked.select(*map(name, key), "source", F.col("masked_text").alias("text"))
+    if partition_by:
+        spread = F.pmod(F.xxhash64(*map(name, key)), F.lit(FILES_PER_VALUE))
+        rows = rows.repartition(F.col(name(partition_by)), spread)
+    writer = rows.write.format(format).mode(mode)
     (writer.partitionBy(partition_by) if partition_by else writer).save(path)

@@ -7,7 +7,7 @@ number and overwrites it, so a replayed batch leaves no duplicates.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from veilwork.operators.audit import audit_events
 from veilwork.operators.detect import explode_detections
 from veilwork.operators.dictionary import mask_with_pseudonyms, pseudonym_dictionary
-from veilwork.operators.messages import mask_messages
-from veilwork.plans.scan import mask, scan
+from veilwork.operators.messages import mask_messages, mask_messages_reversibly
+from veilwork.plans.scan import mask, scan, scan_and_mask
 from veilwork.policy import Policy
 
 DICTIONARY_SCHEMA = (
@@ -26,8 +26,17 @@ DICTIONARY_SCHEMA = (
 )
 
 
-def _start(writer, checkpoint: str) -> StreamingQuery:
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+# Take what there is and end.  ``{"processingTime": "10 seconds"}`` runs on.
+ONCE: Mapping[str, object] = {"availableNow": True}
+
+
+def _start(writer, checkpoint: str, trigger: Mapping[str, object]) -> StreamingQuery:
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _stateless(policy: Policy) -> None:
+    if policy.without_tokens().needs_tables():
+        raise ValueError("this policy needs a dictionary: use stream_pseudonyms or stream_message_pseudonyms")
 
 
 def batch_folder(path: str, batch_id: int) -> str:
@@ -40,19 +49,26 @@ def stream_mask_text(
     checkpoint: str,
     policy: Policy = Policy(),
     key: Sequence[str] = ("doc_id",),
+    trigger: Mapping[str, object] = ONCE,
 ) -> StreamingQuery:
     """Mask a stream of texts into a Parquet folder."""
+    _stateless(policy)
     masked = mask(scan(texts, policy, key), policy)
     out = masked.select(*key, "source", F.col("masked_text").alias("text"))
-    return _start(out.writeStream.format("parquet").option("path", path), checkpoint)
+    return _start(out.writeStream.format("parquet").option("path", path), checkpoint, trigger)
 
 
 def stream_mask_messages(
-    lines: DataFrame, path: str, checkpoint: str, policy: Policy = Policy()
+    lines: DataFrame,
+    path: str,
+    checkpoint: str,
+    policy: Policy = Policy(),
+    trigger: Mapping[str, object] = ONCE,
 ) -> StreamingQuery:
     """Mask a stream of message lines into a folder of lines."""
+    _stateless(policy)
     out = mask_messages(lines, policy).select(F.col("masked_line").alias("value"))
-    return _start(out.writeStream.format("text").option("path", path), checkpoint)
+    return _start(out.writeStream.format("text").option("path", path), checkpoint, trigger)
 
 
 def read_dictionary(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
@@ -73,6 +89,7 @@ def stream_pseudonyms(
     checkpoint: str,
     policy: Policy = Policy(default_strategy="pseudo"),
     key: Sequence[str] = ("doc_id",),
+    trigger: Mapping[str, object] = ONCE,
 ) -> StreamingQuery:
     """Mask with fakes that stay the same over all micro-batches.
 
@@ -81,22 +98,51 @@ def stream_pseudonyms(
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-
-        def extend(values: DataFrame) -> DataFrame:
-            known = read_dictionary(spark, dictionary, before=batch_id)
-            new = pseudonym_dictionary(values, key, known)
-            folder = batch_folder(dictionary, batch_id)
-            new.write.mode("overwrite").parquet(folder)
-            stored = spark.read.schema(new.schema).parquet(folder)
-            return known.drop("batch_id").unionByName(stored)
-
+        extend = _extending(batch.sparkSession, dictionary, batch_id, key)
         masked = mask_with_pseudonyms(scan(batch, policy, key), policy, key, dictionary=extend)
         masked.select(*key, "source", F.col("masked_text").alias("text")).write.mode(
             "overwrite"
         ).parquet(batch_folder(path, batch_id))
 
-    return _start(texts.writeStream.foreachBatch(each), checkpoint)
+    return _start(texts.writeStream.foreachBatch(each), checkpoint, trigger)
+
+
+def _extending(
+    spark: SparkSession, dictionary: str, batch_id: int, key: Sequence[str]
+) -> Callable[[DataFrame], DataFrame]:
+    """The stored dictionary with the values of a batch added to it."""
+
+    def extend(values: DataFrame) -> DataFrame:
+        known = read_dictionary(spark, dictionary, before=batch_id)
+        new = pseudonym_dictionary(values, key, known)
+        folder = batch_folder(dictionary, batch_id)
+        new.write.mode("overwrite").parquet(folder)
+        stored = spark.read.schema(new.schema).parquet(folder)
+        return known.drop("batch_id").unionByName(stored)
+
+    return extend
+
+
+def stream_message_pseudonyms(
+    lines: DataFrame,
+    path: str,
+    dictionary: str,
+    checkpoint: str,
+    policy: Policy = Policy(default_strategy="pseudo"),
+    key: Sequence[str] = ("msg_id",),
+    trigger: Mapping[str, object] = ONCE,
+) -> StreamingQuery:
+    """``stream_pseudonyms`` for message lines: key columns and ``line``."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        block_key = [*key, "_message_row", "block"]
+        extend = _extending(batch.sparkSession, dictionary, batch_id, block_key)
+        masked, _ = mask_messages_reversibly(batch, policy, None, key=key, dictionary=extend)
+        masked.select(*key, F.col("masked_line").alias("line")).write.mode("overwrite").parquet(
+            batch_folder(path, batch_id)
+        )
+
+    return _start(lines.writeStream.foreachBatch(each), checkpoint, trigger)
 
 
 def stream_audit(
@@ -106,16 +152,17 @@ def stream_audit(
     timestamp: Column | str,
     policy: Policy = Policy(),
     key: Sequence[str] = ("doc_id",),
+    trigger: Mapping[str, object] = ONCE,
 ) -> StreamingQuery:
     """Append the audit events of a stream as JSON lines, a folder per batch."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        masked = mask(scan(batch, policy, key), policy)
+        masked = scan_and_mask(batch, policy, key)
         audit_events(masked, timestamp, dry_run=policy.dry_run).write.mode("overwrite").json(
             batch_folder(path, batch_id)
         )
 
-    return _start(texts.writeStream.foreachBatch(each), checkpoint)
+    return _start(texts.writeStream.foreachBatch(each), checkpoint, trigger)
 
 
 def stream_entity_counts(
@@ -124,6 +171,7 @@ def stream_entity_counts(
     checkpoint: str,
     policy: Policy = Policy(),
     key: Sequence[str] = ("doc_id",),
+    trigger: Mapping[str, object] = ONCE,
 ) -> StreamingQuery:
     """Running number of detections per type; the folder holds the latest counts.
 
@@ -138,4 +186,4 @@ def stream_entity_counts(
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(path)
 
-    return _start(counts.writeStream.outputMode("complete").foreachBatch(each), checkpoint)
+    return _start(counts.writeStream.outputMode("complete").foreachBatch(each), checkpoint, trigger)
