@@ -33,6 +33,7 @@ def library():
 
 def same(library, text):
     ids = np.frombuffer(bpe.byte_pairs(PATH).encode(text), "<u4").tolist()
+    assert ids == np.frombuffer(bpe.byte_pairs(PATH, True).encode(text), "<u4").tolist()
     expected = library.encode(text, add_special_tokens=False).ids
     assert ids == expected
     assert bpe.byte_pairs(PATH).decode(ids) == library.decode(expected, skip_special_tokens=False)

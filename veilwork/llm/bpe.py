@@ -12,6 +12,8 @@ import hashlib
 import heapq
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -23,26 +25,34 @@ from pyspark.sql import DataFrame
 from veilwork.llm.base import map_rows, whole_text
 
 # Texts in memory of a task: entries and the longest text that is kept.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 300_000
 MEMO_LONGEST = 64
 
 _NEVER = 1 << 60
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 # str.split() also cuts at these, the tokenizer does not
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 class Memo(dict):
-    """A dictionary that computes what it lacks, and starts afresh when full."""
+    """A dictionary that computes what it lacks.
 
-    def __init__(self, compute):
+    When it is full it becomes the old generation, from which entries still in use
+    come back; what was not asked for since goes with the generation after.
+    """
+
+    def __init__(self, compute, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.compute = compute
+        self.compute, self.entries, self.old = compute, entries, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(key) <= MEMO_LONGEST:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= self.entries:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -51,12 +61,14 @@ class Memo(dict):
 class BytePairs:
     """Encoder and decoder for a ``tokenizers`` file: BPE with word ends, no decoder."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, by_library: bool = False) -> None:
+        """``by_library``: the library merges whole words, which gives the same sooner."""
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
         # taken from the library: how text is normalised and cut into words
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
+        self.merge_word = library.model.tokenize if by_library else None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -67,7 +79,7 @@ class BytePairs:
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.special_ids = added
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.ranks = {(self.ids[a], self.ids[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {self.ids[a] << 32 | self.ids[b]: rank for rank, (a, b) in enumerate(pairs)}
         self.results = [self.ids[a + b] for a, b in pairs]
         inside = (t[: len(t) - len(self.suffix)] if self.suffix and t.endswith(self.suffix) else t for t in self.ids)
         self.joined = {pair for t in inside for pair in zip(t, t[1:])}
@@ -77,24 +89,33 @@ class BytePairs:
         self.byte_form = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.simple_words = regex.compile(split["pattern"]["Regex"]).findall
-        self.fragments = Memo(self._encode_fragment)
+        self.inner = {t: i for t, i in self.ids.items() if len(t) == 1}
+        self.final = {t[0]: i for t, i in self.ids.items() if len(t) == 1 + len(self.suffix) and t.endswith(self.suffix)}
+        self.fragments = Memo(self._encode_fragment, MEMO_ENTRIES // 10)
+        self.words = Memo(self._encode_word)
         self.chunks = Memo(self._encode_chunk)
 
     # -- one fragment ---------------------------------------------------------
 
     def _encode_fragment(self, fragment: str) -> bytes:
-        """Ids of a fragment; one that starts with a space character ends a word."""
-        last = fragment[0] == " "
-        symbols = list(fragment[1:] if last else fragment)
-        if last:
-            symbols[-1] += self.suffix
-        parts = [self.ids[s] for s in symbols if s in self.ids]
+        """Ids of a fragment that does not end its word."""
+        return self._merged([self.inner[s] for s in fragment if s in self.inner])
+
+    def _encode_last(self, fragment: str) -> bytes:
+        """Ids of a fragment that ends its word."""
+        inner, final = self.inner, self.final
+        parts = [inner[s] for s in fragment[:-1] if s in inner]
+        if fragment[-1] in final:
+            parts.append(final[fragment[-1]])
+        return self._merged(parts)
+
+    def _merged(self, parts: list[int]) -> bytes:
         merged = self._merge_few(parts) if len(parts) <= 24 else self._merge_many(parts)
-        return np.array(merged, "<u4").tobytes()
+        return array("I", merged).tobytes() if _LITTLE else np.array(merged, "<u4").tobytes()
 
     def _merge_few(self, parts: list[int]) -> list[int]:
         rank_of, result = self.ranks.get, self.results
-        ranks = [rank_of(pair, _NEVER) for pair in zip(parts, parts[1:])]
+        ranks = [rank_of(a << 32 | b, _NEVER) for a, b in zip(parts, parts[1:])]
         while ranks:
             rank = min(ranks)
             if rank == _NEVER:
@@ -103,9 +124,9 @@ class BytePairs:
             parts[at : at + 2] = [result[rank]]
             del ranks[at]
             if at:
-                ranks[at - 1] = rank_of((parts[at - 1], parts[at]), _NEVER)
+                ranks[at - 1] = rank_of(parts[at - 1] << 32 | parts[at], _NEVER)
             if at < len(ranks):
-                ranks[at] = rank_of((parts[at], parts[at + 1]), _NEVER)
+                ranks[at] = rank_of(parts[at] << 32 | parts[at + 1], _NEVER)
         return parts
 
     def _merge_many(self, parts: list[int]) -> list[int]:
@@ -116,7 +137,7 @@ class BytePairs:
 
         def offer(k: int) -> None:
             if k >= 0 and after[k] < count:
-                rank = ranks.get((parts[k], parts[after[k]]))
+                rank = ranks.get(parts[k] << 32 | parts[after[k]])
                 if rank is not None:
                     heapq.heappush(heap, (rank, k, parts[k], parts[after[k]], results[rank]))
 
@@ -151,20 +172,22 @@ class BytePairs:
 
     def _encode_word(self, word: str) -> bytes:
         *first, last = self.cut(word)
-        fragments = self.fragments
         if not first:
-            return fragments[" " + last]
-        return b"".join([*(fragments[f] for f in first), fragments[" " + last]])
+            if self.merge_word:
+                return array("I", [t.id for t in self.merge_word(last)]).tobytes()
+            return self._encode_last(last)
+        return b"".join([*map(self.fragments.__getitem__, first), self._encode_last(last)])
 
     def _encode_chunk(self, chunk: str) -> bytes:
-        out = []
-        pieces = self.special.split(chunk) if self.special else [chunk]
+        out, words = [], self.words
+        # no white space here, and most chunks hold no special token
+        pieces = self.special.split(chunk) if self.special and self.special.search(chunk) else [chunk]
         for piece in pieces:
             if piece in self.special_ids:
                 out.append(np.array([self.special_ids[piece]], "<u4").tobytes())
             elif piece:
-                out.extend(map(self._encode_word, self._words(piece)))
-        return b"".join(out)
+                out.extend(map(words.__getitem__, self._words(piece)))
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def _words(self, piece: str) -> Iterable[str]:
         """Words in byte-level form; below U+0100 nothing composes and letters are plain."""
@@ -189,9 +212,9 @@ class BytePairs:
 
 
 @lru_cache(maxsize=2)
-def byte_pairs(path: str) -> BytePairs:
+def byte_pairs(path: str, by_library: bool = False) -> BytePairs:
     """Read once per Python worker; the path must be valid on every executor."""
-    return BytePairs(path)
+    return BytePairs(path, by_library and _LITTLE)
 
 
 def encode(

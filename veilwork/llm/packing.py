@@ -87,7 +87,7 @@ def pieces(
     """Each document's token ids and an end id, cut only where longer than a sequence."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder, end = byte_pairs(path), end_id.to_bytes(4, "little")
+        encoder, end = byte_pairs(path, by_library=True), end_id.to_bytes(4, "little")
         out: list[tuple] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             coded = encoder.encode(text) + end
