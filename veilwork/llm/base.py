@@ -129,6 +129,10 @@ def join_balanced(
     return of_hot.unionByName(rest.join(cold, keys, how))
 
 
+# Rows of a round's tables that one task handles.
+EDGES_PER_TASK = 200_000
+
+
 def min_labels(
     nodes: DataFrame, edges: DataFrame, node: str = "id", label: str = "component"
 ) -> DataFrame:
@@ -142,23 +146,27 @@ def min_labels(
     table: lost executors recompute one round at most.  Hooking aggregates with a map-side
     combine, so a node with very many edges is no hot key.
     """
-    spark = nodes.sparkSession
     labels = None
     open_edges = materialized(
         edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .where("a < b")
         .distinct()
     )
-    while True:
-        if open_edges.isEmpty():
-            break
+    count = open_edges.count()
+    # no table of a round has more rows than the edges have ends
+    tasks = -(-count // EDGES_PER_TASK)
+
+    def stored(df: DataFrame) -> DataFrame:
+        return materialized(df.coalesce(tasks))
+
+    while count:
         # every end hooks to the smallest root it has an edge to
         hooks = open_edges.groupBy("b").agg(F.min("a").alias("to"))
-        parents = materialized(hooks.select(F.col("b").alias("root"), "to"))
+        parents = stored(hooks.select(F.col("b").alias("root"), "to"))
         # follow the pointers to the end: they only go down, so this is a forest
         while True:
             up = parents.select(F.col("root").alias("to"), F.col("to").alias("next"))
-            jumped = materialized(
+            jumped = stored(
                 parents.join(up, "to", "left").select(
                     "root", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")
                 )
@@ -172,7 +180,7 @@ def min_labels(
             moved = labels.join(
                 parents.select(F.col("root").alias("to"), F.col("to").alias("next")), "to", "left"
             ).select("root", F.coalesce("next", "to").alias("to"))
-            labels = materialized(moved.unionByName(parents))
+            labels = stored(moved.unionByName(parents))
         roots = parents.select(F.col("root"), F.col("to").alias("top"))
         at_a = open_edges.join(
             roots.select(F.col("root").alias("a"), F.col("top").alias("a_top")), "a", "left"
@@ -180,11 +188,12 @@ def min_labels(
         at_b = at_a.join(
             roots.select(F.col("root").alias("b"), F.col("top").alias("b_top")), "b", "left"
         ).select(F.coalesce("a_top", "a").alias("x"), F.coalesce("b_top", "b").alias("y"))
-        open_edges = materialized(
+        open_edges = stored(
             at_b.where("x <> y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
+        count = open_edges.count()
     if labels is None:
         return nodes.withColumn(label, F.col(node))
     return nodes.join(

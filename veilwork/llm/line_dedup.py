@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.llm.base import join_balanced, map_rows, min_labels, rows_with, whole_text
-from veilwork.llm.ngram_join import list_pairs, mixed
+from veilwork.llm.ngram_join import mixed, pairs_in_lists
 from veilwork.session import materialized
 
 SHINGLE = 8
@@ -23,6 +23,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 8, 4
 # Shorter lines say too little: equal ones need not be copies.
 LEAST_CHARS = 16
+# Lines of a band are compared exactly if they agree in this share of ``SKETCH`` bins, five
+# standard deviations of the estimate below the similarity in a line of many shingles; lines
+# with fewer than ``SKETCH_LEAST`` characters always are.
+SKETCH = 128
+SKETCH_LEAST = 100
+SKETCH_MARGIN = 0.14
 _LAST_ID = (1 << 63) - 1
 _CHUNK = 1 << 20
 
@@ -36,10 +42,10 @@ def shingle_set(line: str, size: int) -> set[str]:
     return {line[k : k + size] for k in range(max(1, len(line) - size + 1))}
 
 
-def signatures(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray:
-    """Band keys, one row per line (not empty, plain)."""
-    bins = bands * rows
-    out = np.empty((len(lines), bands), np.int64)
+def least_hashes(lines: list[str], size: int, bins: int) -> np.ndarray:
+    """The least shingle hash of each bin, one row per line (not empty, plain)."""
+    out = np.empty((len(lines), bins), np.uint64)
+    none = np.iinfo(np.uint64).max
     start = 0
     while start < len(lines):
         end, chars = start, 0
@@ -60,27 +66,37 @@ def signatures(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray
         of_line = np.repeat(np.arange(len(padded)), lengths)[: len(h)]
         inside = np.arange(len(h)) <= ends[of_line] - size
         h, of_line = mixed(h[inside]), of_line[inside]
-        least = np.full(len(padded) * bins, np.iinfo(np.uint64).max, np.uint64)
+        least = np.full(len(padded) * bins, none, np.uint64)
         np.minimum.at(least, of_line * bins + (h % np.uint64(bins)).astype(np.int64), h // np.uint64(bins))
         least = least.reshape(-1, bins)
-        empty = least == np.iinfo(np.uint64).max
+        empty = least == none
         filled = least.copy()
         for k in range(1, bins):
             if not empty.any():
                 break
             near = np.roll(least, -k, axis=1)
-            use = empty & (near != np.iinfo(np.uint64).max)
+            use = empty & (near != none)
             filled[use] = mixed(near[use] + np.uint64(k))
             empty &= ~use
-        keys = np.zeros((len(padded), bands), np.uint64)
-        for r in range(rows):
-            keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + filled[:, r::rows])
-        keys = mixed(keys + np.arange(bands, dtype=np.uint64)[None, :])
-        out[start:end] = keys.view(np.int64)
+        out[start:end] = filled
         start = end
     return out
 
 
+def signatures(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray:
+    """Band keys, one row per line."""
+    least = least_hashes(lines, size, bands * rows)
+    keys = np.zeros((len(lines), bands), np.uint64)
+    for r in range(rows):
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, r::rows])
+    return mixed(keys + np.arange(bands, dtype=np.uint64)[None, :]).view(np.int64)
+
+
+def sketches(lines: list[str], size: int) -> np.ndarray:
+    """Eight bits of each of ``SKETCH`` bins: rows of bytes that agree as lines are alike."""
+    return (mixed(least_hashes(lines, size, SKETCH)) & np.uint64(0xFF)).astype(np.uint8)
+
+
 def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     text = whole_text(text_column)
     return docs.select(
@@ -145,7 +161,8 @@ def _signed_lines(rows: DataFrame, least_chars: int, size: int, bands: int, per_
 
 
 def _index(classes: DataFrame, bands: int) -> DataFrame:
-    """gram (a band's key) and node of all bands that lines share."""
+    """gram (a band's key) and id (a line's node) of all bands that lines share."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         joined = b"".join(batch.column(1).to_pylist())
         grams = np.frombuffer(joined, np.int64)
@@ -154,14 +171,13 @@ def _index(classes: DataFrame, bands: int) -> DataFrame:
 
     exploded = map_rows(classes.select("node", "bands"), run, "id bigint, gram bigint")
     shared = exploded.withColumn("lines", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("lines > 1")
-    return shared.select("gram", "id", F.lit(0).alias("n"), F.lit(0).alias("at"))
+    return shared.select("gram", "id")
 
 
-def _similar(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs of lines whose shingle sets really reach the similarity."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _candidates(rows: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """Text and sketch of the lines that share a band with another."""
     wanted = materialized(
-        classes.join(nodes, "node", "left_semi")
+        classes.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
         .groupBy("id", "key")
         .agg(F.collect_list(F.struct("line", "node")).alias("lines"))
     )
@@ -174,10 +190,52 @@ def _similar(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, s
             for place in places:
                 found.append(place["node"])
                 lines.append(plain(of_text[place["line"]]))
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(lines, pa.string())], names=["node", "text"])
+        sketch = [s.tobytes() for s in sketches(lines, size)]
+        brief = [len(x) < SKETCH_LEAST for x in lines]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(found, pa.int64()), pa.array(lines, pa.string()), pa.array(sketch, pa.binary()), pa.array(brief, pa.bool_())],
+            names=["node", "text", "sketch", "brief"],
+        )
 
     held = rows_with(rows, keys, "key").dropDuplicates(["id", "key"]).join(wanted, ["id", "key"])
-    known = materialized(map_rows(held.select("text", "lines"), texts, "node bigint, text string"))
+    schema = "node bigint, text string, sketch binary, brief boolean"
+    return materialized(map_rows(held.select("text", "lines"), texts, schema))
+
+
+def _line_pairs(index: DataFrame, known: DataFrame, similarity: float, across: bool) -> DataFrame:
+    """Pairs of a band whose sketches leave room for the similarity.
+
+    Without ``across`` each line meets its band's first line and the one before it, else all
+    in other components.
+    """
+    least = similarity - SKETCH_MARGIN
+
+    def pairs_of(ids, sketch, brief, component):
+        def near(x, y):
+            return brief[x] | brief[y] | ((sketch[x] == sketch[y]).mean(axis=1) >= least)
+
+        here = np.arange(1, len(ids))
+        if not across:
+            for other in (np.zeros_like(here), here - 1):
+                ok = near(here, other)
+                yield here[ok], other[ok]
+            return
+        if (component == component[0]).all():
+            return
+        for k in here:
+            other = np.flatnonzero(component[:k] != component[k])
+            for part in np.array_split(other, -(-len(other) // 65_536) or 1):
+                part = part[near(np.full(len(part), k), part)]
+                yield np.full(len(part), k), part
+
+    full = index.join(known.select(F.col("node").alias("id"), "sketch", "brief"), "id")
+    component = F.col("component" if across else "id").alias("component")
+    ordered = full.repartition("gram").sortWithinPartitions("gram", "id")
+    return pairs_in_lists(ordered.select("gram", "id", "sketch", "brief", component), pairs_of)
+
+
+def _similar(known: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs of lines whose shingle sets really reach the similarity."""
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -213,8 +271,9 @@ def deduplicate_lines(
     ``similarity``; of each component of links the line first by (id, number) stays, in all
     other places it goes.  Lines of fewer than ``least_chars`` characters always stay.  A
     similar pair is found if it agrees in one of ``bands`` bands: at 0.8 with probability
-    0.985, at 0.9 with 0.9998.  No candidate is dropped: in a crowded band each line meets
-    the first one, then all that belong to other components.
+    0.985, at 0.9 with 0.9998.  In a crowded band each line meets the first one, then all
+    that belong to other components; two long lines are compared exactly unless their sketches
+    rule out the similarity by a wide margin.
 
     A null text has no lines and stays null.  A null id comes after all others; among rows
     that repeat an id, the text's hash decides, and rows with equal id and text keep the same
@@ -231,12 +290,14 @@ def deduplicate_lines(
         grouped.select("digest", "bands", "at.*", "n").withColumn("node", F.monotonically_increasing_id())
     )
     index = materialized(_index(classes, bands))
-    first = materialized(_similar(rows, classes, materialized(list_pairs(index, 0, False)), shingle, similarity))
-    nodes = index.select("id").distinct()
+    nodes = materialized(index.select("id").distinct())
+    known = _candidates(rows, classes, nodes, shingle)
+    near = materialized(_line_pairs(index, known, similarity, False))
+    first = materialized(_similar(known, near, shingle, similarity))
     labels = materialized(min_labels(nodes, first))
-    further = materialized(list_pairs(index.join(labels, "id"), 0, True))
+    further = materialized(_line_pairs(index.join(labels, "id"), known, similarity, True))
     if not further.isEmpty():
-        more = materialized(_similar(rows, classes, further, shingle, similarity))
+        more = materialized(_similar(known, further, shingle, similarity))
         labels = materialized(min_labels(nodes, first.union(more)))
     place = F.struct("id", "key", "line")
     member = classes.join(

@@ -135,15 +135,15 @@ def _reach(n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n_x + n_y) // (100 + percent))
 
 
-def _lists(percent: int, across: bool):
-    """Pairs from index lists that arrive whole and in order of (gram, n, id).
+def _set_pairs(percent: int, across: bool):
+    """Pairs of one list in order of set size: n, place of the n-gram, component.
 
     Without ``across``: each set with its list's first set that is not too small, and with
     the one before it.  With ``across``: with all of the list that are not too small and
     belong to another component.
     """
 
-    def pairs_of(n, at, ids, component) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs_of(ids, n, at, component) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         # skip to the first set that is large enough, seen from each position
         first = np.searchsorted(n, -(-percent * n // 100))
         here = np.arange(len(n))
@@ -164,6 +164,23 @@ def _lists(percent: int, across: bool):
                 other = np.flatnonzero(ok) + first[k]
                 yield np.full(len(other), k), other
 
+    return pairs_of
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    """A column as an array; binary values of equal length as rows of bytes."""
+    if not pa.types.is_binary(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def pairs_in_lists(ordered: DataFrame, pairs_of) -> DataFrame:
+    """Distinct pairs (a, b) of ids that ``pairs_of`` names within lists.
+
+    Columns: gram (the list's key), id, and what ``pairs_of`` needs; a list's rows lie
+    together.  A task holds one list and a bounded number of pairs at a time.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
         out_a, out_b, size = [], [], 0
@@ -179,44 +196,40 @@ def _lists(percent: int, across: bool):
                 [pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["a", "b"]
             )
 
-        def work(columns: list[np.ndarray]) -> None:
+        def work(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             nonlocal size
-            gram, n, at, ids, component = columns
+            gram, ids = columns[:2]
             starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
             ends = np.r_[starts[1:], len(gram)]
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                for x, y in pairs_of(n[s:e], at[s:e], ids[s:e], component[s:e]):
+                for x, y in pairs_of(*(c[s:e] for c in columns[1:])):
                     out_a.append(ids[s:e][x])
                     out_b.append(ids[s:e][y])
                     size += len(x)
+                    if size > 1 << 18:
+                        yield flush()
 
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if kept is not None:
-                columns = [np.concatenate(c) for c in zip(kept, columns)]
+            columns = [_values(c) for c in batch.columns]
             if not len(columns[0]):
                 continue
+            if kept is not None:
+                columns = [np.concatenate(c) for c in zip(kept, columns)]
             # the last list may go on in the next batch
             cut = int(np.searchsorted(columns[0], columns[0][-1]))
-            work([c[:cut] for c in columns])
+            yield from work([c[:cut] for c in columns])
             kept = [c[cut:] for c in columns]
-            if size > 1 << 18:
-                yield flush()
         if kept is not None:
-            work(kept)
+            yield from work(kept)
         yield flush()
 
-    return run
+    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def list_pairs(index: DataFrame, percent: int, across: bool) -> DataFrame:
     ordered = index.repartition("gram").sortWithinPartitions("gram", "n", "id")
-    component = "component" if across else "id"
-    return (
-        ordered.select("gram", "n", "at", "id", F.col(component).alias("component"))
-        .mapInArrow(_lists(percent, across), "a bigint, b bigint")
-        .distinct()
-    )
+    component = F.col("component" if across else "id").alias("component")
+    return pairs_in_lists(ordered.select("gram", "id", "n", "at", component), _set_pairs(percent, across))
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
