@@ -26,7 +26,7 @@ from veilwork.session import materialized
 CLASSES = 32
 UNIT_WORDS = 16_384
 UNIT_ENDINGS = 4_096
-ROUNDS = 3
+ROUNDS = 2
 # Words whose counts each task has at hand (16 MB); those of all others come by a join.
 WORDS_AT_HAND = 1_000_000
 ENDING = 3
@@ -44,6 +44,7 @@ class Words(dict):
         super().__init__()
         self.whole = np.empty(1024, np.int64)
         self.ending = np.empty(1024, np.int64)
+        self.learned: dict = {}
 
     def __missing__(self, word: bytes) -> int:
         number = len(self)
@@ -56,13 +57,31 @@ class Words(dict):
         self[word] = number
         return number
 
-    def hashes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, text: str) -> np.ndarray:
         if len(self) > self.LIMIT:
             self.clear()
+            self.learned.clear()
         words = text.encode("utf-8", "surrogatepass").lower().split()
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def hashes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        numbers = self.numbers(text)
         return self.whole[numbers], self.ending[numbers]
 
+    def values(self, compute, numbers: np.ndarray) -> np.ndarray:
+        """``compute(hashes, endings)`` for the words with these numbers, once for each word.
+
+        What is known goes when the next function comes.
+        """
+        known, done = self.learned.get(compute, (np.empty(0, np.int64), 0))
+        if done < len(self):
+            new = compute(self.whole[done : len(self)], self.ending[done : len(self)])
+            known, done = np.concatenate([known[:done], new]), len(self)
+            if compute not in self.learned and len(self.learned) > 1:
+                self.learned.clear()
+            self.learned[compute] = known, done
+        return known[numbers]
+
 
 _WORDS = Words()
 
@@ -150,6 +169,7 @@ def _neighbours(rows: DataFrame, units: Units, class_of: np.ndarray, classes: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, class_of = model.value
+        unit_of = units.of
         table = np.zeros(units.count * width, np.int64)
         used = False
 
@@ -157,15 +177,15 @@ def _neighbours(rows: DataFrame, units: Units, class_of: np.ndarray, classes: in
             # texts one after another, an end before, between and behind them
             joined = np.concatenate(sequence)
             left, right = joined[:-1], joined[1:]
-            np.add.at(table, right * width + class_of[left], 1)
-            np.add.at(table, left * width + classes + class_of[right], 1)
+            table[:] += np.bincount(right * width + class_of[left], minlength=len(table))
+            table[:] += np.bincount(left * width + classes + class_of[right], minlength=len(table))
 
         end = np.array([units.end])
         for batch in batches:
             sequence, size = [end], 1
             for text in batch.column(0).to_pylist():
                 used = True
-                sequence += [units.of(*_WORDS.hashes(text)), end]
+                sequence += [_WORDS.values(unit_of, _WORDS.numbers(text)), end]
                 size += len(sequence[-2]) + 1
                 if size > 1 << 20:
                     add(sequence)
@@ -302,28 +322,38 @@ def score_texts(
     model, counts, word, n = train(rows.where("train").select("text"), classes)
     shared = rows.sparkSession.sparkContext.broadcast((model, word, n))
 
+    held: dict = {}
+
+    def functions(units, class_of, word):
+        # the same two for all batches of a task, so that words are looked up once
+        if not held:
+            held["class"] = lambda whole, ending: class_of[units.of(whole, ending)]
+            held["place"] = lambda whole, ending: _place(word, whole)
+        return held["class"], held["place"]
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         model, word, n = shared.value
         units, class_of = model.units, model.class_of
+        class_of_word, place_of_word = functions(units, class_of, word)
         end_class = class_of[units.end]
         ends = model.ends
         out = {k: [] for k in ("tokens", "known", "base", "score")}
         rare_offsets, rare_words, rare_classes = [0], [], []
         for text in batch.column(1).to_pylist():
-            whole, ending = _WORDS.hashes(text)
-            unit_class = class_of[units.of(whole, ending)]
+            numbers = _WORDS.numbers(text)
+            unit_class = _WORDS.values(class_of_word, numbers)
             path = np.concatenate([[end_class], unit_class, [end_class]])
-            at = _place(word, whole)
+            at = _WORDS.values(place_of_word, numbers)
             here = at >= 0
             c = n[at[here]].astype(float)
             logs = np.log10(c).sum()
-            base = np.log10(c + BASE_ADD).sum() + np.log10(ends + BASE_ADD) - (len(whole) + 1) * model.base_unit
+            base = np.log10(c + BASE_ADD).sum() + np.log10(ends + BASE_ADD) - (len(numbers) + 1) * model.base_unit
             score = model.step[path[:-1], path[1:]].sum() + model.known[unit_class[here]].sum() + logs
-            out["tokens"].append(len(whole) + 1)
+            out["tokens"].append(len(numbers) + 1)
             out["known"].append(int(here.sum()) + (ends > 0))
             out["base"].append(float(base))
             out["score"].append(float(score))
-            rare_words.append(whole[~here])
+            rare_words.append(_WORDS.whole[numbers[~here]])
             rare_classes.append(unit_class[~here])
             rare_offsets.append(rare_offsets[-1] + len(rare_words[-1]))
         offsets = pa.array(np.array(rare_offsets, np.int32))
