@@ -89,3 +89,27 @@ def test_edge_rows(spark):
     nothing = lm.score_texts(df, F.lit(False)).collect()
     assert {r.train_tokens for r in nothing} == {0} and all(r.score == r.base_score for r in nothing)
     assert lm.score_texts(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_sweeps_go_on_until_the_likelihood_stops_rising(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(lm.whole_text().alias("text"))
+    model, *_ = lm.train(docs, classes=16)
+    units, class_of = model.units, model.class_of
+    end = np.array([units.end])
+    texts = [np.concatenate([units.of(*lm._WORDS.hashes(r.text)), end]) for r in docs.collect()]
+    joined = np.concatenate([end, *texts])
+    left, right = joined[:-1], joined[1:]
+
+    def table(assigned):
+        counts = np.zeros((units.count, 32), np.int64)
+        np.add.at(counts, (right, assigned[left]), 1)
+        np.add.at(counts, (left, 16 + assigned[right]), 1)
+        return counts
+
+    def value(assigned):
+        pairs = Counter(zip(assigned[left].tolist(), assigned[right].tolist()))
+        sizes = Counter(assigned[left].tolist())
+        return sum(n * math.log(n / (sizes[a] * sizes[b])) for (a, b), n in pairs.items())
+
+    moved = lm.exchange(table(class_of), class_of, 16, units.end)
+    assert (moved == class_of).all() or value(moved) <= value(class_of) + 1e-6

@@ -5,8 +5,9 @@ that of the word within its class.  Counts of words cover the whole training tex
 is clustered is a bounded number of units: the most frequent words one by one, all others
 by their last letters.  Every word belongs to a unit, every unit to a class.
 
-The exchange runs in rounds over the corpus: tasks count how often each unit stands next
-to each class, and each unit then moves to the class whose neighbours fit its own best.
+Pairs of neighbours are counted once.  Each sweep reads that table: tasks add up how often
+each unit stands next to each class, and each unit then moves to the class whose neighbours
+fit its own best, until none moves or the likelihood of the class bigrams stops rising.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from veilwork.session import materialized
 CLASSES = 32
 UNIT_WORDS = 16_384
 UNIT_ENDINGS = 4_096
-ROUNDS = 2
 # Words whose counts each task has at hand (16 MB); those of all others come by a join.
 WORDS_AT_HAND = 1_000_000
 ENDING = 3
@@ -161,39 +161,60 @@ def _most_frequent(counts: DataFrame, key: str, most: int) -> pa.Table:
     return counts.where(F.col("n") >= least).select(key, "n").toArrow()
 
 
-def _neighbours(rows: DataFrame, units: Units, class_of: np.ndarray, classes: int) -> np.ndarray:
-    """How often each unit follows (first half) and precedes (second half) each class."""
-    spark = rows.sparkSession
-    model = spark.sparkContext.broadcast((units, class_of))
-    width = 2 * classes
+def _bigrams(rows: DataFrame, units: Units) -> DataFrame:
+    """left, right (unit numbers) and n of all pairs of neighbours; each task adds up its own first."""
+    model = rows.sparkSession.sparkContext.broadcast(units)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, class_of = model.value
-        unit_of = units.of
-        table = np.zeros(units.count * width, np.int64)
-        used = False
+        units = model.value
+        unit_of, end = units.of, np.array([units.end])
 
-        def add(sequence: list[np.ndarray]) -> None:
+        def counted(sequence: list[np.ndarray]) -> pa.RecordBatch:
             # texts one after another, an end before, between and behind them
             joined = np.concatenate(sequence)
-            left, right = joined[:-1], joined[1:]
-            table[:] += np.bincount(right * width + class_of[left], minlength=len(table))
-            table[:] += np.bincount(left * width + classes + class_of[right], minlength=len(table))
+            pair, n = np.unique(joined[:-1] * units.count + joined[1:], return_counts=True)
+            left, right = np.divmod(pair, units.count)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(n.astype(np.int64))],
+                names=["left", "right", "n"],
+            )
 
-        end = np.array([units.end])
+        sequence, size = [end], 1
         for batch in batches:
-            sequence, size = [end], 1
             for text in batch.column(0).to_pylist():
-                used = True
                 sequence += [_WORDS.values(unit_of, _WORDS.numbers(text)), end]
                 size += len(sequence[-2]) + 1
-                if size > 1 << 20:
-                    add(sequence)
+                if size > 4_000_000:
+                    yield counted(sequence)
                     sequence, size = [end], 1
-            if len(sequence) > 1:
-                add(sequence)
+        if len(sequence) > 1:
+            yield counted(sequence)
+
+    return (
+        rows.select("text")
+        .mapInArrow(run, "left int, right int, n bigint")
+        .groupBy("left", "right")
+        .agg(F.sum("n").alias("n"))
+    )
+
+
+def _neighbours(bigrams: DataFrame, units: Units, class_of: np.ndarray, classes: int) -> np.ndarray:
+    """How often each unit follows (first half) and precedes (second half) each class."""
+    spark = bigrams.sparkSession
+    model = spark.sparkContext.broadcast((units.count, class_of))
+    width = 2 * classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, class_of = model.value
+        table = np.zeros(count * width, np.int64)
+        used = False
+        for batch in batches:
+            left, right, n = (batch.column(k).to_numpy().astype(np.int64) for k in range(3))
+            used |= len(n) > 0
+            np.add.at(table, right * width + class_of[left], n)
+            np.add.at(table, left * width + classes + class_of[right], n)
         if used:
-            parts = np.resize(table, -(-units.count // _BLOCK) * _BLOCK * width)
+            parts = np.resize(table, -(-count // _BLOCK) * _BLOCK * width)
             parts[len(table) :] = 0
             parts = parts.reshape(-1, _BLOCK * width)
             yield pa.RecordBatch.from_arrays(
@@ -206,8 +227,7 @@ def _neighbours(rows: DataFrame, units: Units, class_of: np.ndarray, classes: in
         return pa.table({"block": [key[0].as_py()], "table": pa.array([whole.tobytes()], pa.binary())})
 
     found = (
-        rows.select("text")
-        .mapInArrow(run, "block bigint, table binary")
+        bigrams.mapInArrow(run, "block bigint, table binary")
         .groupBy("block")
         .applyInArrow(total, "block bigint, table binary")
         .collect()
@@ -218,6 +238,23 @@ def _neighbours(rows: DataFrame, units: Units, class_of: np.ndarray, classes: in
     return table.reshape(-1, width)[: units.count]
 
 
+def steps(table: np.ndarray, class_of: np.ndarray, classes: int) -> np.ndarray:
+    """How often each class (row) stands before each class (column)."""
+    counts = np.zeros((classes, classes), np.int64)
+    np.add.at(counts, class_of, table[:, :classes])
+    return counts.T
+
+
+def likelihood(counts: np.ndarray) -> float:
+    """Log-likelihood of the class bigrams, up to what no assignment changes."""
+
+    def sums(n: np.ndarray) -> float:
+        n = n[n > 0].astype(float)
+        return float((n * np.log(n)).sum())
+
+    return sums(counts) - sums(counts.sum(0)) - sums(counts.sum(1))
+
+
 def exchange(table: np.ndarray, class_of: np.ndarray, classes: int, end: int) -> np.ndarray:
     """Each unit's best class, given what stands around it and around the classes."""
     follows, precedes = table[:, :classes], table[:, classes:]
@@ -238,6 +275,25 @@ def exchange(table: np.ndarray, class_of: np.ndarray, classes: int, end: int) ->
     return moved
 
 
+def converged(neighbours, class_of: np.ndarray, classes: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(classes of units, their table) when no unit moves or a sweep stops raising the likelihood.
+
+    ``neighbours`` gives the table for an assignment.  Each rise is a new assignment, so
+    the sweeps come to an end; the last one, which gained nothing, is not kept.
+    """
+    table = neighbours(class_of)
+    value = likelihood(steps(table, class_of, classes))
+    while True:
+        moved = exchange(table, class_of, classes, end)
+        if (moved == class_of).all():
+            return class_of, table
+        moved_table = neighbours(moved)
+        moved_value = likelihood(steps(moved_table, moved, classes))
+        if moved_value <= value:
+            return class_of, table
+        class_of, table, value = moved, moved_table, moved_value
+
+
 class Model:
     """Everything of the model but the words' own counts."""
 
@@ -274,12 +330,11 @@ def train(rows: DataFrame, classes: int = CLASSES) -> tuple[Model, DataFrame, np
     class_of = np.zeros(units.count, np.int64)
     class_of[_place(units.words, word[top[: classes - 2]])] = np.arange(1, min(classes - 2, len(top)) + 1)
     class_of[units.end] = end_class
-    for _ in range(ROUNDS):
-        class_of = exchange(_neighbours(rows, units, class_of, classes), class_of, classes, units.end)
-    table = _neighbours(rows, units, class_of, classes)
-    transitions = np.zeros((classes, classes), np.int64)
-    np.add.at(transitions, class_of, table[:, :classes])
-    transitions = transitions.T  # from the class before to the class behind
+    bigrams = materialized(_bigrams(rows, units))
+    class_of, table = converged(
+        lambda assigned: _neighbours(bigrams, units, assigned, classes), class_of, classes, units.end
+    )
+    transitions = steps(table, class_of, classes)
 
     model_units = rows.sparkSession.sparkContext.broadcast((units, class_of))
 
