@@ -1,6 +1,6 @@
 import random
 
-from veilwork.llm.line_dedup import deduplicate_lines, plain, shingle_set, signatures
+from veilwork.llm.line_dedup import EVERY_LINE, deduplicate_lines, plain, shingle_set, signatures
 from veilwork.llm.queries import QUERIES
 
 
@@ -124,3 +124,22 @@ def test_query_keeps_every_document(spark):
                 seen.add(line)
     assert all(r.n_removed >= least.get(r.doc_id, 0) for r in got)
     assert sum(r.n_removed for r in got) > sum(least.values())
+
+
+def test_query_takes_short_lines_too(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r.doc_id: r.n_removed for r in QUERIES["op2_line_dedup"](spark, sf).collect()}
+    seen, least = set(), {}
+    for doc, text in sorted(rows):
+        for line in filter(None, map(plain, text.split("\n"))):
+            least[doc] = least.get(doc, 0) + (line in seen)
+            seen.add(line)
+    assert all(got[doc] >= n for doc, n in least.items())
+
+
+def test_every_line_against_all_pairs(spark):
+    rows = near_lines(3) + [(100 + k, t) for k, t in enumerate(["ab\n\nAB \nabc", "ab", "x\nabcdefghi\nabcdefgh", "abcdefgh", "x"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = deduplicate_lines(df, bands=24, rows_per_band=2, least_chars=EVERY_LINE)
+    assert {r.doc_id: r.text for r in found.collect()} == {rows[k][0]: t for k, t in brute(rows, least=1).items()}

@@ -21,8 +21,9 @@ from veilwork.session import materialized
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 4
-# Shorter lines say too little: equal ones need not be copies.
+# What a caller gets who names no bound; ``EVERY_LINE`` leaves out blank lines only.
 LEAST_CHARS = 16
+EVERY_LINE = 1
 # Lines of a band are compared exactly if they agree in this share of ``SKETCH`` bins, five
 # standard deviations of the estimate below the similarity in a line of many shingles; lines
 # with fewer than ``SKETCH_LEAST`` characters always are.
@@ -127,7 +128,10 @@ def _lines(rows: DataFrame, least_chars: int) -> DataFrame:
 
 
 def _signed_lines(rows: DataFrame, least_chars: int, size: int, bands: int, per_band: int) -> DataFrame:
-    """Distinct lines of each batch: digest, bands, first place, count."""
+    """Distinct lines of each batch: digest, bands, first place, count.
+
+    A line shorter than a shingle is like no other: it has no bands, only its digest.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: dict[str, list] = {}
@@ -150,7 +154,7 @@ def _signed_lines(rows: DataFrame, least_chars: int, size: int, bands: int, per_
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(digests, pa.binary()),
-                pa.array([k.tobytes() for k in keys], pa.binary()),
+                pa.array([k.tobytes() if len(x) >= size else b"" for x, k in zip(lines, keys)], pa.binary()),
                 *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()))),
                 pa.array([n for _, n in seen.values()], pa.int64()),
             ],
@@ -160,13 +164,13 @@ def _signed_lines(rows: DataFrame, least_chars: int, size: int, bands: int, per_
     return map_rows(rows, run, "digest binary, bands binary, id bigint, key bigint, line int, n bigint")
 
 
-def _index(classes: DataFrame, bands: int) -> DataFrame:
+def _index(classes: DataFrame) -> DataFrame:
     """gram (a band's key) and id (a line's node) of all bands that lines share."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        joined = b"".join(batch.column(1).to_pylist())
-        grams = np.frombuffer(joined, np.int64)
-        nodes = np.repeat(batch.column(0).to_numpy(), bands)
+        keys = batch.column(1).to_pylist()
+        grams = np.frombuffer(b"".join(keys), np.int64)
+        nodes = np.repeat(batch.column(0).to_numpy(), [len(k) // 8 for k in keys])
         return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(grams)], names=["id", "gram"])
 
     exploded = map_rows(classes.select("node", "bands"), run, "id bigint, gram bigint")
@@ -269,7 +273,8 @@ def deduplicate_lines(
     Lines are compared in lower case with white space made single spaces.  Two are linked
     if equal or if the Jaccard similarity of their character shingles is at least
     ``similarity``; of each component of links the line first by (id, number) stays, in all
-    other places it goes.  Lines of fewer than ``least_chars`` characters always stay.  A
+    other places it goes.  Lines of fewer than ``least_chars`` characters always stay; with
+    ``EVERY_LINE`` only blank ones do, and lines shorter than a shingle go where equal.  A
     similar pair is found if it agrees in one of ``bands`` bands: at 0.8 with probability
     0.985, at 0.9 with 0.9998.  In a crowded band each line meets the first one, then all
     that belong to other components; two long lines are compared exactly unless their sketches
@@ -289,7 +294,7 @@ def deduplicate_lines(
     classes = materialized(
         grouped.select("digest", "bands", "at.*", "n").withColumn("node", F.monotonically_increasing_id())
     )
-    index = materialized(_index(classes, bands))
+    index = materialized(_index(classes))
     nodes = materialized(index.select("id").distinct())
     known = _candidates(rows, classes, nodes, shingle)
     near = materialized(_line_pairs(index, known, similarity, False))

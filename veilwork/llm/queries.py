@@ -14,7 +14,7 @@ from veilwork.llm.class_lm import score_texts
 from veilwork.llm.exact_dedup import exact_duplicates
 from veilwork.llm.language_id import identify, remainder
 from veilwork.llm.license_scan import scan_licenses
-from veilwork.llm.line_dedup import deduplicate_lines
+from veilwork.llm.line_dedup import EVERY_LINE, deduplicate_lines
 from veilwork.llm.ngram_join import similar_components
 from veilwork.llm.packing import pack
 from veilwork.llm.spot_signatures import edited_fingerprints
@@ -38,7 +38,7 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = deduplicate_lines(documents(spark, sf_dir))
+    found = deduplicate_lines(documents(spark, sf_dir), least_chars=EVERY_LINE)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
