@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veilwork.llm.base import rows_with
 from veilwork.llm.language_id import UNKNOWN, identify, remainder
-from veilwork.llm.line_dedup import LEAST_CHARS, deduplicate_lines
+from veilwork.llm.line_dedup import EVERY_LINE, deduplicate_lines
 from veilwork.llm.ngram_join import similar_components
 from veilwork.llm.packing import pack
 from veilwork.llm.substring_dedup import remove_repeated
@@ -61,11 +61,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand, equal or nearly so, in earlier places.
 
-    A document that loses every line long enough to be compared goes: it was a copy.
+    Short lines are compared like all others.  A document goes if each of its lines that are
+    not blank was removed: it was a copy.
     """
-    found = deduplicate_lines(docs, mark="_")
-    line = F.split("text", "\n", -1)
-    left = F.exists(line, lambda x: F.length(F.trim(F.regexp_replace(x, r"\s+", " "))) >= LEAST_CHARS)
+    found = deduplicate_lines(docs, least_chars=EVERY_LINE, mark="_")
+    blank = r"(?U)[\s\x1c-\x1f]+"  # what Python's split() cuts at
+    left = F.exists(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, blank, "") != "")
     return found.where((F.col("_n_removed") == 0) | left).select(_with_text(docs, F.col("text")))
 
 

@@ -72,3 +72,11 @@ def test_edge_rows(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == {1, 6, 7}
     *_, none = staged(spark, tmp_path / "empty", docs.limit(0))
     assert none.count() == 0
+
+
+def test_short_lines_of_its_own_keep_a_document(spark):
+    head = "a heading that two documents share"
+    rows = [(1, f"{head}\nroses"), (2, f"{head}\nviolets\n\nso blue"), (3, f"{head}\n \nroses"), (4, None), (5, "so blue\nmine")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in cp.line_dedup(spark, docs, SF).collect()}
+    assert got == {1: rows[0][1], 2: "violets\n\nso blue", 4: None, 5: "mine"}
