@@ -1,5 +1,6 @@
 import random
 
+from veilwork.llm import line_dedup
 from veilwork.llm.line_dedup import EVERY_LINE, deduplicate_lines, plain, shingle_set, signatures
 from veilwork.llm.queries import QUERIES
 
@@ -143,3 +144,39 @@ def test_every_line_against_all_pairs(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     found = deduplicate_lines(df, bands=24, rows_per_band=2, least_chars=EVERY_LINE)
     assert {r.doc_id: r.text for r in found.collect()} == {rows[k][0]: t for k, t in brute(rows, least=1).items()}
+
+
+def test_sketches_rule_out_no_similar_pair():
+    r = random.Random(7)
+    met = lost = 0
+    for distinct in (10, 20, 40, 110, 300):
+        for _ in range(300):
+            # a long line that repeats itself, and one that does so with a few letters changed
+            unit = "".join(r.choice("abcdefghijklmnop") for _ in range(distinct))
+            at = sorted(r.sample(range(distinct), 1 + distinct // 90))
+            other = "".join("#" if k in at else c for k, c in enumerate(unit))
+            both = [(unit * 300)[: 2 * distinct + 100], (unit + other * 300)[: 2 * distinct + 100]]
+            a, b = (shingle_set(x, 8) for x in both)
+            counts = line_dedup.sketches(both, 8)
+            near = line_dedup.may_reach(counts[:1], counts[1:], len(a & b) / len(a | b))
+            met += len(a & b) > 0
+            lost += not near[0]
+    assert met > 1000 and not lost
+    far = line_dedup.sketches(["".join(r.choice("abcdefghij") for _ in range(120)) for _ in range(200)], 8)
+    assert not line_dedup.may_reach(far[::2], far[1::2], 0.8).any()
+    assert line_dedup.may_reach(*line_dedup.sketches(["ab" * 50, "ba" * 60], 8)[:, None], 0.8).all()
+
+
+def test_recall_at_production_bands_with_sketches(spark):
+    # 30 distinct shingles in lines of 180 characters and more
+    r = random.Random(9)
+    lines = []
+    for _ in range(400):
+        unit = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30))
+        lines += [unit * 6, unit * 6 + "xyz"]
+    a, b = shingle_set(lines[0], 8), shingle_set(lines[1], 8)
+    assert 0.8 < len(a & b) / len(a | b) < 0.95
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    got = deduplicate_lines(df).agg({"n_removed": "sum"}).first()[0]
+    keys = signatures(lines, 8, 8, 4)
+    assert got == (keys[::2] == keys[1::2]).any(axis=1).sum()

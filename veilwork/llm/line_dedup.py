@@ -8,6 +8,8 @@ sets.  Links make components, and of each component the first line stays.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,12 +26,10 @@ BANDS, ROWS = 8, 4
 # What a caller gets who names no bound; ``EVERY_LINE`` leaves out blank lines only.
 LEAST_CHARS = 16
 EVERY_LINE = 1
-# Lines of a band are compared exactly if they agree in this share of ``SKETCH`` bins, five
-# standard deviations of the estimate below the similarity in a line of many shingles; lines
-# with fewer than ``SKETCH_LEAST`` characters always are.
+# Bins in which a line's distinct shingles are counted; two lines share at most the sum of the
+# lesser counts.  A count of ``MANY`` stands for any number.
 SKETCH = 128
-SKETCH_LEAST = 100
-SKETCH_MARGIN = 0.14
+MANY = 255
 _LAST_ID = (1 << 63) - 1
 _CHUNK = 1 << 20
 
@@ -43,10 +43,8 @@ def shingle_set(line: str, size: int) -> set[str]:
     return {line[k : k + size] for k in range(max(1, len(line) - size + 1))}
 
 
-def least_hashes(lines: list[str], size: int, bins: int) -> np.ndarray:
-    """The least shingle hash of each bin, one row per line (not empty, plain)."""
-    out = np.empty((len(lines), bins), np.uint64)
-    none = np.iinfo(np.uint64).max
+def _shingle_hashes(lines: list[str], size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of lines (not empty, plain): first, end, hashes of their shingles, each one's line in the run."""
     start = 0
     while start < len(lines):
         end, chars = start, 0
@@ -66,8 +64,16 @@ def least_hashes(lines: list[str], size: int, bins: int) -> np.ndarray:
         ends = np.cumsum(lengths)
         of_line = np.repeat(np.arange(len(padded)), lengths)[: len(h)]
         inside = np.arange(len(h)) <= ends[of_line] - size
-        h, of_line = mixed(h[inside]), of_line[inside]
-        least = np.full(len(padded) * bins, none, np.uint64)
+        yield start, end, mixed(h[inside]), of_line[inside]
+        start = end
+
+
+def least_hashes(lines: list[str], size: int, bins: int) -> np.ndarray:
+    """The least shingle hash of each bin, one row per line (not empty, plain)."""
+    out = np.empty((len(lines), bins), np.uint64)
+    none = np.iinfo(np.uint64).max
+    for start, end, h, of_line in _shingle_hashes(lines, size):
+        least = np.full((end - start) * bins, none, np.uint64)
         np.minimum.at(least, of_line * bins + (h % np.uint64(bins)).astype(np.int64), h // np.uint64(bins))
         least = least.reshape(-1, bins)
         empty = least == none
@@ -80,7 +86,6 @@ def least_hashes(lines: list[str], size: int, bins: int) -> np.ndarray:
             filled[use] = mixed(near[use] + np.uint64(k))
             empty &= ~use
         out[start:end] = filled
-        start = end
     return out
 
 
@@ -94,8 +99,23 @@ def signatures(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray
 
 
 def sketches(lines: list[str], size: int) -> np.ndarray:
-    """Eight bits of each of ``SKETCH`` bins: rows of bytes that agree as lines are alike."""
-    return (mixed(least_hashes(lines, size, SKETCH)) & np.uint64(0xFF)).astype(np.uint8)
+    """How many distinct shingles fall into each of ``SKETCH`` bins, one row of bytes per line."""
+    out = np.empty((len(lines), SKETCH), np.uint8)
+    for start, end, h, of_line in _shingle_hashes(lines, size):
+        order = np.lexsort((h, of_line))
+        h, of_line = h[order], of_line[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (of_line[1:] != of_line[:-1])]
+        slot = of_line[new] * SKETCH + (h[new] % np.uint64(SKETCH)).astype(np.int64)
+        counts = np.bincount(slot, minlength=(end - start) * SKETCH).reshape(-1, SKETCH)
+        out[start:end] = np.minimum(counts, MANY)
+    return out
+
+
+def may_reach(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """False for pairs of sketches whose sets surely stay below the similarity."""
+    n_x, n_y, common = (k.sum(axis=1, dtype=np.int64) for k in (x, y, np.minimum(x, y)))
+    open_ended = (x == MANY).any(axis=1) | (y == MANY).any(axis=1)
+    return open_ended | (common >= similarity * (n_x + n_y - common))
 
 
 def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -195,15 +215,13 @@ def _candidates(rows: DataFrame, classes: DataFrame, nodes: DataFrame, size: int
                 found.append(place["node"])
                 lines.append(plain(of_text[place["line"]]))
         sketch = [s.tobytes() for s in sketches(lines, size)]
-        brief = [len(x) < SKETCH_LEAST for x in lines]
         return pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.int64()), pa.array(lines, pa.string()), pa.array(sketch, pa.binary()), pa.array(brief, pa.bool_())],
-            names=["node", "text", "sketch", "brief"],
+            [pa.array(found, pa.int64()), pa.array(lines, pa.string()), pa.array(sketch, pa.binary())],
+            names=["node", "text", "sketch"],
         )
 
     held = rows_with(rows, keys, "key").dropDuplicates(["id", "key"]).join(wanted, ["id", "key"])
-    schema = "node bigint, text string, sketch binary, brief boolean"
-    return materialized(map_rows(held.select("text", "lines"), texts, schema))
+    return materialized(map_rows(held.select("text", "lines"), texts, "node bigint, text string, sketch binary"))
 
 
 def _line_pairs(index: DataFrame, known: DataFrame, similarity: float, across: bool) -> DataFrame:
@@ -212,11 +230,10 @@ def _line_pairs(index: DataFrame, known: DataFrame, similarity: float, across: b
     Without ``across`` each line meets its band's first line and the one before it, else all
     in other components.
     """
-    least = similarity - SKETCH_MARGIN
 
-    def pairs_of(ids, sketch, brief, component):
+    def pairs_of(ids, sketch, component):
         def near(x, y):
-            return brief[x] | brief[y] | ((sketch[x] == sketch[y]).mean(axis=1) >= least)
+            return may_reach(sketch[x], sketch[y], similarity)
 
         here = np.arange(1, len(ids))
         if not across:
@@ -232,10 +249,10 @@ def _line_pairs(index: DataFrame, known: DataFrame, similarity: float, across: b
                 part = part[near(np.full(len(part), k), part)]
                 yield np.full(len(part), k), part
 
-    full = index.join(known.select(F.col("node").alias("id"), "sketch", "brief"), "id")
+    full = index.join(known.select(F.col("node").alias("id"), "sketch"), "id")
     component = F.col("component" if across else "id").alias("component")
     ordered = full.repartition("gram").sortWithinPartitions("gram", "id")
-    return pairs_in_lists(ordered.select("gram", "id", "sketch", "brief", component), pairs_of)
+    return pairs_in_lists(ordered.select("gram", "id", "sketch", component), pairs_of)
 
 
 def _similar(known: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -277,8 +294,8 @@ def deduplicate_lines(
     ``EVERY_LINE`` only blank ones do, and lines shorter than a shingle go where equal.  A
     similar pair is found if it agrees in one of ``bands`` bands: at 0.8 with probability
     0.985, at 0.9 with 0.9998.  In a crowded band each line meets the first one, then all
-    that belong to other components; two long lines are compared exactly unless their sketches
-    rule out the similarity by a wide margin.
+    that belong to other components; two lines are compared exactly unless counts of their
+    shingles by bins prove that they stay below the similarity.
 
     A null text has no lines and stays null.  A null id comes after all others; among rows
     that repeat an id, the text's hash decides, and rows with equal id and text keep the same
