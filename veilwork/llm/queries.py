@@ -17,6 +17,7 @@ from veilwork.llm.license_scan import scan_licenses
 from veilwork.llm.line_dedup import EVERY_LINE, deduplicate_lines
 from veilwork.llm.ngram_join import similar_components
 from veilwork.llm.packing import pack
+from veilwork.llm.simhash import near_duplicates
 from veilwork.llm.spot_signatures import edited_fingerprints
 from veilwork.llm.substring_dedup import remove_repeated
 
@@ -95,6 +96,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@_query
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 ORACLES["op9_exact_dedup"] = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
