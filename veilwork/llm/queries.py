@@ -18,6 +18,7 @@ from veilwork.llm.line_dedup import EVERY_LINE, deduplicate_lines
 from veilwork.llm.ngram_join import similar_components
 from veilwork.llm.packing import pack
 from veilwork.llm.simhash import near_duplicates
+from veilwork.llm.spelling import spelling_variants
 from veilwork.llm.spot_signatures import edited_fingerprints
 from veilwork.llm.substring_dedup import remove_repeated
 
@@ -101,6 +102,11 @@ def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+@_query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
 ORACLES["op9_exact_dedup"] = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
