@@ -21,6 +21,7 @@ from veilwork.llm.simhash import near_duplicates
 from veilwork.llm.spelling import spelling_variants
 from veilwork.llm.spot_signatures import edited_fingerprints
 from veilwork.llm.substring_dedup import remove_repeated
+from veilwork.llm.whitening import whiten
 
 TOKENIZER = tokenizer_path("word_bpe_49k.json")
 
@@ -97,6 +98,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@_query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @_query
 def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
