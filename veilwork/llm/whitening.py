@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def unpacked(column: pa.Array, dimension: int) -> Iterator[np.ndarray]:
     rows = max(1, PIECE // dimension)
     for k in range(0, len(column), rows):
         piece = column.slice(k, rows)
-        lengths = np.asarray(pa.compute.binary_length(piece))
+        lengths = np.asarray(pc.binary_length(piece))
         for w in (1, 2, 4, 8):
             chosen = np.flatnonzero(lengths == 1 + w * dimension)
             if len(chosen):
