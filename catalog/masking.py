@@ -272,7 +272,7 @@ def mask_reversible(spark: SparkSession, sf: str) -> DataFrame:
     return _tokenized(spark, sf)[0].select("doc_id", "source", "masked_text")
 
 
-_MIXED = """(SELECT *, row_number() OVER (
+_MIXED_NUMBERED = """(SELECT *, row_number() OVER (
         PARTITION BY entity_type = 'EMAIL' ORDER BY doc_id, start DESC) AS number FROM final_pass)"""
 
 
@@ -281,7 +281,7 @@ _MIXED = """(SELECT *, row_number() OVER (
     with_parts(
         masked_texts(
             f"CASE WHEN d.entity_type = 'EMAIL' THEN p.fake ELSE {_TOKEN} END",
-            _MIXED,
+            _MIXED_NUMBERED,
             joins=f"LEFT JOIN ({DICTIONARY_SQL}) p ON p.entity_type = d.entity_type AND p.text = d.text",
         )
     ),

@@ -505,6 +505,29 @@ def rebuilt(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "rebuild_long_messages",
+    with_parts(
+        f""", masked AS MATERIALIZED ({_MASKED_BLOCKS}),
+        hit AS (SELECT DISTINCT doc_id // 10 AS msg_id FROM final_pass)
+        SELECT m.msg_id, CASE WHEN h.msg_id IS NULL THEN m.line
+            ELSE replace(replace(m.line, to_json(t.text), to_json(a.masked_text)),
+                coalesce(to_json(r.text), '\x00'), coalesce(to_json(b.masked_text), '')) END AS line
+        FROM ({MESSAGES_SQL}) m LEFT JOIN hit h USING (msg_id)
+        LEFT JOIN texts t ON t.doc_id = m.msg_id * 10
+        LEFT JOIN texts r ON r.doc_id = m.msg_id * 10 + 1
+        LEFT JOIN masked a ON a.doc_id = m.msg_id * 10
+        LEFT JOIN masked b ON b.doc_id = m.msg_id * 10 + 1""",
+        texts=BLOCKS_SQL,
+        scanned="source <> 'assistant'",
+    ),
+)
+def rebuilt_by_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line as if it were too long for a variant: masked in place, all other bytes kept."""
+    masked = mask_messages(messages(spark, sf), MESSAGE_POLICY, longest=0)
+    return masked.select("msg_id", F.col("masked_line").alias("line"))
+
+
 _PASSED = f"""(SELECT count(*) FROM ({MESSAGES_SQL})) - (SELECT count(DISTINCT doc_id // 10)
     FROM final_pass)"""
 

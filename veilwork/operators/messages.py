@@ -3,26 +3,34 @@
 A message is a candidate when it is an object whose ``result.content`` is a
 list and whose source is scanned.  Everything else passes through untouched.
 Masking and rebuilding happen inside the row, without a shuffle.
+
+Lines up to a length are read as variants, in SQL alone.  A longer one could exceed what a
+variant may hold, so its texts are found in the bytes by a Python helper and the masked ones put back
+there; detection and masking between are the same.  The long lines are a branch of their own:
+the others never leave the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from veilwork.constants import DEFAULT_SOURCE
 from veilwork.functions.columns import compute_once, name
+from veilwork.functions.json_splice import find_blocks, with_texts
 from veilwork.functions.masks import splice
 from veilwork.operators.dictionary import mask_with_tables
 from veilwork.plans.scan import find, redactions_of, scan, stages
 from veilwork.policy import Policy
 from veilwork.session import materialized
 
-# A longer line may be valid JSON that Spark's parser refuses, so it is not taken for
-# text that is no JSON.
-LONGEST_LINE = 16_000_000
+# Bytes of a line that is surely a variant of less than 16 MB: a value of two bytes of JSON, with
+# its comma, takes six in one.
+LONGEST_LINE = 4_000_000
 # In an object with repeated keys the last one counts.
 REPEATED_KEYS_SETTING = "spark.sql.variant.allowDuplicateKeys"
 
@@ -43,13 +51,6 @@ def _parsed(df: DataFrame, line: str) -> DataFrame:
     return compute_once(parsed, _content=content)
 
 
-def _unread(line: str) -> str:
-    """SQL: a line that names a result and is too long to be sure that it is no JSON."""
-    raw = name(line)
-    named = rf"(contains({raw}, 'result') or contains({raw}, '\\u'))"
-    return f"(_message is null and length({raw}) > {LONGEST_LINE} and {named})"
-
-
 def _tool_name() -> str:
     return (
         f"coalesce(try_variant_get(_message, '$.result._meta.tool_name', 'string'),"
@@ -68,38 +69,96 @@ def _block_text(block: str) -> str:
     return f"case try_variant_get({block}, '$.type', 'string') {cases} else null end"
 
 
+_LOCATED = StructType([
+    StructField("tool", StringType()),
+    StructField("kinds", ArrayType(StringType())),
+    StructField("texts", ArrayType(StringType())),
+    StructField("starts", ArrayType(LongType())),
+    StructField("ends", ArrayType(LongType())),
+    StructField("dead", ArrayType(StructType([StructField("s", LongType()), StructField("e", LongType())]))),
+])
+
+
+@F.arrow_udf(_LOCATED)
+def _locate(lines: pa.Array) -> pa.Array:
+    found = (find_blocks(line.as_buffer().to_pybytes()) for line in lines.cast(pa.binary()))
+    blocks = [
+        None if b is None else vars(b) | {"texts": [t and _utf8(t) for t in b.texts], "dead": [{"s": s, "e": e} for s, e in b.dead]}
+        for b in found
+    ]
+    places, words = pa.list_(pa.int64()), pa.list_(pa.string())
+    dead = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+    return pa.array(
+        blocks,
+        pa.struct([("tool", pa.string()), ("kinds", words), ("texts", words), ("starts", places), ("ends", places), ("dead", dead)]),
+    )
+
+
+def _utf8(text: str) -> str:
+    """Halves of surrogate pairs, which JSON can write and a string cannot hold, as question marks."""
+    return text.encode("utf-8", "replace").decode()
+
+
+@F.arrow_udf(StringType())
+def _respliced(lines: pa.Array, located: pa.Array, masked: pa.Array) -> pa.Array:
+    out = []
+    for line, at, texts in zip(lines.cast(pa.binary()), located, masked):
+        at, texts = at.as_py(), texts.as_py()
+        if at is None or texts is None:
+            out.append(None)
+            continue
+        dead = [(d["s"], d["e"]) for d in at["dead"]]
+        out.append(with_texts(line.as_buffer().to_pybytes(), at["starts"], at["ends"], texts, dead).decode())
+    return pa.array(out, pa.string())
+
+
+def _branches(df: DataFrame, line: str, longest: int) -> tuple[DataFrame, DataFrame]:
+    """(lines that are read as variants, longer ones); null lines are among the first."""
+    long = f"coalesce(octet_length({name(line)}) > {int(longest)}, false)"
+    return df.where(f"not {long}"), df.where(long)
+
+
+def _located(df: DataFrame, line: str) -> DataFrame:
+    """Add ``_located``: null where a long line has no list of content."""
+    return compute_once(df, _located=_locate(F.col(name(line))))
+
+
+_LONG_TOOL = f"coalesce(_located.tool, '{DEFAULT_SOURCE}')"
+
+
 def classify_messages(
-    df: DataFrame, policy: Policy = Policy(), line: str = "line"
+    df: DataFrame, policy: Policy = Policy(), line: str = "line", longest: int = LONGEST_LINE
 ) -> DataFrame:
-    """Add ``message_class`` (candidate, passthrough or unread) and ``tool_name``.
-
-    An unread line is too long for the parser; it is masked to null, not passed on.
+    """Add ``message_class`` (candidate or passthrough) and ``tool_name``.
 
-    ``tool_name`` is null where a line has no list of content.
+    ``tool_name`` is null where a line has no list of content.  Lines of more than
+    ``longest`` bytes are read by the token.
     """
-    named = _parsed(df, line).withColumn(
-        "tool_name", F.expr(f"if(_content is null, null, {_tool_name()})")
-    )
-    return named.withColumn(
-        "message_class",
-        F.expr(
-            f"if(_content is not null and {policy.scans('tool_name')},"
-            f" 'candidate', if({_unread(line)}, 'unread', 'passthrough'))"
-        ),
-    ).drop("_message", "_content")
+    short, long = _branches(df, line, longest)
+    parts = []
+    for part, content, tool in (
+        (_parsed(short, line), "_content", _tool_name()),
+        (_located(long, line), "_located", _LONG_TOOL),
+    ):
+        named = part.withColumn("tool_name", F.expr(f"if({content} is null, null, {tool})"))
+        is_candidate = f"if({content} is not null and {policy.scans('tool_name')}, 'candidate', 'passthrough')"
+        parts.append(
+            named.withColumn("message_class", F.expr(is_candidate)).select(
+                *map(name, [c for c in df.columns if c not in ("tool_name", "message_class")]), "tool_name", "message_class"
+            )
+        )
+    return parts[0].unionByName(parts[1])
 
 
 def explode_blocks(
-    df: DataFrame, key: Sequence[str] = ("msg_id",), line: str = "line"
+    df: DataFrame, key: Sequence[str] = ("msg_id",), line: str = "line", longest: int = LONGEST_LINE
 ) -> DataFrame:
     """One row per content block with text: position, type, source and text."""
-    blocks = _parsed(df, line).where("_content is not null")
-    return (
-        blocks.select(
-            *map(name, key),
-            F.expr(_tool_name()).alias("source"),
-            F.posexplode("_content").alias("block", "_b"),
-        )
+    short, long = _branches(df, line, longest)
+    of_short = (
+        _parsed(short, line)
+        .where("_content is not null")
+        .select(*map(name, key), F.expr(_tool_name()).alias("source"), F.posexplode("_content").alias("block", "_b"))
         .select(
             *map(name, key),
             "block",
@@ -107,25 +166,22 @@ def explode_blocks(
             F.expr("try_variant_get(_b, '$.type', 'string')").alias("block_type"),
             F.expr(_block_text("_b")).alias("text"),
         )
-        .where("text is not null")
     )
+    of_long = (
+        _located(long, line)
+        .where("_located is not null")
+        .select(
+            *map(name, key),
+            F.expr(_LONG_TOOL).alias("source"),
+            F.posexplode(F.arrays_zip("_located.kinds", "_located.texts")).alias("block", "_b"),
+        )
+        .select(*map(name, key), "block", "source", F.col("_b.kinds").alias("block_type"), F.col("_b.texts").alias("text"))
+    )
+    return of_short.unionByName(of_long).where("text is not null")
 
 
-def scan_messages(
-    df: DataFrame, policy: Policy = Policy(), line: str = "line"
-) -> DataFrame:
-    """Add the source, the block texts and the final detections of each block.
-
-    Columns: ``source``, ``scanned``, ``block_texts`` (null where there is nothing
-    to scan) and ``block_detections``, both by position in the content.
-    """
-    out = _parsed(df, line)
-    out = out.withColumn("source", F.expr(_tool_name())).withColumn(
-        "scanned", F.expr(f"_content is not null and {policy.scans('source')}")
-    )
-    out = compute_once(
-        out, block_texts=f"if(scanned, transform(_content, b -> {_block_text('b')}), null)"
-    )
+def _with_detections(out: DataFrame, policy: Policy) -> DataFrame:
+    """Add ``block_detections`` to rows with ``block_texts``, both by position in the content."""
     found = find(policy, "block_text")
     out = compute_once(out, block_detections=f"transform(block_texts, block_text -> {found})")
     for stage in stages(policy):
@@ -138,6 +194,39 @@ def scan_messages(
     return out
 
 
+def _with_sources(df: DataFrame, policy: Policy, line: str, long: bool) -> DataFrame:
+    """Add ``source`` and ``scanned``, and what rebuilding a line of this branch needs."""
+    out, content, tool = (
+        (_located(df, line), "_located", _LONG_TOOL) if long else (_parsed(df, line), "_content", _tool_name())
+    )
+    return out.withColumn("source", F.expr(tool)).withColumn(
+        "scanned", F.expr(f"{content} is not null and {policy.scans('source')}")
+    )
+
+
+def _with_texts(out: DataFrame, long: bool) -> DataFrame:
+    """Add ``block_texts``, null where there is nothing to scan."""
+    texts = "_located.texts" if long else f"transform(_content, b -> {_block_text('b')})"
+    return compute_once(out, block_texts=f"if(scanned, {texts}, null)")
+
+
+def scan_messages(
+    df: DataFrame, policy: Policy = Policy(), line: str = "line", longest: int = LONGEST_LINE
+) -> DataFrame:
+    """Add the source, the block texts and the final detections of each block.
+
+    Columns: ``source``, ``scanned``, ``block_texts`` (null where there is nothing
+    to scan) and ``block_detections``, both by position in the content.
+    """
+    added = ("source", "scanned", "block_texts", "block_detections")
+    kept = [c for c in df.columns if c not in added]
+    short, long = (
+        _with_detections(_with_texts(_with_sources(part, policy, line, is_long), is_long), policy).select(*map(name, kept), *added)
+        for is_long, part in enumerate(_branches(df, line, longest))
+    )
+    return short.unionByName(long)
+
+
 def _rebuilt(masked: str) -> str:
     """The message with the masked texts in place, as JSON text.
 
@@ -168,14 +257,16 @@ def mask_messages(
     policy: Policy = Policy(),
     key: Sequence[str] = ("msg_id",),
     line: str = "line",
+    longest: int = LONGEST_LINE,
 ) -> DataFrame:
     """Add ``masked_line``, ``source``, ``scanned``, ``modified``, ``blocks_with_pii``
     and ``block_masked`` (replaced texts by position).
 
     A line in which nothing is found stays as it is, byte for byte; a changed one
-    is equal as JSON in everything but the masked texts.
+    is equal as JSON in everything but the masked texts.  A changed line of more than ``longest``
+    bytes keeps all other bytes; of repeated keys only the last value counts, the others become null.
     """
-    return mask_messages_reversibly(df, policy, None, 1, key, line)[0]
+    return mask_messages_reversibly(df, policy, None, 1, key, line, longest=longest)[0]
 
 
 def mask_messages_reversibly(
@@ -186,25 +277,37 @@ def mask_messages_reversibly(
     key: Sequence[str] = ("msg_id",),
     line: str = "line",
     dictionary: Callable[[DataFrame], DataFrame] | None = None,
+    first: int = 1,
+    longest: int = LONGEST_LINE,
 ) -> tuple[DataFrame, DataFrame | None]:
     """``mask_messages`` with all strategies: (masked messages, token table or None)."""
     if keyring is None:
         policy = policy.without_tokens()
     if policy.needs_tables():
-        return _mask_with_tables(df, policy, key, line, keyring, key_id, dictionary)
-    out = scan_messages(df, policy, line)
+        return _mask_with_tables(df, policy, key, line, keyring, key_id, dictionary, first, longest)
     masked = splice("block_text", redactions_of(policy, "block_found"))
-    out = compute_once(
-        out,
-        block_masked=f"""zip_with(block_texts, block_detections,
-            (block_text, block_found) -> if(size(block_found) > 0, {masked}, null))""",
-    )
-    return _put_back(out, df, line), None
+    replaced = f"""zip_with(block_texts, block_detections,
+        (block_text, block_found) -> if(size(block_found) > 0, {masked}, null))"""
+    short, long = (
+        _put_back(
+            compute_once(
+                _with_detections(_with_texts(_with_sources(part, policy, line, is_long), is_long), policy),
+                block_masked=replaced,
+            ),
+            df, line, is_long,
+        )
+        for is_long, part in enumerate(_branches(df, line, longest))
+    )
+    return short.unionByName(long), None
 
 
-def _put_back(out: DataFrame, df: DataFrame, line: str) -> DataFrame:
+def _put_back(out: DataFrame, df: DataFrame, line: str, long: bool) -> DataFrame:
     hits = "coalesce(exists(block_masked, m -> m is not null), false)"
-    raw = name(line)
+    if long:
+        out = out.withColumn(
+            "_new_line", _respliced(F.expr(f"if({hits}, {name(line)}, null)"), F.expr(f"if({hits}, _located, null)"), F.col("block_masked"))
+        )
+    new = "_new_line" if long else _rebuilt("block_masked")
     return out.select(
         *map(name, df.columns),
         "source",
@@ -214,11 +317,8 @@ def _put_back(out: DataFrame, df: DataFrame, line: str) -> DataFrame:
             "blocks_with_pii"
         ),
         "block_masked",
-        # a changed message that cannot be written, or one that could not be read, is
-        # held back, never passed on as it is
-        F.expr(f"if({hits}, {_rebuilt('block_masked')}, if({_unread(line)}, null, {raw}))").alias(
-            "masked_line"
-        ),
+        # a changed message that cannot be written is held back, never passed on as it is
+        F.expr(f"if({hits}, {new}, {name(line)})").alias("masked_line"),
     )
 
 
@@ -230,6 +330,8 @@ def _mask_with_tables(
     keyring: DataFrame | None,
     key_id: int,
     dictionary: Callable[[DataFrame], DataFrame] | None,
+    first: int,
+    longest: int,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Block texts go through the dictionaries as a table of their own.
 
@@ -238,27 +340,22 @@ def _mask_with_tables(
     """
     numbered = materialized(df.withColumn("_message_row", F.monotonically_increasing_id()))
     block_key = [*key, "_message_row", "block"]
-    blocks = explode_blocks(numbered, block_key[:-1], line)
+    blocks = explode_blocks(numbered, block_key[:-1], line, longest)
     masked, tokens = mask_with_tables(
-        scan(blocks, policy, block_key), policy, block_key, "text", dictionary, keyring, key_id
+        scan(blocks, policy, block_key), policy, block_key, "text", dictionary, keyring, key_id, first
     )
-    by_message = (
+    by_message = materialized(
         masked.where("size(detections) > 0")
         .groupBy("_message_row")
         .agg(F.map_from_entries(F.collect_list(F.struct("block", "masked_text"))).alias("_new"))
     )
-    out = (
-        _parsed(numbered, line)
-        .withColumn("source", F.expr(_tool_name()))
-        .withColumn("scanned", F.expr(f"_content is not null and {policy.scans('source')}"))
-        .join(by_message, "_message_row", "left")
-    )
-    out = compute_once(
-        out,
-        block_masked="""if(_new is null, null,
-            transform(_content, (b, i) -> try_element_at(_new, i)))""",
-    )
-    return _put_back(out, df, line), tokens
+    parts = []
+    for is_long, part in enumerate(_branches(numbered, line, longest)):
+        out = _with_sources(part, policy, line, is_long).join(by_message, "_message_row", "left")
+        content = "_located.texts" if is_long else "_content"
+        replaced = f"if(_new is null, null, transform({content}, (b, i) -> try_element_at(_new, i)))"
+        parts.append(_put_back(compute_once(out, block_masked=replaced), df, line, is_long))
+    return parts[0].unionByName(parts[1]), tokens
 
 
 def message_stats(masked: DataFrame) -> DataFrame:
