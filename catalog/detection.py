@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from catalog.inputs import TEXTS_SQL, texts
 from catalog.oracle_parts import context_columns, iban_ok, luhn, raw_all, raw_of, with_parts
 from catalog.registry import query
 from veilwork.constants import REGEX_TYPES
+from veilwork.functions.detectors import python_detector
 from veilwork.operators.context import context_signals, score_context
 from veilwork.operators.detect import (
     detect,
@@ -304,3 +307,25 @@ def type_counts(spark: SparkSession, sf: str) -> DataFrame:
     return entity_totals(explode_detections(scan(texts(spark, sf)))).orderBy("entity_type")
 
 
+
+
+# --- extensions ------------------------------------------------------------------
+
+
+def _first_digits(text: str) -> list[tuple[str, int, int, float]]:
+    found = re.search("[0-9]+", text)
+    return [("DIGITS", found.start(), found.end(), 0.9)] if found else []
+
+
+_DIGITS_SQL = """SELECT doc_id, 'DIGITS' AS entity_type, CAST(strpos(text, found) - 1 AS INTEGER) AS start,
+        CAST(strpos(text, found) - 1 + length(found) AS INTEGER) AS "end", found AS text, CAST(0.9 AS DOUBLE) AS confidence
+    FROM (SELECT doc_id, text, regexp_extract(text, '[0-9]+') AS found FROM texts) WHERE found <> ''"""
+
+
+@query("custom_detector", _texts_only(_DIGITS_SQL))
+def detected_in_python(spark: SparkSession, sf: str) -> DataFrame:
+    """A detector written in Python, batch by batch, beside none of the built-in ones."""
+    policy = Policy(use_regex=False, use_context=False, detectors=(python_detector(spark, "first_digits", _first_digits),))
+    return explode_detections(scan(texts(spark, sf), policy)).select(
+        "doc_id", "entity_type", "start", "end", "text", "confidence"
+    )

@@ -21,7 +21,7 @@ from catalog.oracle_parts import (
 from catalog.registry import query
 from veilwork.constants import PSEUDO_KEY_TYPES, REGEX_TYPES
 from veilwork.functions import masks
-from veilwork.functions.strategies import hash_strategy, redact_strategy
+from veilwork.functions.strategies import Strategy, hash_strategy, redact_strategy
 from veilwork.operators.detect import detect, explode_detections
 from veilwork.operators.dictionary import (
     mask_with_pseudonyms,
@@ -186,6 +186,17 @@ def mask_mixed(spark: SparkSession, sf: str) -> DataFrame:
     return scan_and_mask(texts(spark, sf), policy).select("doc_id", "source", "masked_text")
 
 
+@query(
+    "custom_strategy",
+    with_parts(masked_texts("substr(d.text, 1, 1) || '#' || length(d.text)")),
+)
+def mask_initial(spark: SparkSession, sf: str) -> DataFrame:
+    """A strategy of the user's own: the first letter and the length."""
+    initial = Strategy("initial", lambda kind, text: f"concat(left({text}, 1), '#', length({text}))")
+    policy = Policy(default_strategy="initial", strategies=(initial,))
+    return scan_and_mask(texts(spark, sf), policy).select("doc_id", "source", "masked_text")
+
+
 # --- pseudonyms ------------------------------------------------------------------
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"

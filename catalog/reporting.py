@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from catalog.inputs import (
     BLOCKS_SQL,
     MESSAGES_SQL,
+    TEXTS_SQL,
     order_texts,
     documents,
     messages,
     table,
     texts,
 )
-from catalog.masking import _KEEP, _MIXED, _RULES, PSEUDO_SQL
+from catalog.masking import _KEEP, _MIXED, _NUMBERED, _RULES, _TOKEN, PSEUDO_SQL, keyring
 from catalog.oracle_parts import REDACT, masked_texts, q, with_parts
 from catalog.registry import query
 from veilwork.constants import ALERT_HIGH, FEED_HIGH
@@ -26,6 +27,7 @@ from veilwork.operators.audit import (
     scan_summaries,
 )
 from veilwork.operators.detect import explode_detections
+from veilwork.operators.dictionary import restore_text
 from veilwork.operators.messages import (
     classify_messages,
     explode_blocks,
@@ -56,11 +58,13 @@ from veilwork.session import new_folder, spread
 from veilwork.sources.audit_log import parse_audit, read_audit, write_audit
 from veilwork.sources.lines import read_messages, stream_messages
 from veilwork.sources.texts import as_texts
+from veilwork.streaming.stored import read_stream_tokens
 from veilwork.streaming.streams import (
     stream_audit,
     stream_entity_counts,
     stream_mask_messages,
     stream_mask_text,
+    stream_masked_with_tables,
     stream_pseudonyms,
 )
 
@@ -657,6 +661,34 @@ def streamed_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("stream_tokens", with_parts(f"SELECT doc_id, source, masked_text AS text FROM ({masked_texts(_TOKEN, _NUMBERED)})"))
+def streamed_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches: the derived texts go on where the documents' numbers end."""
+    path = new_folder(spark, "stream-tokens")
+    for part in (documents(spark, sf), order_texts(table(spark, sf, "orders"))):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{path}/in")
+        stream_masked_with_tables(
+            stream, f"{path}/out", f"{path}/checkpoint", Policy(use_reversible=True), tokens=f"{path}/tokens", keyring=keyring(spark)
+        ).awaitTermination()
+    return (
+        spark.read.schema("doc_id bigint, source string, text string")
+        .parquet(f"{path}/out")
+        .drop("batch_id")
+    )
+
+
+@query("restore_stream", f"SELECT doc_id, text AS restored_text FROM ({TEXTS_SQL})")
+def stream_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """What a stream masked with tokens, and the tokens it stored, give back."""
+    path = new_folder(spark, "stream-restored")
+    stream_masked_with_tables(
+        _stream_texts(spark, sf), f"{path}/out", f"{path}/checkpoint", Policy(use_reversible=True), tokens=f"{path}/tokens", keyring=keyring(spark)
+    ).awaitTermination()
+    masked = spark.read.schema("doc_id bigint, text string").parquet(f"{path}/out").select("doc_id", "text")
+    return restore_text(masked, read_stream_tokens(spark, f"{path}/tokens"), keyring(spark)).select("doc_id", "restored_text")
+
+
 @query(
     "stream_audit",
     _audit_sql(

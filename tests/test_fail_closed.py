@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork.functions.strategies import hash_strategy
+from veilwork.operators.detect import ingest_ner_spans, misplaced_spans, with_spans
 from veilwork.operators.dictionary import mask_with_tables, restore_text
 from veilwork.operators.messages import mask_messages, mask_messages_reversibly
 from veilwork.plans.scan import mask, scan, scan_and_mask
 from veilwork.policy import EntityRule, Policy
 from veilwork.sources.audit_log import parse_audit
+from veilwork.sources.texts import write_bucketed
 from veilwork.streaming.streams import stream_mask_text, stream_message_pseudonyms
 
 MAIL, PHONE = "john@example.com", "555-123-4567"
@@ -85,13 +87,77 @@ def test_messages(spark, keyring, name, with_key):
     assert (tokens is not None) == (with_key and POLICIES[name].use_reversible)
 
 
-def test_a_line_too_long_to_read_is_held_back(spark):
+def test_a_line_too_long_for_a_variant(spark):
     line = F.concat(
         F.lit('{"result": {"content": [{"type": "text", "text": "' + MAIL + ' '), F.repeat(F.lit("x"), 20_100_000), F.lit('"}]}}')
     )
     df = spark.range(1).select(F.lit(1).alias("msg_id"), line.alias("line"))
-    r = mask_messages(df).select((F.col("masked_line").isNull() | ~F.contains("masked_line", F.lit(MAIL))).alias("ok")).first()
-    assert r.ok
+    hidden = F.contains("masked_line", F.lit('"<EMAIL_REDACTED> xxx')) & ~F.contains("masked_line", F.lit(MAIL))
+    assert mask_messages(df).select(hidden.alias("ok")).first().ok
+
+
+SPANS = "doc_id bigint, label string, start int, `end` int, text string"
+NER = Policy(use_ner=True)
+
+
+def test_recognized_spans_of_null_keys(spark):
+    rows = [(None, "s", "Maria Smith met us"), (1, "s", "we met Maria Smith"), (2, "s", "nobody"), (2, "s", "nobody else")]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    found = spark.createDataFrame(
+        [(None, "PERSON", 0, 11, "Maria Smith"), (1, "PERSON", 7, 18, "Maria Smith"), (1, "ORG", 0, 6, "we met"), (9, "ORG", 0, 1, "x")], SPANS
+    )
+    out = {r.text: r.masked_text for r in scan_and_mask(df, NER, ner=ingest_ner_spans(found)).collect()}
+    assert out == {
+        "Maria Smith met us": "<PERSON_NAME_REDACTED> met us", "we met Maria Smith": "<ORGANIZATION_REDACTED> <PERSON_NAME_REDACTED>",
+        "nobody": "nobody", "nobody else": "nobody else",
+    }
+    assert [r.doc_id for r in misplaced_spans(df, ingest_ner_spans(found)).collect()] == [9]
+
+
+@pytest.mark.parametrize("key", [2, None])
+def test_recognized_spans_of_repeated_keys_are_refused(spark, key):
+    df = spark.createDataFrame([(key, "s", "Maria Smith met us"), (key, "s", "Teddy today at all")], "doc_id bigint, source string, text string")
+    found = spark.createDataFrame([(key, "PERSON", 0, 11, "Maria Smith")], SPANS)
+    with pytest.raises(ValueError, match="several texts"):
+        scan(df, NER, ner=ingest_ner_spans(found))
+
+
+def test_spans_at_wrong_offsets_are_reported(spark):
+    df = spark.createDataFrame([(1, "s", "Maria Smith met us"), (2, "s", "é😀 Maria"), (3, "s", None)], "doc_id bigint, source string, text string")
+    found = ingest_ner_spans(spark.createDataFrame(
+        [(1, "PERSON", 1, 12, "Maria Smith"), (1, "PERSON", -3, 5, "Maria"), (1, "ORG", 12, 15, "met"), (2, "GPE", 3, 8, "Maria"), (2, "GPE", 40, 45, "Maria"), (3, "ORG", 0, 1, "x")],
+        SPANS,
+    ))
+    masked = {r.doc_id: r.masked_text for r in scan_and_mask(df, NER, ner=found).collect()}
+    assert masked == {1: "Maria Smith <ORGANIZATION_REDACTED> us", 2: "é😀 <LOCATION_REDACTED>", 3: None}
+    wrong = sorted((r.doc_id, r.start) for r in misplaced_spans(df, found).collect())
+    assert wrong == [(1, -3), (1, 1), (2, 40), (3, 0)]
+
+
+def test_bucketed_texts_meet_their_spans_without_a_shuffle(spark, tmp_path):
+    df = spark.createDataFrame([(k, "s", f"Maria Smith {k}") for k in range(50)] + [(None, "s", "Maria Smith n")], "doc_id bigint, source string, text string")
+    found = ingest_ner_spans(spark.createDataFrame([(k, "PERSON", 0, 11, "Maria Smith") for k in (*range(0, 50, 2), None)], SPANS))
+    write_bucketed(df, "bucketed_texts", str(tmp_path / "texts"), 4)
+    write_bucketed(found, "bucketed_spans", str(tmp_path / "spans"), 4)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = with_spans(spark.table("bucketed_texts"), spark.table("bucketed_spans"), ("doc_id",), "_ner")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        # the branch of the texts with a key comes first
+        whole = plan.split("\n   +- ")[0]
+        assert "bucketed_texts" in whole and "SortMergeJoin" in whole and "Exchange" not in whole
+        masked = scan_and_mask(spark.table("bucketed_texts"), NER, ner=spark.table("bucketed_spans"))
+        assert sum("REDACTED" in r.masked_text for r in masked.collect()) == 26
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_texts")
+        spark.sql("DROP TABLE bucketed_spans")
+
+
+def test_a_key_id_with_two_keys_is_refused(spark, texts):
+    ring = spark.createDataFrame([(1, bytearray(b"0123456789abcdef")), (1, bytearray(b"fedcba9876543210"))], "key_id int, key binary")
+    with pytest.raises(ValueError, match="several keys"):
+        mask_with_tables(scan(texts, POLICIES["reversible"]), POLICIES["reversible"], keyring=ring)
 
 
 def test_streams(spark, texts, tmp_path):

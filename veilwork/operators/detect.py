@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.constants import (
@@ -171,3 +171,54 @@ def nest_detections(
     return detections.groupBy(*key).agg(
         F.collect_list(fields).cast(DETECTIONS_TYPE).alias(column)
     )
+
+
+def _null_key(key: Sequence[str]) -> str:
+    return "(" + " or ".join(f"{name(k)} is null" for k in key) + ")"
+
+
+def _keyed(spans: DataFrame, key: Sequence[str], *others: str) -> DataFrame:
+    """Spans with their key columns under names of their own, which no text table has."""
+    return spans.select(*[F.col(name(k)).alias(f"_span_key_{i}") for i, k in enumerate(key)], *map(name, others))
+
+
+def _same_key(key: Sequence[str], equal: str = "<=>") -> Column:
+    return F.expr(" and ".join(f"{name(k)} {equal} _span_key_{i}" for i, k in enumerate(key)))
+
+
+def with_spans(df: DataFrame, spans: DataFrame, key: Sequence[str], column: str) -> DataFrame:
+    """Add the spans of each text, found by its key, as an array.
+
+    A null in a key equals a null.  Where both tables are bucketed by the key, the texts are
+    not shuffled: keys without nulls meet by plain equality, and texts with a null key are a
+    branch of their own.  A key of spans may not belong to several texts, since nobody could tell
+    whose spans they are: that raises, except on a stream, where only the offsets tell.
+    """
+    if not df.isStreaming:
+        asked = df.select(*map(name, key)).join(_keyed(spans, key).distinct(), _same_key(key), "left_semi")
+        if not asked.groupBy(*map(name, key)).count().where("count > 1").isEmpty():
+            raise ValueError(f"spans are given for a {', '.join(key)} that several texts have")
+    nested = nest_detections(spans, key, column)
+    kept = [*map(name, df.columns), column]
+    whole, loose = f"not {_null_key(key)}", _null_key(key)
+    of_whole = df.where(whole).join(_keyed(nested.where(whole), key, column), _same_key(key, "="), "left")
+    of_null = df.where(loose).join(_keyed(nested.where(loose), key, column), _same_key(key), "left")
+    return of_whole.select(*kept).unionByName(of_null.select(*kept))
+
+
+def placed(spans: str, text: str) -> str:
+    """SQL: the spans whose text is what stands at their offsets."""
+    return f"""filter({spans}, d -> d.start >= 0 and d.end > d.start
+        and substring({text}, d.start + 1, d.end - d.start) = d.text)"""
+
+
+def misplaced_spans(
+    df: DataFrame, spans: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text"
+) -> DataFrame:
+    """Spans that a scan leaves out: there is no such text, or another text at their offsets."""
+    fields = [f"_span.{name(c)}" for c in spans.columns]
+    packed = spans.withColumn("_span", F.struct(*map(name, spans.columns)))
+    texts = df.select(*map(name, key), F.col(name(text)).alias("_whole"))
+    found = _keyed(packed, key, "_span").join(texts, _same_key(key), "left").select(*fields, "_whole")
+    there = "`start` >= 0 and `end` > `start` and substring(_whole, `start` + 1, `end` - `start`) = `text`"
+    return found.where(f"not coalesce({there}, false)").drop("_whole")

@@ -45,6 +45,7 @@ def pseudonym_dictionary(
     values: DataFrame,
     key: Sequence[str] = ("doc_id",),
     known: DataFrame | None = None,
+    largest: DataFrame | None = None,
 ) -> DataFrame:
     """One fake per distinct (entity_type, text), numbered per type from 1.
 
@@ -52,6 +53,7 @@ def pseudonym_dictionary(
     ``values`` has the key, ``entity_type``, ``start`` and ``text``.  With
     ``known``, an earlier dictionary, values it holds keep their number and new
     ones continue after the largest of their type; only new ones are returned.
+    ``largest`` (entity_type, largest) says so where ``known`` is only a part of the dictionary.
     Column ``n`` says how many rows hold the value.
     """
     distinct = values.groupBy("entity_type", "text").agg(
@@ -64,11 +66,12 @@ def pseudonym_dictionary(
     placed = with_positions(distinct, ["entity_type", "_first", "text"])
     # one row per type from here on
     bases = placed.groupBy("entity_type").agg(F.min("position").alias("_base"))
-    if known is not None:
-        largest = known.groupBy("entity_type").agg(F.max("idx").alias("_largest"))
+    if known is not None and largest is None:
+        largest = known.groupBy("entity_type").agg(F.max("idx").alias("largest"))
+    if largest is not None:
         bases = bases.join(largest, "entity_type", "left").select(
             "entity_type",
-            (F.col("_base") - F.coalesce("_largest", F.lit(0))).alias("_base"),
+            (F.col("_base") - F.coalesce("largest", F.lit(0))).alias("_base"),
         )
     return (
         placed.join(F.broadcast(bases), "entity_type")
@@ -226,6 +229,20 @@ def number_tokens(values: DataFrame, key: Sequence[str], first: int = 1) -> Data
     )
 
 
+# Keys that may be sent to all tasks.
+MOST_KEYS = 100_000
+
+
+def _one_key_each(keyring: DataFrame) -> DataFrame:
+    """A keyring small enough to be sent out; two keys under one id would be a matter of chance."""
+    counts = keyring.groupBy("key_id").count().agg(F.max("count").alias("most"), F.count(F.lit(1)).alias("n")).first()
+    if (counts.most or 0) > 1:
+        raise ValueError("a key_id has several keys")
+    if counts.n > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keys")
+    return keyring.select("key_id", "key")
+
+
 def encrypt_tokens(numbered: DataFrame, keyring: DataFrame, key_id: int) -> DataFrame:
     """The token table: token, entity_type, key_id and AES-GCM ciphertext.
 
@@ -233,7 +250,7 @@ def encrypt_tokens(numbered: DataFrame, keyring: DataFrame, key_id: int) -> Data
     plan.  The nonce is a digest of key, token and text: recomputing a lost
     partition gives the same bytes, and no two different texts share a nonce.
     """
-    ring = F.broadcast(keyring.where(F.col("key_id") == key_id).limit(1))
+    ring = F.broadcast(_one_key_each(keyring.where(F.col("key_id") == key_id)))
     nonce = "unhex(left(sha2(concat(key, encode(concat(token, text), 'UTF-8')), 256), 24))"
     cipher = f"aes_encrypt(encode(text, 'UTF-8'), key, 'GCM', 'DEFAULT', {nonce})"
     return (
@@ -275,9 +292,10 @@ def restore_tokens(
 
     Unknown tokens, missing keys and wrong keys give null.
     """
-    found = lookup(requested, tokens.select("token", "key_id", "ciphertext"), ["token"])
+    ring = F.broadcast(_one_key_each(keyring))
     return (
-        lookup(found, keyring.select("key_id", "key"), ["key_id"])
+        lookup(requested, tokens.select("token", "key_id", "ciphertext"), ["token"])
+        .join(ring, "key_id", "left")
         .withColumn(
             "original",
             F.expr("cast(try_aes_decrypt(ciphertext, key, 'GCM', 'DEFAULT') as string)"),

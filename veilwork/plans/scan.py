@@ -18,7 +18,7 @@ from veilwork.functions.context import with_context_scores
 from veilwork.functions.masks import splice
 from veilwork.functions.overlaps import without_overlaps
 from veilwork.functions.spans import NO_DETECTIONS, NO_REDACTIONS, regex_detections
-from veilwork.operators.detect import DETECTION_FIELDS, NER_ORD, nest_detections
+from veilwork.operators.detect import DETECTION_FIELDS, placed, with_spans
 from veilwork.policy import Policy
 
 CUSTOM_ORD = 1_000_000_000
@@ -53,7 +53,7 @@ def stages(policy: Policy, recognized: str | None = None) -> list[Stage]:
     def merge(text: str, found: str) -> str:
         parts = [without_overlaps(found)]
         if recognized is not None:
-            in_order = f"array_sort({recognized}, (a, b) -> a.ord - b.ord)"
+            in_order = f"array_sort({placed(recognized, text)}, (a, b) -> a.ord - b.ord)"
             parts.append(f"if(scanned, coalesce({in_order}, {NO_DETECTIONS}), {NO_DETECTIONS})")
         for number, detector in enumerate(policy.detectors):
             custom = _custom_detections(detector(text), number)
@@ -93,7 +93,8 @@ def scan(
     """Add ``scanned`` and ``detections`` (final: scored, filtered, no overlaps).
 
     ``ner`` is a detections table from ``ingest_ner_spans`` with the same key; it
-    is used when the policy switches recognizer spans on.  Texts of skipped
+    is used when the policy switches recognizer spans on.  A span counts where its text
+    stands at its offsets; ``misplaced_spans`` reports the others.  Texts of skipped
     sources and null texts are not scanned and have no detections.
     """
     t = name(text)
@@ -101,7 +102,7 @@ def scan(
     out = out.withColumn("scanned", F.expr(f"{t} is not null and {policy.scans(name(source))}"))
     recognized = None
     if policy.use_ner and ner is not None:
-        out = out.join(nest_detections(ner, key, "_ner"), list(key), "left")
+        out = with_spans(out, ner, key, "_ner")
         recognized = "_ner"
     out = compute_once(out, detections=find(policy, t))
     for stage in stages(policy, recognized):

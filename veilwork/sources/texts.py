@@ -66,3 +66,12 @@ def write_masked(
         rows = rows.repartition(F.col(name(partition_by)), spread)
     writer = rows.write.format(format).mode(mode)
     (writer.partitionBy(partition_by) if partition_by else writer).save(path)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: Sequence[str] = ("doc_id",)) -> None:
+    """Store texts, or spans of texts, dealt out by their key once and for all.
+
+    Tables with the same number of buckets join on the key without a shuffle.
+    """
+    writer = df.write.mode("overwrite").option("path", path)
+    writer.bucketBy(buckets, *key).sortBy(*key).saveAsTable(table)

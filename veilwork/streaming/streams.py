@@ -9,23 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veilwork.operators.audit import audit_events
 from veilwork.operators.detect import explode_detections
-from veilwork.operators.dictionary import mask_with_pseudonyms, pseudonym_dictionary
+from veilwork.operators.dictionary import mask_with_tables
 from veilwork.operators.messages import mask_messages, mask_messages_reversibly
 from veilwork.plans.scan import mask, scan, scan_and_mask
 from veilwork.policy import Policy
-
-DICTIONARY_SCHEMA = (
-    "entity_type string, text string, idx bigint, fake string, n bigint, batch_id bigint"
+from veilwork.streaming.stored import (
+    StoredDictionary,
+    batch_folder,
+    last_token,
+    write_batch_tokens,
 )
 
-
 # Take what there is and end.  ``{"processingTime": "10 seconds"}`` runs on.
 ONCE: Mapping[str, object] = {"availableNow": True}
 
@@ -36,11 +36,7 @@ def _start(writer, checkpoint: str, trigger: Mapping[str, object]) -> StreamingQ
 
 def _stateless(policy: Policy) -> None:
     if policy.without_tokens().needs_tables():
-        raise ValueError("this policy needs a dictionary: use stream_pseudonyms or stream_message_pseudonyms")
-
-
-def batch_folder(path: str, batch_id: int) -> str:
-    return f"{path.rstrip('/')}/batch_id={batch_id}"
+        raise ValueError("this policy needs a dictionary: use stream_masked_with_tables or stream_messages_with_tables")
 
 
 def stream_mask_text(
@@ -71,17 +67,6 @@ def stream_mask_messages(
     return _start(out.writeStream.format("text").option("path", path), checkpoint, trigger)
 
 
-def read_dictionary(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The stored pseudonyms, or those of the batches before one."""
-    try:
-        stored = spark.read.schema(DICTIONARY_SCHEMA).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], DICTIONARY_SCHEMA)
-    return stored if before is None else stored.where(F.col("batch_id") < before)
-
-
 def stream_pseudonyms(
     texts: DataFrame,
     path: str,
@@ -96,10 +81,36 @@ def stream_pseudonyms(
     New values of a batch are numbered after the largest stored number of their
     type.  A replayed batch sees the same earlier batches, so it writes the same.
     """
+    return stream_masked_with_tables(texts, path, checkpoint, policy, dictionary=dictionary, key=key, trigger=trigger)
+
+
+def stream_masked_with_tables(
+    texts: DataFrame,
+    path: str,
+    checkpoint: str,
+    policy: Policy,
+    dictionary: str | None = None,
+    tokens: str | None = None,
+    keyring: DataFrame | None = None,
+    key_id: int = 1,
+    key: Sequence[str] = ("doc_id",),
+    trigger: Mapping[str, object] = ONCE,
+) -> StreamingQuery:
+    """Mask a stream with every strategy: fakes from a stored dictionary, tokens into a stored table.
+
+    A batch takes its token numbers from a range that starts where the batch before ended, and its
+    tokens are stored before its texts: no masked text is without its tokens, a number is given
+    once, and a replayed batch gives its numbers again.  ``read_stream_tokens`` reads them all.
+    """
+    _check_tables(policy, dictionary, tokens, keyring)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        extend = _extending(batch.sparkSession, dictionary, batch_id, key)
-        masked = mask_with_pseudonyms(scan(batch, policy, key), policy, key, dictionary=extend)
+        scanned = scan(batch, policy, key)
+        masked, table = mask_with_tables(
+            scanned, policy, key, "text", _extending(batch, dictionary, batch_id, key),
+            keyring, key_id, _first_token(batch, tokens, batch_id),
+        )
+        _store_tokens(table, tokens, batch_id)
         masked.select(*key, "source", F.col("masked_text").alias("text")).write.mode(
             "overwrite"
         ).parquet(batch_folder(path, batch_id))
@@ -107,20 +118,33 @@ def stream_pseudonyms(
     return _start(texts.writeStream.foreachBatch(each), checkpoint, trigger)
 
 
-def _extending(
-    spark: SparkSession, dictionary: str, batch_id: int, key: Sequence[str]
-) -> Callable[[DataFrame], DataFrame]:
-    """The stored dictionary with the values of a batch added to it."""
+def stream_messages_with_tables(
+    lines: DataFrame,
+    path: str,
+    checkpoint: str,
+    policy: Policy,
+    dictionary: str | None = None,
+    tokens: str | None = None,
+    keyring: DataFrame | None = None,
+    key_id: int = 1,
+    key: Sequence[str] = ("msg_id",),
+    trigger: Mapping[str, object] = ONCE,
+) -> StreamingQuery:
+    """``stream_masked_with_tables`` for message lines: key columns and ``line``."""
+    _check_tables(policy, dictionary, tokens, keyring)
 
-    def extend(values: DataFrame) -> DataFrame:
-        known = read_dictionary(spark, dictionary, before=batch_id)
-        new = pseudonym_dictionary(values, key, known)
-        folder = batch_folder(dictionary, batch_id)
-        new.write.mode("overwrite").parquet(folder)
-        stored = spark.read.schema(new.schema).parquet(folder)
-        return known.drop("batch_id").unionByName(stored)
+    def each(batch: DataFrame, batch_id: int) -> None:
+        block_key = [*key, "_message_row", "block"]
+        masked, table = mask_messages_reversibly(
+            batch, policy, keyring, key_id, key, dictionary=_extending(batch, dictionary, batch_id, block_key),
+            first=_first_token(batch, tokens, batch_id),
+        )
+        _store_tokens(table, tokens, batch_id)
+        masked.select(*key, F.col("masked_line").alias("line")).write.mode("overwrite").parquet(
+            batch_folder(path, batch_id)
+        )
 
-    return extend
+    return _start(lines.writeStream.foreachBatch(each), checkpoint, trigger)
 
 
 def stream_message_pseudonyms(
@@ -133,16 +157,32 @@ def stream_message_pseudonyms(
     trigger: Mapping[str, object] = ONCE,
 ) -> StreamingQuery:
     """``stream_pseudonyms`` for message lines: key columns and ``line``."""
+    return stream_messages_with_tables(lines, path, checkpoint, policy, dictionary=dictionary, key=key, trigger=trigger)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        block_key = [*key, "_message_row", "block"]
-        extend = _extending(batch.sparkSession, dictionary, batch_id, block_key)
-        masked, _ = mask_messages_reversibly(batch, policy, None, key=key, dictionary=extend)
-        masked.select(*key, F.col("masked_line").alias("line")).write.mode("overwrite").parquet(
-            batch_folder(path, batch_id)
-        )
 
-    return _start(lines.writeStream.foreachBatch(each), checkpoint, trigger)
+def _check_tables(policy: Policy, dictionary: str | None, tokens: str | None, keyring: DataFrame | None) -> None:
+    if (tokens is None) != (keyring is None):
+        raise ValueError("tokens need both a folder and a keyring")
+    if policy.uses("pseudo") and dictionary is None:
+        raise ValueError("pseudonyms need a folder for their dictionary")
+
+
+def _extending(
+    batch: DataFrame, dictionary: str | None, batch_id: int, key: Sequence[str]
+) -> Callable[[DataFrame], DataFrame] | None:
+    """The stored entries of a batch's values, once those it is the first to have are added."""
+    if dictionary is None:
+        return None
+    return lambda values: StoredDictionary(batch.sparkSession, dictionary).extended(values, batch_id, key)
+
+
+def _first_token(batch: DataFrame, tokens: str | None, batch_id: int) -> int:
+    return 1 if tokens is None else last_token(batch.sparkSession, tokens, batch_id) + 1
+
+
+def _store_tokens(table: DataFrame | None, tokens: str | None, batch_id: int) -> None:
+    if table is not None:
+        write_batch_tokens(table, tokens, batch_id)
 
 
 def stream_audit(
