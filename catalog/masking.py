@@ -37,7 +37,7 @@ from veilwork.plans.scan import scan, scan_and_mask
 from veilwork.policy import EntityRule, Policy
 from veilwork.session import materialized, new_folder
 from veilwork.sources.texts import write_masked
-from veilwork.sources.token_table import read_tokens, write_tokens
+from veilwork.sources.token_table import TokenTable, read_tokens, write_tokens
 
 
 @query(
@@ -350,6 +350,26 @@ def token_mapping(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select("token", "entity_type", "key_id").join(restored, "token")
 
 
+@query(
+    "merge_token_buckets",
+    with_parts(
+        f"""SELECT {_TOKEN} AS token, d.entity_type,
+            CASE WHEN d.doc_id < {ORDER_BASE} THEN 2 ELSE 1 END AS key_id, d.text AS original
+        FROM {_NUMBERED} d"""
+    ),
+)
+def bucketed_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    """The same two mappings, merged into buckets in place."""
+    tokens = TokenTable(spark, new_folder(spark, "token-buckets"))
+    tokens.merge(materialized(_tokenized(spark, sf)[1]))
+    policy = Policy(use_reversible=True)
+    later = texts(spark, sf).where(F.col("doc_id") < ORDER_BASE)
+    tokens.merge(materialized(mask_with_tokens(scan(later, policy), policy, keyring(spark), key_id=2)[1]))
+    merged = tokens.read()
+    restored = restore_tokens(merged.select("token"), merged, keyring(spark))
+    return merged.select("token", "entity_type", "key_id").join(restored, "token")
+
+
 @query(
     "sink_masked_table",
     with_parts(

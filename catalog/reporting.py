@@ -17,7 +17,7 @@ from catalog.inputs import (
 )
 from catalog.masking import _KEEP, _MIXED, _NUMBERED, _RULES, _TOKEN, PSEUDO_SQL, keyring
 from catalog.oracle_parts import REDACT, masked_texts, q, with_parts
-from catalog.registry import query
+from catalog.registry import ORACLES, query
 from veilwork.constants import ALERT_HIGH, FEED_HIGH
 from veilwork.operators.alerts import alert_events, with_severity
 from veilwork.operators.audit import (
@@ -36,9 +36,12 @@ from veilwork.operators.messages import (
     request_methods,
 )
 from veilwork.operators.metrics import (
+    RANK_ERROR,
     latency_percentiles,
+    latency_sketches,
     latest,
     metric_counters,
+    sketch_percentiles,
     window_percentiles,
 )
 from veilwork.operators.reports import (
@@ -50,6 +53,7 @@ from veilwork.operators.reports import (
     distribution,
     feed_severity,
     recent_events,
+    report_of_parts,
     scan_report,
 )
 from veilwork.plans.scan import scan, scan_and_mask
@@ -58,14 +62,16 @@ from veilwork.session import new_folder, spread
 from veilwork.sources.audit_log import parse_audit, read_audit, write_audit
 from veilwork.sources.lines import read_messages, stream_messages
 from veilwork.sources.texts import as_texts
-from veilwork.streaming.stored import read_stream_tokens
+from veilwork.streaming.stored import latest_table, read_stream_tokens
 from veilwork.streaming.streams import (
     stream_audit,
     stream_entity_counts,
+    stream_latency_window,
     stream_mask_messages,
     stream_mask_text,
     stream_masked_with_tables,
     stream_pseudonyms,
+    stream_report_parts,
 )
 
 POLICY = Policy(entity_rules=_RULES, source_actions={"src3": "skip", "src4": "strict"})
@@ -689,6 +695,57 @@ def stream_restored(spark: SparkSession, sf: str) -> DataFrame:
     return restore_text(masked, read_stream_tokens(spark, f"{path}/tokens"), keyring(spark)).select("doc_id", "restored_text")
 
 
+@query(
+    "stream_latency_window",
+    _percentiles("(SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000)"),
+)
+def streamed_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches, none of them in the order of events."""
+    path = new_folder(spark, "stream-latencies")
+    rows = table(spark, sf, "events").select("event_id", "ts", "value")
+    for part in range(3):
+        rows.where(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{path}/in")
+        stream_latency_window(
+            spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/checkpoint", "value", ["ts", "event_id"]
+        ).awaitTermination()
+    held = latest_table(spark, f"{path}/out", rows.select("value", "ts", "event_id").schema)
+    return window_percentiles(held, "value")
+
+
+_NEAR = ", ".join(f"true AS p{p}_near" for p in (50, 95, 99))
+
+
+@query("latency_sketches", f"SELECT count(value) AS n, {_NEAR} FROM events")
+def sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored sketches of the events of each type, merged: is each percentile where it should be?"""
+    values = table(spark, sf, "events").select("event_type", "value")
+    path = new_folder(spark, "sketches")
+    latency_sketches(values, "value", "event_type").write.parquet(path)
+    found = sketch_percentiles(spark.read.parquet(path)).first()
+    near = [
+        # the value's own rows reach from the share below it to the share up to it
+        F.expr(
+            f"""count_if(value < {found[f"p{p}"]!r}D - 0.0005D) / count(value) <= {p / 100 + RANK_ERROR}
+            and count_if(value <= {found[f"p{p}"]!r}D + 0.0005D) / count(value) >= {p / 100 - RANK_ERROR}"""
+        ).alias(f"p{p}_near")
+        for p in (50, 95, 99)
+    ]
+    return values.agg(F.count("value").alias("n"), *near)
+
+
+@query("stream_compliance_report", ORACLES["compliance_report_json"])
+def streamed_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit log in two batches, each read once; the report is folded from what they left."""
+    path = new_folder(spark, "stream-report")
+    log = _log(spark, sf)
+    for part in range(2):
+        log.where(F.pmod(F.xxhash64("tool_name", "timestamp"), F.lit(2)) == part).write.mode("append").parquet(f"{path}/in")
+        stream_report_parts(
+            spark.readStream.schema(log.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/checkpoint"
+        ).awaitTermination()
+    return report_of_parts(spark.read.parquet(f"{path}/out").drop("batch_id"), "2024-02-01T00:00:00+00:00")
+
+
 @query(
     "stream_audit",
     _audit_sql(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from veilwork.constants import LATENCY_WINDOW, PERCENTILES
+from veilwork.functions.columns import name
 from veilwork.operators.lookup import with_positions
 
 
@@ -129,3 +130,44 @@ def approximate_percentiles(
             for p in percentiles
         ]
     )
+
+
+# Size of a sketch.  The rank of what it gives for a percentile is off by RANK_ERROR of all rows at
+# most, in 99 of 100 cases: 2.296 / SKETCH_SIZE ** 0.9723, the published bound, rounded up.
+SKETCH_SIZE = 1000
+RANK_ERROR = 0.003
+
+
+def latency_sketches(latencies: DataFrame, column: str, *by: str) -> DataFrame:
+    """One mergeable quantile sketch of the latencies per group, and how many it holds.
+
+    Sketches of different rows, of a day or of a source, are put together by ``sketch_percentiles``.
+    """
+    return (
+        latencies.where(F.col(column).isNotNull())
+        .groupBy(*by)
+        .agg(
+            F.expr(f"kll_sketch_agg_double(cast({name(column)} as double), {SKETCH_SIZE})").alias("sketch"),
+            F.count(F.lit(1)).alias("n"),
+        )
+    )
+
+
+def sketch_percentiles(
+    sketches: DataFrame, *by: str, percentiles: Sequence[int] = PERCENTILES
+) -> DataFrame:
+    """Percentiles of all rows that went into the sketches, 0 where there are none.
+
+    Sketches are merged map-side; a row is read again for none of it.
+    """
+    merged = sketches.groupBy(*by).agg(
+        F.expr(f"kll_merge_agg_double(sketch, {SKETCH_SIZE})").alias("_merged"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")
+    )
+    return merged.select(
+        *by,
+        "n",
+        *[
+            F.expr(f"if(n > 0, round(kll_sketch_get_quantile_double(_merged, {p / 100}D), 3), 0D)").alias(f"p{p}")
+            for p in percentiles
+        ],
+    )

@@ -70,20 +70,20 @@ def distribution(audit: DataFrame, column: str) -> DataFrame:
     )
 
 
-def compliance_report(audit: DataFrame, generated: Column | str | None = None) -> DataFrame:
-    """All figures as one row with ``report`` as JSON.
+_DISTRIBUTIONS = {
+    "entity_type_distribution": "entity_type",
+    "masking_strategy_distribution": "masking_strategy",
+    "tool_distribution": "tool_name",
+}
 
-    One pass over the audit table counts every combination of type, strategy and
-    source map-side; grouping sets over that small table give the distributions
-    and the totals, which one last aggregation puts side by side.
+
+def report_part(audit: DataFrame) -> DataFrame:
+    """What a report needs of some audit events: a row per type, strategy and source.
+
+    Parts of different events can be put together by a union: ``report_of_parts`` adds them up.
     """
-    parts = {
-        "entity_type_distribution": "entity_type",
-        "masking_strategy_distribution": "masking_strategy",
-        "tool_distribution": "tool_name",
-    }
-    small = audit.groupBy(
-        *[F.coalesce(c, F.lit(_MISSING[c])).alias(c) for c in parts.values()]
+    return audit.groupBy(
+        *[F.coalesce(c, F.lit(_MISSING[c])).alias(c) for c in _DISTRIBUTIONS.values()]
     ).agg(
         F.expr(f"count_if({IS_SUMMARY})").alias("scans"),
         F.expr(f"count_if({IS_REDACTION})").alias("redactions"),
@@ -92,6 +92,21 @@ def compliance_report(audit: DataFrame, generated: Column | str | None = None) -
         F.expr("min(nullif(timestamp, ''))").alias("first"),
         F.expr("max(nullif(timestamp, ''))").alias("last"),
     )
+
+
+def compliance_report(audit: DataFrame, generated: Column | str | None = None) -> DataFrame:
+    """All figures as one row with ``report`` as JSON.
+
+    One pass over the audit table counts every combination of type, strategy and
+    source map-side; grouping sets over that small table give the distributions
+    and the totals, which one last aggregation puts side by side.
+    """
+    return report_of_parts(report_part(audit), generated)
+
+
+def report_of_parts(small: DataFrame, generated: Column | str | None = None) -> DataFrame:
+    """The report of all events that the parts were made of."""
+    parts = _DISTRIBUTIONS
     grouped = small.groupingSets(
         [[F.col(c)] for c in parts.values()] + [[]], *[F.col(c) for c in parts.values()]
     ).agg(

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veilwork.operators.dictionary import pseudonym_dictionary
 from veilwork.session import materialized
@@ -45,6 +46,17 @@ def _latest(spark: SparkSession, path: str, before: int | None) -> str | None:
     return batch_folder(path, max(ids)) if ids else None
 
 
+def latest_table(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:
+    """What the last batch (before one) stored; an empty table where there was none."""
+    folder = _latest(spark, path, before)
+    return spark.createDataFrame([], schema) if folder is None else spark.read.schema(schema).parquet(folder)
+
+
+def read_latency_window(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest latencies of a stream, as its last batch left them."""
+    return latest_table(spark, path, StructType.fromDDL(schema))
+
+
 @dataclass(frozen=True)
 class StoredDictionary:
     """A dictionary of fakes in buckets by a digest of (entity_type, text).

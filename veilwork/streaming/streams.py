@@ -13,16 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from veilwork.constants import LATENCY_WINDOW
+from veilwork.functions.columns import name
 from veilwork.operators.audit import audit_events
 from veilwork.operators.detect import explode_detections
 from veilwork.operators.dictionary import mask_with_tables
+from veilwork.operators.metrics import latency_sketches, latest
 from veilwork.operators.messages import mask_messages, mask_messages_reversibly
+from veilwork.operators.reports import report_part
 from veilwork.plans.scan import mask, scan, scan_and_mask
 from veilwork.policy import Policy
 from veilwork.streaming.stored import (
     StoredDictionary,
     batch_folder,
     last_token,
+    latest_table,
     write_batch_tokens,
 )
 
@@ -227,3 +232,61 @@ def stream_entity_counts(
         batch.write.mode("overwrite").parquet(path)
 
     return _start(counts.writeStream.outputMode("complete").foreachBatch(each), checkpoint, trigger)
+
+
+def stream_latency_window(
+    latencies: DataFrame,
+    path: str,
+    checkpoint: str,
+    value: str,
+    order: Sequence[str],
+    n: int = LATENCY_WINDOW,
+    trigger: Mapping[str, object] = ONCE,
+) -> StreamingQuery:
+    """Keep the ``n`` newest latencies of a stream, by the columns of ``order``.
+
+    The state is at most ``n`` rows.  A batch merges its own newest rows with the state of the
+    batch before it and stores the outcome under its number, so rows that arrive late take the place that
+    their time gives them, and any split into batches leaves the same rows.
+    ``read_latency_window`` reads them.
+    """
+    newest = [F.col(name(c)).desc_nulls_last() for c in order]
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.where(F.col(name(value)).isNotNull()).select(*map(name, dict.fromkeys([value, *order])))
+        held = latest_table(batch.sparkSession, path, rows.schema, batch_id)
+        latest(rows.unionByName(held), newest, n).coalesce(1).write.mode("overwrite").parquet(
+            batch_folder(path, batch_id)
+        )
+
+    return _start(latencies.writeStream.foreachBatch(each), checkpoint, trigger)
+
+
+def stream_latency_sketches(
+    latencies: DataFrame,
+    path: str,
+    checkpoint: str,
+    value: str,
+    by: Sequence[str] = (),
+    trigger: Mapping[str, object] = ONCE,
+) -> StreamingQuery:
+    """A quantile sketch per batch (and group): ``sketch_percentiles`` merges them when asked."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        latency_sketches(batch, value, *by).write.mode("overwrite").parquet(batch_folder(path, batch_id))
+
+    return _start(latencies.writeStream.foreachBatch(each), checkpoint, trigger)
+
+
+def stream_report_parts(
+    audit: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, object] = ONCE
+) -> StreamingQuery:
+    """What a compliance report needs of each batch of audit events; each event is read once.
+
+    ``report_of_parts`` of what lies below ``path`` is the report of the whole log.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        report_part(batch).write.mode("overwrite").parquet(batch_folder(path, batch_id))
+
+    return _start(audit.writeStream.foreachBatch(each), checkpoint, trigger)
