@@ -95,3 +95,7 @@ def test_query_against_brute_force_and_plan_without_python(spark):
     check(rows, df.collect())
     plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
     assert not re.search("Python|Arrow|Pandas", plan)
+    # both uses of the texts read one shuffle of them
+    final = df._jdf.queryExecution().executedPlan().toString()
+    final = final[final.index("Final Plan") : final.index("Initial Plan")]
+    assert len(re.findall(r"partial_first\(text", final)) == 1

@@ -7,7 +7,7 @@ fingerprint.  Only SQL functions are used, one pass of a regular expression per
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,11 @@ CHAIN = 2
 LENGTH_STEP = 1.25
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spots(text: Column, anchors: Sequence[str] = ANCHORS, chain: int = CHAIN) -> Column:
     """Sorted distinct 32-bit hashes of a text's spots (array of int).
 
@@ -38,16 +43,21 @@ def spots(text: Column, anchors: Sequence[str] = ANCHORS, chain: int = CHAIN) ->
     common = "(?:" + "|".join(anchors) + ")"
     content = f"(?!{common} )[^ ]+"
     skip = f"(?:{common} )*+"
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    words_alone = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     # the match is the anchor alone, so that chains may overlap
     pattern = f"(?<= )(?=({common} {content}{(' ' + skip + content) * (chain - 1)}) ){common}"
-    raw = F.regexp_extract_all(plain, F.lit(pattern), F.lit(1))
     between = f" {common}(?= )"
-    chains = F.transform(raw, lambda s: F.hash(F.concat(F.substring_index(s, " ", 1), F.regexp_replace(
-        F.substr(s, F.length(F.substring_index(s, " ", 1)) + 1), between, ""))))
-    words = F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.hash(w))
-    found = F.when(F.size(raw) > 0, chains).otherwise(words)
-    return F.array_sort(F.array_distinct(found))
+
+    def chain_hash(s: Column) -> Column:
+        first = F.substring_index(s, " ", 1)
+        return F.hash(F.concat(first, F.regexp_replace(F.substr(s, F.length(first) + 1), between, "")))
+
+    def of_plain(plain: Column) -> Column:
+        words = F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.hash(w))
+        raw = F.regexp_extract_all(plain, F.lit(pattern), F.lit(1))
+        return _once(raw, lambda raw: F.when(F.size(raw) > 0, F.transform(raw, chain_hash)).otherwise(words))
+
+    return F.array_sort(F.array_distinct(_once(words_alone, of_plain)))
 
 
 def fingerprint(found: Column) -> Column:
@@ -88,17 +98,18 @@ def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column:
     of their texts' hashes and each counts.  A single row is its own next.  An empty table
     gives an empty one.
 
-    Ids and lengths are sorted; texts are not: they are dealt out by row once, and of
-    each only the start its predecessor needs goes on to it.
+    Ids and lengths are sorted; texts are not: they are dealt out by row once, with their
+    spots, and of each only the start its predecessor needs goes on to it.
     """
     text = whole_text(text_column)
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), text.alias("text")).select(
         F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"),
-        F.xxhash64(F.col("id").isNull(), "text").alias("key"),
-        F.col("id").isNull().alias("unnamed"),
+        # its lowest bit: is the id null?
+        F.expr("(xxhash64(text) & -2L) | cast(id is null as bigint)").alias("key"),
         "text",
     )
-    slim = rows.select("id", "unnamed", "key", F.length("text").alias("n"))
+    unnamed = (F.col("key").bitwiseAND(F.lit(1)) == 1).alias("unnamed")
+    slim = rows.select("id", unnamed, "key", F.length("text").alias("n"))
     placed = with_positions(slim, ["unnamed", "id", "key"], "position")
     total = F.lit(max(placed.count(), 1))
     following = placed.select(
@@ -108,9 +119,10 @@ def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column:
     )
     order = materialized(placed.join(following, "position"))
 
-    # equal rows are one here; both uses read the same shuffled texts
-    texts = rows.groupBy("id", "key").agg(F.first("text").alias("text"), F.first("unnamed").alias("unnamed"))
-    known = texts.withColumn("spots", spots(F.col("text")))
+    # equal rows are one here; both uses need the same columns, so that they read the same
+    # shuffled texts, whose spots are found before
+    spotted = rows.withColumn("spots", spots(F.col("text")))
+    known = spotted.groupBy("id", "key").agg(F.first("text").alias("text"), F.first("spots").alias("spots"))
     heads = (
         order.select(
             F.col("id").alias("of_id"), F.col("key").alias("of_key"), "position", F.floor(F.col("n") / 4).cast("int").alias("need"),
@@ -122,7 +134,7 @@ def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column:
         .agg(F.collect_list(F.struct("position", "need", "head", "spots")).alias("next"))
     )
     met = known.join(heads, ["id", "key"]).select(
-        "id", "unnamed", "text", "spots", F.explode("next").alias("next")
+        "id", unnamed, "text", "spots", F.explode("next").alias("next")
     )
     edited = F.concat(F.expr("substring(text, 1, length(text) - next.need)"), F.col("next.head"))
     full = met.select(
