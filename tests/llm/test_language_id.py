@@ -34,7 +34,7 @@ def test_profiles_and_distances_against_brute_force(spark):
     learned = {}
     for r in profiles(df, "text", "lang", 10).orderBy("lang", "place").collect():
         learned.setdefault(r.lang, []).append(r.code)
-    assert learned == {"x": brute_ranks("aaa bbb aab   ccd", 10), "y": brute_ranks("ccc ccd", 10)} or len(learned) == 2
+    assert learned == {"x": brute_ranks("aaa bbb aab   ccd", 10), "y": brute_ranks("ccc ccd", 10)}
     for r in identify(df, F.lit(True), size=10).collect():
         mine = brute_ranks(rows[r.doc_id - 1][1], 10)
         distance = {

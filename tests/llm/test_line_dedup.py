@@ -5,7 +5,7 @@ from veilwork.llm.line_dedup import EVERY_LINE, deduplicate_lines, plain, shingl
 from veilwork.llm.queries import QUERIES
 
 
-def brute(rows, similarity=0.8, size=8, least=16):
+def brute(rows, similarity=0.8, size=8, least=1):
     """{row position: kept text} by all pairs."""
     order = sorted(range(len(rows)), key=lambda k: (float("inf") if rows[k][0] is None else rows[k][0], k))
     places = {}
@@ -101,7 +101,7 @@ def test_edge_rows(spark):
         (3, f"{line.upper()}\n{line}!", "y", 2),
     ]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_lines int")
-    got = deduplicate_lines(df)
+    got = deduplicate_lines(df, least_chars=16)
     assert got.columns == ["doc_id", "source", "text", "n_lines", "n_removed"]
     found = sorted((str(r.doc_id), r.text, r.n_lines, r.n_removed) for r in got.collect() if r.doc_id != 3)
     assert found == [

@@ -21,7 +21,7 @@ def staged(spark, tmp_path, docs):
 
 
 def some(text):
-    return any(len(plain(line)) >= 16 for line in text.split("\n"))
+    return any(len(plain(line)) >= 1 for line in text.split("\n"))
 
 
 def pairs(df):

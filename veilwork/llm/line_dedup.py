@@ -23,8 +23,7 @@ from veilwork.session import materialized
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 4
-# What a caller gets who names no bound; ``EVERY_LINE`` leaves out blank lines only.
-LEAST_CHARS = 16
+# Blank lines only are left out.
 EVERY_LINE = 1
 # Bins in which a line's distinct shingles are counted; two lines share at most the sum of the
 # lesser counts.  A count of ``MANY`` stands for any number.
@@ -282,7 +281,7 @@ def deduplicate_lines(
     shingle: int = SHINGLE,
     bands: int = BANDS,
     rows_per_band: int = ROWS,
-    least_chars: int = LEAST_CHARS,
+    least_chars: int = EVERY_LINE,
     mark: str = "",
 ) -> DataFrame:
     """``docs`` with each text's lines that stay, and n_lines, n_removed (after ``mark``).
@@ -290,8 +289,8 @@ def deduplicate_lines(
     Lines are compared in lower case with white space made single spaces.  Two are linked
     if equal or if the Jaccard similarity of their character shingles is at least
     ``similarity``; of each component of links the line first by (id, number) stays, in all
-    other places it goes.  Lines of fewer than ``least_chars`` characters always stay; with
-    ``EVERY_LINE`` only blank ones do, and lines shorter than a shingle go where equal.  A
+    other places it goes.  Lines of fewer than ``least_chars`` characters always stay: by default
+    only blank ones do, and lines shorter than a shingle go where equal.  A
     similar pair is found if it agrees in one of ``bands`` bands: at 0.8 with probability
     0.985, at 0.9 with 0.9998.  In a crowded band each line meets the first one, then all
     that belong to other components; two lines are compared exactly unless counts of their
