@@ -74,6 +74,21 @@ def test_edge_rows(spark, tmp_path):
     assert none.count() == 0
 
 
+def test_columns_of_any_name(spark, tmp_path):
+    """Names that the stages use inside come back with what they held."""
+    names = ["_score", "_lang_pred", "_text", "_id", "_key", "_gone", "_kept", "_n_words", "_spans", "_row", "_n_removed", "n_removed", "row", "a.b", "further_0_of_the_input"]
+    prose = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").first().text
+    rows = [(k, f"{prose}\n{k} is its own line here" if k else prose, "en") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").select(
+        "*", *[(F.col("doc_id") * 1000 + k).alias(n) for k, n in enumerate(names)]
+    )
+    *stages, packed = staged(spark, tmp_path, docs)
+    for df in stages:
+        assert df.columns == docs.columns and df.count()
+        assert all(r[3 + k] == r[0] * 1000 + k for r in df.collect() for k in range(len(names)))
+    assert packed.count() >= 1
+
+
 def test_short_lines_of_its_own_keep_a_document(spark):
     head = "a heading that two documents share"
     rows = [(1, f"{head}\nroses"), (2, f"{head}\nviolets\n\nso blue"), (3, f"{head}\n \nroses"), (4, None), (5, "so blue\nmine")]

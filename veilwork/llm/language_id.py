@@ -131,21 +131,25 @@ def identify(
         return name, 1.0 - best / (size * len(mine))
 
     kept = [F.col(id_column).cast("bigint").alias(id_column)] if keep is None else [F.col(f"`{c}`") for c in keep]
-    rows = docs.select(*kept, whole_text(text_column).alias("_text"))
     mark = "" if keep is None else "_"
+    # a text that is kept is sent once, and predicted where it stands
+    own = keep is not None and text_column in keep
+    rows = docs.select(*kept) if own else docs.select(*kept, whole_text(text_column).alias("_text"))
+    at, passed = (list(keep).index(text_column), len(kept)) if own else (len(kept), len(kept))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        predicted = [predict(t) for t in batch.columns[-1].to_pylist()]
+        texts = batch.column(at)
+        predicted = [predict(t.as_py()) for t in texts] if own else [predict(t) for t in texts.to_pylist()]
         return pa.RecordBatch.from_arrays(
             [
-                *batch.columns[:-1],
+                *batch.columns[:passed],
                 pa.array([p for p, _ in predicted], pa.string()),
                 pa.array([s for _, s in predicted], pa.float64()),
             ],
-            names=[*batch.schema.names[:-1], f"{mark}lang_pred", f"{mark}score"],
+            names=[*batch.schema.names[:passed], f"{mark}lang_pred", f"{mark}score"],
         )
 
-    schema = StructType([f for f in rows.schema.fields[:-1]])
+    schema = StructType([f for f in rows.schema.fields[:passed]])
     schema = schema.add(f"{mark}lang_pred", StringType()).add(f"{mark}score", DoubleType())
     return rows.mapInArrow(lambda batches: map(run, batches), schema)
 
