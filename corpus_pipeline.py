@@ -9,6 +9,9 @@ passed through whatever their names, and an empty table gives an empty one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +42,28 @@ def _with_text(docs: DataFrame, text: Column) -> list[Column]:
     ]
 
 
+# Columns of documents; the stages' own columns have none of these names.
+_OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _any_columns(stage: Callable) -> Callable:
+    """A stage that never sees the names of further columns, so that they can clash with none of its own."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        safe = {c: c if c in _OWN else f"further_{k}_of_the_input" for k, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select([F.col(f"`{c}`").alias(s) for c, s in safe.items()]), sf_dir)
+        return out.select([F.col(s).alias(c) for c, s in safe.items()])
+
+    return run
+
+
 def _row_number(docs: DataFrame) -> DataFrame:
     """``docs`` stored with a number for each row, which no later read can change."""
     return materialized(docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
+@_any_columns
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach.
 
@@ -58,6 +78,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+@_any_columns
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand, equal or nearly so, in earlier places.
 
@@ -70,6 +91,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("_n_removed") == 0) | left).select(_with_text(docs, F.col("text")))
 
 
+@_any_columns
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
@@ -91,6 +113,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return rows_with(numbered, stays, "_row").select([F.col(f"`{c}`") for c in docs.columns])
 
 
+@_any_columns
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 13 words or more that earlier documents have.
 
