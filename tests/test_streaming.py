@@ -204,18 +204,18 @@ def test_the_stored_dictionary_against_one_made_at_once(spark, tmp_path):
 
 
 def test_a_batch_reads_what_its_values_need(spark, tmp_path):
-    """Rows opened for a batch of ten values, when the dictionary is ten times as large."""
-    stored, opened = StoredDictionary(spark, str(tmp_path / "d"), bucket_rows=5), []
+    """Rows opened for a batch of four values, as the dictionary grows."""
+    stored, opened = StoredDictionary(spark, str(tmp_path / "d"), bucket_rows=10), []
 
     def rows_opened(batch):
-        asked = values_of(spark, batch, 10, 200)
+        asked = values_of(spark, batch, 4, 80)
         buckets = stored.numbers(batch)[1]
         only = [r[0] for r in asked.selectExpr(f"cast(pmod(xxhash64(entity_type, text), {buckets}) as int) b").distinct().collect()]
         return stored.read(batch, only).count()
 
-    for k in range(10):
-        stored.extended(values_of(spark, k, 200, 200), k, ("doc_id",))
+    for k in range(4):
+        stored.extended(values_of(spark, k, 80, 80), k, ("doc_id",))
         opened.append(rows_opened(k + 1))
-    assert stored.read().count() == 2000
-    # ten buckets of about five rows, whatever has gone before
-    assert max(opened) <= 120 and opened[-1] <= 2 * max(opened[:3])
+    assert stored.read().count() == 320
+    # four buckets of ten rows or so, whatever has gone before
+    assert max(opened) <= 80 and opened[-1] <= 2 * max(opened[:2])
