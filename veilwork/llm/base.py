@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veilwork.session import materialized
 
@@ -35,20 +37,54 @@ def lower_ascii(text: Column) -> Column:
 LOWER_TABLE = {c: c + 32 for c in range(65, 91)}
 
 
-def map_rows(
+#: What this Python worker keeps from task to task: by name, how to let go of it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def kept(name: str, forget: Callable[[], None]) -> None:
+    """A worker has a cache now, which the tasks that do not name it let go of."""
+    _KEPT[name] = forget
+
+
+def let_go(*but: str) -> None:
+    """Drop all caches ``but`` those, and give free memory back to the machine.
+
+    Workers serve one operator after another; without this each would keep what all had.
+    """
+    for name in [n for n in _KEPT if n not in but]:
+        _KEPT.pop(name)()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_batches(
     df: DataFrame,
-    function: Callable[[pa.RecordBatch], pa.RecordBatch],
-    schema: str,
+    function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: str | StructType,
+    keeps: Sequence[str] = (),
 ) -> DataFrame:
-    """Each Arrow batch on its own."""
+    """A task's Arrow batches at once; of the worker's caches only ``keeps`` stay for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield function(batch)
+        let_go(*keeps)
+        yield from function(batches)
+        let_go(*keeps)
 
     return df.mapInArrow(run, schema)
 
 
+def map_rows(
+    df: DataFrame,
+    function: Callable[[pa.RecordBatch], pa.RecordBatch],
+    schema: str | StructType,
+    keeps: Sequence[str] = (),
+) -> DataFrame:
+    """Each Arrow batch on its own; of the worker's caches only ``keeps`` stay for it."""
+    return map_batches(df, lambda batches: map(function, batches), schema, keeps)
+
+
 def row_batch(columns: dict[str, pa.Array | list], types: dict[str, pa.DataType]) -> pa.RecordBatch:
     arrays = [
         v if isinstance(v, pa.Array) else pa.array(v, types[k]) for k, v in columns.items()

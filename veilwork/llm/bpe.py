@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from veilwork.llm.base import map_rows, whole_text
+from veilwork.llm.base import kept, map_rows, whole_text
 
 # Texts in memory of a task: entries and the longest text that is kept.
 MEMO_ENTRIES = 300_000
@@ -212,9 +212,18 @@ class BytePairs:
 
 
 @lru_cache(maxsize=2)
+def _read(path: str, by_library: bool) -> BytePairs:
+    return BytePairs(path, by_library)
+
+
+#: The name of the encoders among what a worker keeps.
+ENCODERS = "encoders"
+
+
 def byte_pairs(path: str, by_library: bool = False) -> BytePairs:
     """Read once per Python worker; the path must be valid on every executor."""
-    return BytePairs(path, by_library and _LITTLE)
+    kept(ENCODERS, _read.cache_clear)
+    return _read(path, by_library and _LITTLE)
 
 
 def encode(
@@ -238,7 +247,7 @@ def encode(
         )
 
     rows = docs.select(docs[id_column].cast("bigint").alias("_id"), whole_text(text_column))
-    return map_rows(rows, run, "_id bigint, ids array<int>").withColumnRenamed("_id", id_column)
+    return map_rows(rows, run, "_id bigint, ids array<int>", [ENCODERS]).withColumnRenamed("_id", id_column)
 
 
 def decode(
@@ -255,7 +264,7 @@ def decode(
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_id", "text"])
 
     rows = encoded.select(encoded[id_column].cast("bigint").alias("_id"), ids_column)
-    return map_rows(rows, run, "_id bigint, text string").withColumnRenamed("_id", id_column)
+    return map_rows(rows, run, "_id bigint, text string", [ENCODERS]).withColumnRenamed("_id", id_column)
 
 
 def digests(
@@ -284,4 +293,4 @@ def digests(
 
     schema = "_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     rows = encoded.select(encoded[id_column].cast("bigint").alias("_id"), ids_column)
-    return map_rows(rows, run, schema).withColumnRenamed("_id", id_column)
+    return map_rows(rows, run, schema, [ENCODERS]).withColumnRenamed("_id", id_column)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from veilwork.llm.base import whole_text
+from veilwork.llm.base import map_batches, map_rows, whole_text
 
 PROFILE_SIZE = 400
 UNKNOWN = "und"
@@ -74,7 +74,7 @@ def profiles(
 
     rows = docs.select(whole_text(text_column), F.col(lang_column).alias("lang")).where("lang IS NOT NULL")
     counted = (
-        rows.mapInArrow(count, "lang string, code bigint, n bigint")
+        map_batches(rows, count, "lang string, code bigint, n bigint")
         .groupBy("lang", "code")
         .agg(F.sum("n").alias("n"))
     )
@@ -151,7 +151,7 @@ def identify(
 
     schema = StructType([f for f in rows.schema.fields[:passed]])
     schema = schema.add(f"{mark}lang_pred", StringType()).add(f"{mark}score", DoubleType())
-    return rows.mapInArrow(lambda batches: map(run, batches), schema)
+    return map_rows(rows, run, schema)
 
 
 def remainder(id_column: str, modulus: int) -> Column:

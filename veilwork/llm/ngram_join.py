@@ -20,7 +20,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwork.llm.base import filter_bits, in_filter, join_balanced, map_rows, min_labels, rows_with, whole_text
+from veilwork.llm.base import (
+    filter_bits,
+    in_filter,
+    join_balanced,
+    kept,
+    map_batches,
+    map_rows,
+    min_labels,
+    rows_with,
+    whole_text,
+)
 from veilwork.session import materialized
 
 WORDS = 5
@@ -44,9 +54,12 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+#: The name of that cache among those a worker keeps.
+WORD_HASHES = "word hashes"
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    kept(WORD_HASHES, _HASHES.clear)
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
@@ -87,7 +100,7 @@ def _shared(docs: DataFrame, words: int) -> np.ndarray:
             found.append(s[: np.searchsorted(s, POOL_END)])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["gram"])
 
-    counted = map_rows(docs.select("text"), run, "gram bigint").groupBy("gram").count()
+    counted = map_rows(docs.select("text"), run, "gram bigint", [WORD_HASHES]).groupBy("gram").count()
     return filter_bits(counted.where("count > 1"), "gram")
 
 
@@ -127,7 +140,7 @@ def _sketches(docs: DataFrame, words: int, percent: int, shared: np.ndarray) ->
         )
 
     schema = "id bigint, n int, digest binary, alone int, prefix array<bigint>"
-    return map_rows(docs, run, schema)
+    return map_rows(docs, run, schema, [WORD_HASHES])
 
 
 def _reach(n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
@@ -223,7 +236,7 @@ def pairs_in_lists(ordered: DataFrame, pairs_of) -> DataFrame:
             yield from work(kept)
         yield flush()
 
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+    return map_batches(ordered, run, "a bigint, b bigint").distinct()
 
 
 def list_pairs(index: DataFrame, percent: int, across: bool) -> DataFrame:
@@ -240,7 +253,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
         found = [shingles(t, words).tobytes() for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "grams"])
 
-    known = materialized(map_rows(rows_with(docs, wanted, "id"), sets, "id bigint, grams binary"))
+    known = materialized(map_rows(rows_with(docs, wanted, "id"), sets, "id bigint, grams binary", [WORD_HASHES]))
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []

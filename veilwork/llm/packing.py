@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.llm.base import map_rows, whole_text
-from veilwork.llm.bpe import byte_pairs
+from veilwork.llm.bpe import ENCODERS, byte_pairs
 from veilwork.operators.lookup import with_positions
 from veilwork.session import materialized
 
@@ -100,7 +100,7 @@ def pieces(
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     rows = docs.select(docs[id_column].cast("bigint").alias("_id"), whole_text(text_column))
-    return map_rows(rows, run, "_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_rows(rows, run, "_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint", [ENCODERS])
 
 
 def pack(

@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from veilwork.llm.base import filter_bits, in_filter, map_rows, rows_with, whole_text
-from veilwork.llm.ngram_join import sequence_hashes, word_hashes
+from veilwork.llm.base import filter_bits, in_filter, map_batches, map_rows, rows_with, whole_text
+from veilwork.llm.ngram_join import WORD_HASHES, sequence_hashes, word_hashes
 from veilwork.session import materialized
 
 WINDOW = 13
@@ -177,7 +177,7 @@ def _shared_anchors(rows: DataFrame, window: int, size: int) -> DataFrame:
         )
 
     return (
-        map_rows(rows.select("id", "text"), run, "anchor bigint, id bigint")
+        map_rows(rows.select("id", "text"), run, "anchor bigint, id bigint", [WORD_HASHES])
         .groupBy("anchor")
         .agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("docs"))
         .where("least < most")
@@ -225,7 +225,7 @@ def _pieces(rows: DataFrame, shared: DataFrame, total: int, window: int, size: i
     if len(hot):
         # the table is kept small; a window it has no room for goes to its own shard
         found = (
-            map_rows(rows.select("id", "text"), windows, "piece binary, least bigint, docs bigint")
+            map_rows(rows.select("id", "text"), windows, "piece binary, least bigint, docs bigint", [WORD_HASHES])
             .groupBy("piece")
             .agg(F.min("least").alias("least"), F.sum("docs").alias("docs"))
             .where(F.col("docs") > hot_least)
@@ -268,7 +268,7 @@ def _pieces(rows: DataFrame, shared: DataFrame, total: int, window: int, size: i
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
     schema = "shard bigint, id bigint, key bigint, start int, piece binary, end int"
-    return map_rows(rows.select("id", "key", "text"), cut, schema)
+    return map_rows(rows.select("id", "key", "text"), cut, schema, [WORD_HASHES])
 
 
 def repeated_spans(
@@ -298,7 +298,7 @@ def repeated_spans(
     # decided windows need no shard: they are spread out by document
     by_shard = F.when(F.col("piece").isNull(), F.col("key")).otherwise(F.col("shard"))
     dealt = cuts.withColumn("shard", by_shard).repartition("shard").sortWithinPartitions("shard", "id", "start")
-    return dealt.mapInArrow(stream, "id bigint, key bigint, start int, end int")
+    return map_batches(dealt, stream, "id bigint, key bigint, start int, end int")
 
 
 def remove_repeated(
@@ -359,7 +359,7 @@ def remove_repeated(
     none = F.lit(None).cast(places.schema["_spans"].dataType)
     same = rows_with(full, keys.select(F.col("key").alias("_key")), "_key", without=True).withColumn("_spans", none)
     parts = [
-        part.select(*columns, "_spans").mapInArrow(lambda batches: map(finish, batches), schema)
+        map_rows(part.select(*columns, "_spans"), finish, schema)
         for part in (changed, same)
     ]
     return parts[0].unionByName(parts[1])
