@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from veilwork.llm.base import filter_bits, in_filter, map_batches, map_rows, rows_with, whole_text
-from veilwork.llm.ngram_join import WORD_HASHES, sequence_hashes, word_hashes
+from veilwork.llm.words import sequence_hashes, single_spaced, text_bytes, words_of
 from veilwork.session import materialized
 
 WINDOW = 13
@@ -35,15 +35,11 @@ HOT_WINDOWS = 100_000
 _LAST_ID = (1 << 63) - 1
 
 
-def split_words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split()
-
-
-def anchors(words: list[bytes], window: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window its anchor's hash and place."""
+def anchors(words: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window, by the hashes of its words, its anchor's hash and place."""
     if len(words) < window:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    grams = sequence_hashes(word_hashes(words), size)
+    grams = sequence_hashes(words, size)
     views = np.lib.stride_tricks.sliding_window_view(grams, window - size + 1)
     at = views.argmin(axis=1) + np.arange(len(views))
     return grams[at].view(np.int64), at
@@ -168,8 +164,8 @@ def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def _shared_anchors(rows: DataFrame, window: int, size: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, found = [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            hashes = np.unique(anchors(split_words(text), window, size)[0])
+        for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+            hashes = np.unique(anchors(words_of(text).hashes, window, size)[0])
             found.append(hashes)
             ids.append(np.full(len(hashes), doc, np.int64))
         return pa.RecordBatch.from_arrays(
@@ -177,7 +173,7 @@ def _shared_anchors(rows: DataFrame, window: int, size: int) -> DataFrame:
         )
 
     return (
-        map_rows(rows.select("id", "text"), run, "anchor bigint, id bigint", [WORD_HASHES])
+        map_rows(rows.select("id", "text"), run, "anchor bigint, id bigint")
         .groupBy("anchor")
         .agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("docs"))
         .where("least < most")
@@ -205,10 +201,11 @@ def _pieces(rows: DataFrame, shared: DataFrame, total: int, window: int, size: i
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         least: dict[bytes, list] = {}
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = split_words(text)
-            for k in np.flatnonzero(often(anchors(words, window, size)[0])):
-                seen = least.setdefault(b" ".join(words[k : k + window]), [doc, doc, 0])
+        for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+            words = words_of(text)
+            for k in np.flatnonzero(often(anchors(words.hashes, window, size)[0])):
+                piece = single_spaced(text[words.start[k] : words.end[k + window - 1]])
+                seen = least.setdefault(piece, [doc, doc, 0])
                 if seen[1] != doc or not seen[2]:
                     seen[2] += 1
                 seen[0], seen[1] = min(seen[0], doc), doc
@@ -225,7 +222,7 @@ def _pieces(rows: DataFrame, shared: DataFrame, total: int, window: int, size: i
     if len(hot):
         # the table is kept small; a window it has no room for goes to its own shard
         found = (
-            map_rows(rows.select("id", "text"), windows, "piece binary, least bigint, docs bigint", [WORD_HASHES])
+            map_rows(rows.select("id", "text"), windows, "piece binary, least bigint, docs bigint")
             .groupBy("piece")
             .agg(F.min("least").alias("least"), F.sum("docs").alias("docs"))
             .where(F.col("docs") > hot_least)
@@ -239,36 +236,40 @@ def _pieces(rows: DataFrame, shared: DataFrame, total: int, window: int, size: i
         bits, first = shared_bits.value, common_windows.value
         out = {k: [] for k in ("shard", "id", "key", "start", "piece", "end")}
 
-        def put(*values) -> None:
-            for column, value in zip(out.values(), values):
-                column.append(value)
+        def put(*columns) -> None:
+            for column, values in zip(out.values(), columns):
+                column.extend(values)
 
-        for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
-            words = split_words(text)
-            hashes, at = anchors(words, window, size)
+        ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for doc, key, raw in zip(ids, keys, text_bytes(batch.column(2))):
+            text = single_spaced(raw)
+            words = words_of(np.frombuffer(text, np.uint8))
+            hashes, at = anchors(words.hashes, window, size)
             if not len(hashes):
                 continue
-            maybe, single = in_filter(bits, hashes), often(hashes)
             # runs of windows with one anchor
             begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             end = np.r_[begin[1:], len(at)]
-            for b, e in zip(begin[maybe[begin]].tolist(), end[maybe[begin]].tolist()):
-                if not single[b]:
-                    put(int(hashes[b]), doc, key, b, b" ".join(words[b : e + window - 1]), None)
-                    continue
-                for k in range(b, e):
-                    piece = b" ".join(words[k : k + window])
-                    if piece in first:
-                        if first[piece] < doc:
-                            put(0, doc, key, k, None, k + window)
-                    else:
-                        shard = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
-                        put(shard, doc, key, k, piece, None)
+            maybe = in_filter(bits, hashes[begin])
+            begin, end = begin[maybe], end[maybe]
+            single = often(hashes[begin])
+            b, e = begin[~single], end[~single] + window - 2
+            many = len(b)
+            pieces = [text[x:y] for x, y in zip(words.start[b].tolist(), words.end[e].tolist())]
+            put(hashes[b].tolist(), [doc] * many, [key] * many, b.tolist(), pieces, [None] * many)
+            for k in (k for run in zip(begin[single].tolist(), end[single].tolist()) for k in range(*run)):
+                piece = text[words.start[k] : words.end[k + window - 1]]
+                if piece in first:
+                    if first[piece] < doc:
+                        put([0], [doc], [key], [k], [None], [k + window])
+                else:
+                    shard = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
+                    put([shard], [doc], [key], [k], [piece], [None])
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
     schema = "shard bigint, id bigint, key bigint, start int, piece binary, end int"
-    return map_rows(rows.select("id", "key", "text"), cut, schema, [WORD_HASHES])
+    return map_rows(rows.select("id", "key", "text"), cut, schema)
 
 
 def repeated_spans(
@@ -334,8 +335,8 @@ def remove_repeated(
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, removed, stay = [], [], []
         *others, texts, spans = batch.columns
-        for text, found in zip(texts.to_pylist(), spans.to_pylist()):
-            words = split_words(text)
+        for text, found in zip(text_bytes(texts), spans.to_pylist()):
+            words = text.tobytes().split()
             left, at = [], 0
             for span in found or ():
                 left.extend(words[at : span["start"]])
