@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.llm.base import join_balanced, map_rows, min_labels, rows_with, whole_text
-from veilwork.llm.ngram_join import mixed, pairs_in_lists
+from veilwork.llm.ngram_join import pairs_in_lists
+from veilwork.llm.words import mixed
 from veilwork.session import materialized
 
 SHINGLE = 8

@@ -24,70 +24,34 @@ from veilwork.llm.base import (
     filter_bits,
     in_filter,
     join_balanced,
-    kept,
     map_batches,
     map_rows,
     min_labels,
     rows_with,
     whole_text,
 )
+from veilwork.llm.words import shingles, text_bytes
 from veilwork.session import materialized
 
 WORDS = 5
 PERCENT = 80
 # N-grams with a hash below this, a fifth of all, are counted to learn which are shared.
 POOL_END = -(1 << 63) + (1 << 64) // 5
+# A set's elements are folded into so many bits, for a bound on how much two sets differ.
+FOLDED_BITS = 1024
 
-_MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15)
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, kept while they are few."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 500_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-_HASHES = WordHashes()
-#: The name of that cache among those a worker keeps.
-WORD_HASHES = "word hashes"
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    kept(WORD_HASHES, _HASHES.clear)
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(_MIX[0])
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(_MIX[1])
-    return h ^ (h >> np.uint64(33))
-
-
-def sequence_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """One hash for each ``size`` consecutive words."""
-    count = len(words) - size + 1
-    h = np.full(count, size, np.uint64)
-    for k in range(size):
-        h = mixed(h * np.uint64(_MIX[2]) + words[k : k + count])
-    return h
 
+def prefix_length(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1 if n else 0
 
-def shingles(text: str, size: int) -> np.ndarray:
-    """Sorted hashes of the distinct word n-grams; a shorter text is one n-gram."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    return np.unique(sequence_hashes(word_hashes(words), min(size, len(words))).view(np.int64))
 
+def folded(elements: np.ndarray) -> bytes:
+    """For each slot, whether an odd number of elements falls there.
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+    Two sets differ in at least as many elements as their folded bits differ.
+    """
+    counts = np.bincount(elements & (FOLDED_BITS - 1), minlength=FOLDED_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
 def _shared(docs: DataFrame, words: int) -> np.ndarray:
@@ -95,17 +59,17 @@ def _shared(docs: DataFrame, words: int) -> np.ndarray:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [np.empty(0, np.int64)]
-        for text in batch.column(0).to_pylist():
+        for text in text_bytes(batch.column(0)):
             s = shingles(text, words)
             found.append(s[: np.searchsorted(s, POOL_END)])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["gram"])
 
-    counted = map_rows(docs.select("text"), run, "gram bigint", [WORD_HASHES]).groupBy("gram").count()
+    counted = map_rows(docs.select("text"), run, "gram bigint").groupBy("gram").count()
     return filter_bits(counted.where("count > 1"), "gram")
 
 
 def _sketches(docs: DataFrame, words: int, percent: int, shared: np.ndarray) -> DataFrame:
-    """n, a digest of the set, and what of its prefix others may have.
+    """n, a digest of the set, its folded bits, and what of its prefix others may have.
 
     N-grams are in the order: of the pool and in one document alone, not of the pool, shared.
     The first kind fills most prefixes; it matches nothing, so it is only counted (``alone``).
@@ -114,10 +78,11 @@ def _sketches(docs: DataFrame, words: int, percent: int, shared: np.ndarray) ->
     bits = docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, digests, alone, prefixes = [], [], [], []
-        for text in batch.column(1).to_pylist():
+        sizes, digests, folds, alone, prefixes = [], [], [], [], []
+        for text in text_bytes(batch.column(1)):
             s = shingles(text, words)
             sizes.append(len(s))
+            folds.append(folded(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             pool = int(np.searchsorted(s, POOL_END))
             often = in_filter(bits.value, s[:pool])
@@ -133,14 +98,15 @@ def _sketches(docs: DataFrame, words: int, percent: int, shared: np.ndarray) ->
                 batch.column(0),
                 pa.array(sizes, pa.int32()),
                 pa.array(digests, pa.binary()),
+                pa.array(folds, pa.binary()),
                 pa.array(alone, pa.int32()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
             ],
-            names=["id", "n", "digest", "alone", "prefix"],
+            names=["id", "n", "digest", "bits", "alone", "prefix"],
         )
 
-    schema = "id bigint, n int, digest binary, alone int, prefix array<bigint>"
-    return map_rows(docs, run, schema, [WORD_HASHES])
+    schema = "id bigint, n int, digest binary, bits binary, alone int, prefix array<bigint>"
+    return map_rows(docs, run, schema)
 
 
 def _reach(n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
@@ -148,34 +114,61 @@ def _reach(n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n_x + n_y) // (100 + percent))
 
 
-def _set_pairs(percent: int, across: bool):
-    """Pairs of one list in order of set size: n, place of the n-gram, component.
+def _room(n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
+    """The most elements that may be in one alone of sets this large."""
+    return n_x + n_y - 2 * _reach(n_x, n_y, percent)
+
+
+def _differ(bits_x: np.ndarray, bits_y: np.ndarray) -> np.ndarray:
+    """In how many places rows of folded bits differ."""
+    return np.bitwise_count(bits_x.view(np.uint64) ^ bits_y.view(np.uint64)).sum(axis=1, dtype=np.int64)
 
-    Without ``across``: each set with its list's first set that is not too small, and with
-    the one before it.  With ``across``: with all of the list that are not too small and
-    belong to another component.
+
+def _centre_pairs(percent: int):
+    """Each set with its list's first set that is not too small, and with the one before it.
+
+    A list is in order of set size; of each set: size, and place of the list's n-gram.
     """
 
-    def pairs_of(ids, n, at, component) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs_of(ids, n, at) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         # skip to the first set that is large enough, seen from each position
         first = np.searchsorted(n, -(-percent * n // 100))
         here = np.arange(len(n))
-        if not across:
-            for other in (first, here - 1):
-                ok = (other < here) & (other >= first)
-                x, y = here[ok], other[ok]
-                near = np.minimum(n[x] - at[x], n[y] - at[y]) >= _reach(n[x], n[y], percent)
-                yield x[near], y[near]
-            return
-        if (component == component[0]).all():
-            return
-        for k in range(1, len(n)):
-            span = slice(first[k], k)
+        for other in (first, here - 1):
+            ok = (other < here) & (other >= first)
+            x, y = here[ok], other[ok]
+            near = np.minimum(n[x] - at[x], n[y] - at[y]) >= _reach(n[x], n[y], percent)
+            yield x[near], y[near]
+
+    return pairs_of
+
+
+def _across_pairs(percent: int, best: bool):
+    """Sets of different components that may reach the similarity.
+
+    Of each set: size, place of the list's n-gram, component, folded bits.  The sets of a
+    list's main component are only met, none of them goes through the list.  With ``best``
+    each other set names the one that it differs least from, else all.
+    """
+
+    def pairs_of(ids, n, at, component, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        names, counts = np.unique(component, return_counts=True)
+        main = names[counts.argmax()]
+        first = np.searchsorted(n, -(-percent * n // 100))
+        end = np.searchsorted(n, 100 * n // percent, side="right")
+        for k in np.flatnonzero(component != main):
+            span = slice(first[k], end[k])
+            theirs = component[span]
             left = np.minimum(n[k] - at[k], n[span] - at[span])
-            ok = (component[span] != component[k]) & (left >= _reach(n[k], n[span], percent))
-            if ok.any():
-                other = np.flatnonzero(ok) + first[k]
-                yield np.full(len(other), k), other
+            ok = (theirs != component[k]) & (left >= _reach(n[k], n[span], percent))
+            if not best:  # of two sets outside the main component the later one names the pair
+                ok &= (theirs == main) | (np.arange(first[k], end[k]) < k)
+            other = np.flatnonzero(ok) + first[k]
+            over = _differ(bits[other], bits[k : k + 1]) - _room(n[k], n[other], percent)
+            near = other[over <= 0]
+            if best and len(near):
+                near = other[[over.argmin()]]
+            yield np.full(len(near), k), near
 
     return pairs_of
 
@@ -239,36 +232,80 @@ def pairs_in_lists(ordered: DataFrame, pairs_of) -> DataFrame:
     return map_batches(ordered, run, "a bigint, b bigint").distinct()
 
 
-def list_pairs(index: DataFrame, percent: int, across: bool) -> DataFrame:
+def list_pairs(index: DataFrame, pairs_of, *columns: str) -> DataFrame:
     ordered = index.repartition("gram").sortWithinPartitions("gram", "n", "id")
-    component = F.col("component" if across else "id").alias("component")
-    return pairs_in_lists(ordered.select("gram", "id", "n", "at", component), _set_pairs(percent, across))
-
+    return pairs_in_lists(ordered.select("gram", "id", "n", "at", *columns), pairs_of)
 
-def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose sets really reach the similarity."""
-    wanted = materialized(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct())
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t, words).tobytes() for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "grams"])
+def _open_lists(index: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
+    """The lists with sets of more than one component, with these and their folded bits."""
+    named = materialized(index.join(components, "id"))
+    several = (
+        named.groupBy("gram")
+        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        .where("least < most")
+        .select("gram")
+    )
+    return named.join(several, "gram", "left_semi").join(sets.select("id", "set", "bits"), ["id", "set"])
 
-    known = materialized(map_rows(rows_with(docs, wanted, "id"), sets, "id bigint, grams binary", [WORD_HASHES]))
 
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            p, q = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * common >= percent * (len(p) + len(q) - common))
-        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs without those whose folded bits rule the similarity out."""
 
-    both = (
-        pairs.join(known.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
-        .join(known.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a")
-        .select("a", "b", "grams_a", "grams_b")
-    )
-    return map_rows(both, verify, "a bigint, b bigint")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not len(batch):
+            return batch.select([0, 1])
+        n_a, n_b, bits_a, bits_b = (_values(c) for c in batch.columns[2:])
+        return batch.select([0, 1]).filter(pa.array(_differ(bits_a, bits_b) <= _room(n_a, n_b, percent)))
+
+    def side(of: str) -> DataFrame:
+        return sets.select(F.col("id").alias(of), F.col("n").alias(f"n_{of}"), F.col("bits").alias(f"bits_{of}"))
+
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return map_rows(both, run, "a bigint, b bigint").distinct()
+
+
+class Compared:
+    """Compares pairs by their whole sets; a text's set is made once, when first needed."""
+
+    def __init__(self, docs: DataFrame, words: int, percent: int) -> None:
+        self.docs, self.words, self.percent = docs, words, percent
+        self.sets: DataFrame | None = None
+        self.pairs: DataFrame | None = None
+
+    def fresh(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that were not compared yet, stored."""
+        return materialized(pairs if self.pairs is None else pairs.join(self.pairs, ["a", "b"], "left_anti"))
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Those of some stored fresh pairs whose sets really reach the similarity, stored."""
+        words, percent = self.words, self.percent
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("id").distinct(), "id", "left_anti")
+
+        def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [shingles(t, words).tobytes() for t in text_bytes(batch.column(1))]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "grams"])
+
+        def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                p, q = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(100 * common >= percent * (len(p) + len(q) - common))
+            return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        new = materialized(map_rows(rows_with(self.docs, materialized(wanted), "id"), sets_of, "id bigint, grams binary"))
+        self.sets = new if self.sets is None else self.sets.union(new)
+        self.pairs = pairs if self.pairs is None else self.pairs.union(pairs)
+        known = self.sets
+        both = (
+            pairs.join(known.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
+            .join(known.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a")
+            .select("a", "b", "grams_a", "grams_b")
+        )
+        return materialized(map_rows(both, verify, "a bigint, b bigint"))
 
 
 def similar_components(
@@ -289,8 +326,10 @@ def similar_components(
     class, gives no component its name and without another row has a null one.  Other columns are
     ignored, an empty table gives an empty one.
 
-    N-grams are compared as 64-bit hashes, equal sets by 128 bits.  No list is read
-    pair by pair but across components, and what is compared is stored once per round.
+    N-grams are compared as 64-bit hashes, equal sets by 128 bits.  First every set meets the
+    centres of its lists.  Then, in rounds, the sets of a list that are in different components:
+    each names its nearest, until a round links nothing; last, all that are left.  Pairs that
+    folded bits rule out, which no link does, never become rows.
     """
     texts = docs.select(docs[id_column].cast("bigint").alias("id"), whole_text(text_column).alias("text"))
     sketched = materialized(_sketches(texts, words, percent, _shared(texts, words)))
@@ -299,25 +338,34 @@ def similar_components(
         .groupBy("digest")
         .agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     )
-    heads = sketched.join(
+    heads = materialized(sketched.join(
         classes.where("class_id IS NOT NULL").select(F.col("class_id").alias("id"), F.col("digest").alias("of")), "id"
-    ).where("digest = of").dropDuplicates(["id", "digest"])
-    index = heads.select("id", "n", "alone", F.posexplode("prefix").alias("at", "gram")).select(
-        "id", "n", (F.col("alone") + F.col("at")).alias("at"), "gram"
+    ).where("digest = of").dropDuplicates(["id", "digest"]).withColumn("set", F.xxhash64("digest")))
+    index = heads.select("id", "set", "n", "alone", F.posexplode("prefix").alias("at", "gram")).select(
+        "id", "set", "n", (F.col("alone") + F.col("at")).alias("at"), "gram"
     )
     # lists of one set find nothing
     index = materialized(
         index.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("sets > 1").drop("sets")
     )
 
-    def compared(candidates: DataFrame) -> DataFrame:
-        return materialized(_linked(texts, materialized(candidates), words, percent))
-
-    links = compared(list_pairs(index, percent, False))
+    compared = Compared(texts, words, percent)
     ids = classes.where("class_id IS NOT NULL").select(F.col("class_id").alias("id")).distinct()
-    first = materialized(min_labels(ids, links))
-    more = compared(list_pairs(index.join(first, "id"), percent, True))
-    labels = min_labels(ids, links.union(more)) if not more.isEmpty() else first
+    links = compared.linked(
+        compared.fresh(_plausible(materialized(list_pairs(index, _centre_pairs(percent))), heads, percent))
+    )
+    labels = materialized(min_labels(ids, links))
+    for best in (True, False):
+        while True:
+            lists = _open_lists(index, labels, heads)
+            pairs = compared.fresh(list_pairs(lists, _across_pairs(percent, best), "component", "bits"))
+            more = compared.linked(pairs) if not pairs.isEmpty() else pairs
+            if more.isEmpty():
+                break
+            links = links.union(more)
+            labels = materialized(min_labels(ids, links))
+            if not best:
+                break
     named = materialized(
         classes.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select(
             "digest", "component", "copies"
