@@ -2,9 +2,11 @@
 
 import pytest
 
+from catalog.inputs import table, text_parts
 from veilwork.operators.dictionary import mask_with_tables
 from veilwork.plans.scan import scan
 from veilwork.policy import Policy
+from veilwork.session import SPREAD_BYTES, spread
 
 
 @pytest.mark.parametrize("policy", [Policy(default_strategy="pseudo"), Policy(use_reversible=True)])
@@ -17,3 +19,19 @@ def test_texts_that_wait_for_nothing_are_not_scanned_again(spark, policy):
     found = masked.select("doc_id", "masked_text").collect()
     assert sorted(r.masked_text for r in found if r.doc_id == 2) == ["nothing", "nothing"]
     assert len(found) == 5 and not any("corp" in (r.masked_text or "") for r in found)
+
+
+def test_parts_of_a_spread_input_grow_with_it(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few, many = (spread(spark.range(rows), "id").rdd.getNumPartitions() for rows in (10, 4 * cores * SPREAD_BYTES // 8))
+    assert (few, many) == (cores, 4 * cores)
+
+
+def test_keys_are_dealt_out_before_they_become_texts(spark, tmp_path):
+    orders = [(k, 7 * k) for k in range(100)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "x", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    derived = text_parts(spark, str(tmp_path))[1]
+    plan = derived._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("'Email: '" if "'Email: '" in plan else "Email: ") < plan.index("RepartitionByExpression")
+    assert derived.count() == table(spark, str(tmp_path), "orders").count() == 100
