@@ -1,12 +1,15 @@
 """Work that must not be done twice, or by too few tasks."""
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+import catalog.reporting
 from catalog.inputs import table, text_parts
 from veilwork.operators.dictionary import mask_with_tables
 from veilwork.plans.scan import scan
 from veilwork.policy import Policy
-from veilwork.session import SPREAD_BYTES, spread
+from veilwork.session import SPREAD_BYTES, materialized, spread
 
 
 @pytest.mark.parametrize("policy", [Policy(default_strategy="pseudo"), Policy(use_reversible=True)])
@@ -35,3 +38,23 @@ def test_keys_are_dealt_out_before_they_become_texts(spark, tmp_path):
     plan = derived._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("'Email: '" if "'Email: '" in plan else "Email: ") < plan.index("RepartitionByExpression")
     assert derived.count() == table(spark, str(tmp_path), "orders").count() == 100
+
+
+def test_the_log_of_a_streamed_report_is_made_once(spark, tmp_path, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(tool):
+        made.add(1)
+        return tool
+
+    events = materialized(
+        spark.createDataFrame([("EMAIL", f"src{k}") for k in range(8)], "entity_type string, tool_name string").select(
+            F.lit("2024-01-01").alias("timestamp"), F.lit(None).cast("string").alias("event_type"), "tool_name", "entity_type",
+            F.lit("redact").alias("masking_strategy"), F.lit(0.5).alias("confidence"), F.lit(False).alias("dry_run"),
+        )
+    )
+    log = events.withColumn("tool_name", F.udf(counted, StringType())("tool_name"))
+    monkeypatch.setattr(catalog.reporting, "_log", lambda *_: log)
+    report = catalog.reporting.streamed_report(spark, str(tmp_path)).first().report
+    assert '"total_entities_redacted":8' in report
+    assert made.value == 8
