@@ -50,6 +50,15 @@ def test_any_text_as_the_library(library, text):
     same(library, text)
 
 
+def test_with_the_library_a_word_is_held_once_whatever_stands_around_it(library):
+    coder = bpe.BytePairs(PATH, True)
+    text = "Zqxé zqxé, (ZQXÉ) zqxé. 'zqxé' zqxé\n"
+    ids = np.frombuffer(coder.encode(text * 50), "<u4").tolist()
+    assert ids == library.encode(text * 50, add_special_tokens=False).ids
+    held = [*coder.chunks, *coder.words, *coder.plain_words]
+    assert [w for w in held if "zq" in w.lower()] == ["zqxé"]
+
+
 def test_cuts_are_places_no_token_covers():
     coder = bpe.byte_pairs(PATH)
     word = "qzxjkvqwxzj"

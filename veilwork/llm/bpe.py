@@ -27,11 +27,18 @@ from veilwork.llm.base import kept, map_rows, whole_text
 # Texts in memory of a task: entries and the longest text that is kept.
 MEMO_ENTRIES = 300_000
 MEMO_LONGEST = 64
+# Entries where the library merges words, which makes what is not remembered cheap.
+LIBRARY_ENTRIES = 200_000
 
 _NEVER = 1 << 60
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 # str.split() also cuts at these, the tokenizer does not
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
+# Where every letter is below U+0100 and none of these stands, a text's words are found at once
+_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\xad\u0100-\U0010ffff]")
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_LATIN_WORDS = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+").findall
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
@@ -89,11 +96,14 @@ class BytePairs:
         self.byte_form = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.simple_words = regex.compile(split["pattern"]["Regex"]).findall
+        # words of plain texts at once, only as that pattern means them
+        self.at_once = by_library and split["pattern"]["Regex"] == _SPLIT
         self.inner = {t: i for t, i in self.ids.items() if len(t) == 1}
         self.final = {t[0]: i for t, i in self.ids.items() if len(t) == 1 + len(self.suffix) and t.endswith(self.suffix)}
         self.fragments = Memo(self._encode_fragment, MEMO_ENTRIES // 10)
-        self.words = Memo(self._encode_word)
-        self.chunks = Memo(self._encode_chunk)
+        self.words = Memo(self._encode_word, LIBRARY_ENTRIES if by_library else MEMO_ENTRIES)
+        self.chunks = Memo(self._encode_chunk, LIBRARY_ENTRIES if by_library else MEMO_ENTRIES)
+        self.plain_words = Memo(self._encode_plain, LIBRARY_ENTRIES)
 
     # -- one fragment ---------------------------------------------------------
 
@@ -178,6 +188,13 @@ class BytePairs:
             return self._encode_last(last)
         return b"".join([*map(self.fragments.__getitem__, first), self._encode_last(last)])
 
+    def _encode_plain(self, word: str) -> bytes:
+        """Ids of a word in lower case, of letters below U+0100."""
+        form = word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_form)
+        if len(form) > MEMO_LONGEST:
+            return self._encode_word(form)
+        return array("I", [t.id for t in self.merge_word(form)]).tobytes()
+
     def _encode_chunk(self, chunk: str) -> bytes:
         out, words = [], self.words
         # no white space here, and most chunks hold no special token
@@ -204,6 +221,8 @@ class BytePairs:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if self.at_once and not _ODD.search(text) and not (self.special and self.special.search(text)):
+            return b"".join(map(self.plain_words.__getitem__, _LATIN_WORDS(text.lower())))
         chunks = _SPACE.split(text) if _NOT_SPACE.search(text) else text.split()
         return b"".join(map(self.chunks.__getitem__, chunks))
 

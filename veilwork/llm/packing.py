@@ -89,8 +89,9 @@ def pieces(
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder, end = byte_pairs(path, by_library=True), end_id.to_bytes(4, "little")
         out: list[tuple] = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            coded = encoder.encode(text) + end
+        # one text at a time: a batch's texts are not held twice
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            coded = encoder.encode(text.as_py()) + end
             for k in range(0, len(coded), 4 * capacity):
                 part = coded[k : k + 4 * capacity]
                 out.append((doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
