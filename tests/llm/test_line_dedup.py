@@ -180,3 +180,34 @@ def test_recall_at_production_bands_with_sketches(spark):
     got = deduplicate_lines(df).agg({"n_removed": "sum"}).first()[0]
     keys = signatures(lines, 8, 8, 4)
     assert got == (keys[::2] == keys[1::2]).any(axis=1).sum()
+
+
+def test_a_crowded_band_makes_no_pairs_that_the_sketches_rule_out(spark, monkeypatch):
+    # long lines that share most shingles: no two are similar, and many agree in a band
+    r = random.Random(11)
+    same = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1000))
+    lines = [same + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(210)) for _ in range(60)]
+    a, b = shingle_set(lines[0], 8), shingle_set(lines[1], 8)
+    assert 0.65 < len(a & b) / len(a | b) < 0.75
+    compared = []
+    similar = line_dedup._similar
+
+    def counted(known, pairs, *args):
+        compared.append(pairs.count())
+        return similar(known, pairs, *args)
+
+    monkeypatch.setattr(line_dedup, "_similar", counted)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    assert deduplicate_lines(df, bands=24, rows_per_band=1).agg({"n_removed": "sum"}).first()[0] == 0
+    assert sum(compared) < 60
+
+
+def test_lines_beyond_latin_letters_are_compared_exactly_too(spark):
+    r = random.Random(12)
+    rows = []
+    for k, letters in enumerate(("abcdefghijklmnop", "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d\u4e03\u516b", "abcd\xe9\xff\u0100\U0001f600")):
+        line = "".join(r.choice(letters) for _ in range(120))
+        rows += [(10 * k, line), (10 * k + 1, line + "x"), (10 * k + 2, line[:60] + "".join(r.choice(letters) for _ in range(60)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = deduplicate_lines(df, bands=24, rows_per_band=2)
+    assert {x.doc_id: x.text for x in got.collect()} == {rows[k][0]: t for k, t in brute(rows).items()}

@@ -26,12 +26,14 @@ SIMILARITY = 0.8
 BANDS, ROWS = 8, 4
 # Blank lines only are left out.
 EVERY_LINE = 1
-# Bins in which a line's distinct shingles are counted; two lines share at most the sum of the
-# lesser counts.  A count of ``MANY`` stands for any number.
-SKETCH = 128
-MANY = 255
+# Bins of a line's distinct shingles, each with one bit: whether their number is odd.  As many shingles
+# as bits differ stand in one of two lines alone, at least.
+SKETCH = 2048
+# Rounds in which lines of different components name only the one they differ least from.
+ROUNDS = 2
 _LAST_ID = (1 << 63) - 1
-_CHUNK = 1 << 20
+# Characters that are hashed at once: what is made of them stays near the processor.
+_CHUNK = 1 << 16
 
 
 def plain(line: str) -> str:
@@ -43,6 +45,9 @@ def shingle_set(line: str, size: int) -> set[str]:
     return {line[k : k + size] for k in range(max(1, len(line) - size + 1))}
 
 
+_MIXED_CODES = mixed(np.arange(256, dtype=np.uint64))
+
+
 def _shingle_hashes(lines: list[str], size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of lines (not empty, plain): first, end, hashes of their shingles, each one's line in the run."""
     start = 0
@@ -53,13 +58,21 @@ def _shingle_hashes(lines: list[str], size: int) -> Iterator[tuple[int, int, np.
             end += 1
         # a line of fewer characters than a shingle is filled up to one
         padded = [line.ljust(size, "\0") for line in lines[start:end]]
-        text = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        joined = "".join(padded)
+        try:
+            codes = np.frombuffer(joined.encode("latin-1"), np.uint8)
+            first = _MIXED_CODES[codes]
+        except UnicodeEncodeError:
+            codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+            first = mixed(codes.astype(np.uint64))
+        text = codes.astype(np.uint64)
         lengths = np.array([len(p) for p in padded])
         h = text
         width = 1
         while width < size:
             step = min(width, size - width)
-            h = h[: len(h) - step] * np.uint64(0x9E3779B97F4A7C15) + mixed(h[step:])
+            right = first[step:] if h is text else mixed(h[step:])
+            h = h[: len(h) - step] * np.uint64(0x9E3779B97F4A7C15) + right
             width += step
         ends = np.cumsum(lengths)
         of_line = np.repeat(np.arange(len(padded)), lengths)[: len(h)]
@@ -74,7 +87,8 @@ def least_hashes(lines: list[str], size: int, bins: int) -> np.ndarray:
     none = np.iinfo(np.uint64).max
     for start, end, h, of_line in _shingle_hashes(lines, size):
         least = np.full((end - start) * bins, none, np.uint64)
-        np.minimum.at(least, of_line * bins + (h % np.uint64(bins)).astype(np.int64), h // np.uint64(bins))
+        rank = h // np.uint64(bins)
+        np.minimum.at(least, of_line * bins + (h - rank * np.uint64(bins)).astype(np.int64), rank)
         least = least.reshape(-1, bins)
         empty = least == none
         filled = least.copy()
@@ -98,24 +112,39 @@ def signatures(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray
     return mixed(keys + np.arange(bands, dtype=np.uint64)[None, :]).view(np.int64)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """In order; np.unique looks up each value in a table, which takes many times as long."""
+    ordered = np.sort(values)
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return ordered[new]
+
+
 def sketches(lines: list[str], size: int) -> np.ndarray:
-    """How many distinct shingles fall into each of ``SKETCH`` bins, one row of bytes per line."""
-    out = np.empty((len(lines), SKETCH), np.uint8)
+    """How many distinct shingles a line has and which of ``SKETCH`` bins hold an odd number of them, as bytes."""
+    out = np.zeros((len(lines), 1 + SKETCH // 64), "<u8")
     for start, end, h, of_line in _shingle_hashes(lines, size):
-        order = np.lexsort((h, of_line))
-        h, of_line = h[order], of_line[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (of_line[1:] != of_line[:-1])]
-        slot = of_line[new] * SKETCH + (h[new] % np.uint64(SKETCH)).astype(np.int64)
-        counts = np.bincount(slot, minlength=(end - start) * SKETCH).reshape(-1, SKETCH)
-        out[start:end] = np.minimum(counts, MANY)
-    return out
+        cuts = np.searchsorted(of_line, np.arange(end - start + 1))
+        for k in range(end - start):
+            own = _distinct(h[cuts[k] : cuts[k + 1]])
+            odd = np.bincount((own % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+            out[start + k, 0] = len(own)
+            out[start + k, 1:] = np.packbits(odd.astype(np.uint8)).view("<u8")
+    return out.view(np.uint8)
+
+
+def _excess(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """By how much the least possible difference of sets goes beyond what the similarity allows."""
+    x, y = x.view("<u8"), y.view("<u8")
+    n_x, n_y = x[:, 0].astype(np.int64), y[:, 0].astype(np.int64)
+    differ = np.bitwise_count(x[:, 1:] ^ y[:, 1:]).sum(axis=1, dtype=np.int64)
+    differ = np.maximum(differ, abs(n_x - n_y))
+    return differ - (1 - similarity) / (1 + similarity) * (n_x + n_y)
 
 
 def may_reach(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
     """False for pairs of sketches whose sets surely stay below the similarity."""
-    n_x, n_y, common = (k.sum(axis=1, dtype=np.int64) for k in (x, y, np.minimum(x, y)))
-    open_ended = (x == MANY).any(axis=1) | (y == MANY).any(axis=1)
-    return open_ended | (common >= similarity * (n_x + n_y - common))
+    return _excess(x, y, similarity) <= 1e-6
 
 
 def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -127,61 +156,44 @@ def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     )
 
 
-def _lines(rows: DataFrame, least_chars: int) -> DataFrame:
-    """Every line that counts: digest, id, key, line (its number)."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple] = []
-        for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
-            for number, line in enumerate(text.split("\n")):
-                line = plain(line)
-                if len(line) >= least_chars:
-                    digest = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-                    out.append((digest, doc, key, number))
-        columns = list(zip(*out)) or [()] * 4
-        types = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, types)], names=["digest", "id", "key", "line"]
-        )
-
-    return map_rows(rows, run, "digest binary, id bigint, key bigint, line int")
-
-
 def _signed_lines(rows: DataFrame, least_chars: int, size: int, bands: int, per_band: int) -> DataFrame:
-    """Distinct lines of each batch: digest, bands, first place, count.
+    """Every line that counts: digest, id, key, line (its number), and its bands where first in a batch.
 
     A line shorter than a shingle is like no other: it has no bands, only its digest.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: dict[str, list] = {}
+        seen: dict[str, int] = {}
+        first: list[bool] = []
+        digests, of_place = [], []
+        docs, keys, numbers = [], [], []
         for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
             for number, line in enumerate(text.split("\n")):
                 line = plain(line)
                 if len(line) < least_chars:
                     continue
-                here = (doc, key, number)
-                known = seen.get(line)
-                if known is None:
-                    seen[line] = [here, 1]
-                else:
-                    known[0] = min(known[0], here)
-                    known[1] += 1
+                at = seen.setdefault(line, len(seen))
+                first.append(at == len(digests))
+                if first[-1]:
+                    digests.append(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")))
+                of_place.append(at)
+                docs.append(doc)
+                keys.append(key)
+                numbers.append(number)
         lines = list(seen)
-        keys = signatures(lines, size, bands, per_band)
-        digests = [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]
-        columns = list(zip(*(first for first, _ in seen.values()))) or [()] * 3
+        signed = [k.tobytes() if len(x) >= size else b"" for x, k in zip(lines, signatures(lines, size, bands, per_band))]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(digests, pa.binary()),
-                pa.array([k.tobytes() if len(x) >= size else b"" for x, k in zip(lines, keys)], pa.binary()),
-                *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()))),
-                pa.array([n for _, n in seen.values()], pa.int64()),
+                pa.array(digests, pa.binary()).take(pa.array(of_place, pa.int64())),
+                pa.array(docs, pa.int64()),
+                pa.array(keys, pa.int64()),
+                pa.array(numbers, pa.int32()),
+                pa.array([signed[at] if new else None for at, new in zip(of_place, first)], pa.binary()),
             ],
-            names=["digest", "bands", "id", "key", "line", "n"],
+            names=["digest", "id", "key", "line", "bands"],
         )
 
-    return map_rows(rows, run, "digest binary, bands binary, id bigint, key bigint, line int, n bigint")
+    return map_rows(rows, run, "digest binary, id bigint, key bigint, line int, bands binary")
 
 
 def _index(classes: DataFrame) -> DataFrame:
@@ -224,46 +236,112 @@ def _candidates(rows: DataFrame, classes: DataFrame, nodes: DataFrame, size: int
     return materialized(map_rows(held.select("text", "lines"), texts, "node bigint, text string, sketch binary"))
 
 
-def _line_pairs(index: DataFrame, known: DataFrame, similarity: float, across: bool) -> DataFrame:
-    """Pairs of a band whose sketches leave room for the similarity.
+def _near_neighbours(similarity: float):
+    """Pairs of a band: each line with the first one and with the one before it, where the sketches leave room."""
+
+    def pairs_of(ids, sketch):
+        here = np.arange(1, len(ids))
+        for other in (np.zeros_like(here), here - 1):
+            ok = may_reach(sketch[here], sketch[other], similarity)
+            yield here[ok], other[ok]
+
+    return pairs_of
+
+
+def _across(similarity: float, best: bool):
+    """Pairs of a band's lines in different components, where the sketches leave room.
 
-    Without ``across`` each line meets its band's first line and the one before it, else all
-    in other components.
+    With ``best`` each line names only the one that it differs least from, else all.
     """
 
     def pairs_of(ids, sketch, component):
-        def near(x, y):
-            return may_reach(sketch[x], sketch[y], similarity)
-
-        here = np.arange(1, len(ids))
-        if not across:
-            for other in (np.zeros_like(here), here - 1):
-                ok = near(here, other)
-                yield here[ok], other[ok]
-            return
-        if (component == component[0]).all():
-            return
-        for k in here:
+        for k in range(1, len(ids)):
             other = np.flatnonzero(component[:k] != component[k])
+            least = None
             for part in np.array_split(other, -(-len(other) // 65_536) or 1):
-                part = part[near(np.full(len(part), k), part)]
-                yield np.full(len(part), k), part
+                over = _excess(sketch[part], sketch[k : k + 1], similarity)
+                part, over = part[over <= 1e-6], over[over <= 1e-6]
+                if not best:
+                    yield np.full(len(part), k), part
+                elif len(part) and (least is None or over.min() < least[0]):
+                    least = over.min(), part[[over.argmin()]]
+            if least is not None:
+                yield np.array([k]), least[1]
+
+    return pairs_of
+
+
+def _with_sketches(index: DataFrame, known: DataFrame) -> DataFrame:
+    return index.join(known.select(F.col("node").alias("id"), "sketch"), "id")
+
+
+def _pairs(lists: DataFrame, pairs_of, *columns: str) -> DataFrame:
+    ordered = lists.repartition("gram").sortWithinPartitions("gram", "id")
+    return pairs_in_lists(ordered.select("gram", "id", *columns), pairs_of)
+
+
+def _open_bands(named: DataFrame) -> DataFrame:
+    """The bands with lines of more than one component: gram, id, component."""
+    several = (
+        named.groupBy("gram")
+        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        .where("least < most")
+        .select("gram")
+    )
+    return named.join(several, "gram", "left_semi").select("gram", "id", "component")
+
+
+def _merged(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """component and its new name ``to``, for those that the links join."""
+    ends = links.join(labels.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(
+        labels.select(F.col("id").alias("b"), F.col("component").alias("y")), "b"
+    )
+    edges = materialized(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("component")).distinct()
+    return materialized(min_labels(nodes, edges, "component", "to"))
+
+
+def _renamed(named: DataFrame, merged: DataFrame) -> DataFrame:
+    found = named.join(merged, "component", "left").withColumn("component", F.coalesce("to", "component"))
+    return found.select(*named.columns)
+
 
-    full = index.join(known.select(F.col("node").alias("id"), "sketch"), "id")
-    component = F.col("component" if across else "id").alias("component")
-    ordered = full.repartition("gram").sortWithinPartitions("gram", "id")
-    return pairs_in_lists(ordered.select("gram", "id", "sketch", component), pairs_of)
+def _codes(line: str, size: int) -> np.ndarray | None:
+    """The line's distinct shingles as sorted numbers, one for each; None where 64 bits don't hold them."""
+    if size != 8 or len(line) < size:
+        return None
+    try:
+        codes = np.frombuffer(line.encode("latin-1"), np.uint8).astype(np.uint64)
+    except UnicodeEncodeError:
+        return None
+    for width in (1, 2, 4):
+        codes = codes[:-width] | codes[width:] << np.uint64(8 * width)
+    return _distinct(codes)
 
 
 def _similar(known: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs of lines whose shingle sets really reach the similarity."""
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = shingle_set(x, size), shingle_set(y, size)
-            common = len(x & y)
-            keep.append(common >= similarity * (len(x) + len(y) - common))
+        keep, held = [], {}
+
+        def coded(line: str) -> np.ndarray | None:
+            if line not in held:
+                if len(held) > 1000:
+                    held.clear()
+                held[line] = _codes(line, size)
+            return held[line]
+
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = x.as_py(), y.as_py()
+            a, b = coded(x), coded(y)
+            if a is None or b is None:
+                a, b = shingle_set(x, size), shingle_set(y, size)
+                common = len(a & b)
+            else:
+                both = np.sort(np.concatenate([a, b]), kind="stable")
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+            keep.append(common >= similarity * (len(a) + len(b) - common))
         return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     both = (
@@ -293,9 +371,9 @@ def deduplicate_lines(
     other places it goes.  Lines of fewer than ``least_chars`` characters always stay: by default
     only blank ones do, and lines shorter than a shingle go where equal.  A
     similar pair is found if it agrees in one of ``bands`` bands: at 0.8 with probability
-    0.985, at 0.9 with 0.9998.  In a crowded band each line meets the first one, then all
-    that belong to other components; two lines are compared exactly unless counts of their
-    shingles by bins prove that they stay below the similarity.
+    0.985, at 0.9 with 0.9998.  In a crowded band each line meets the first one, then, in
+    rounds, the likest one of other components, last all that are left of these; two lines are
+    compared exactly unless their sketches prove that they stay below the similarity.
 
     A null text has no lines and stays null.  A null id comes after all others; among rows
     that repeat an id, the text's hash decides, and rows with equal id and text keep the same
@@ -304,9 +382,12 @@ def deduplicate_lines(
     replaced.  An empty table gives an empty one.
     """
     rows = _documents(docs, id_column, text_column)
-    lines = materialized(_lines(rows, least_chars))
-    grouped = _signed_lines(rows, least_chars, shingle, bands, rows_per_band).groupBy("digest").agg(
-        F.min(F.struct("id", "key", "line")).alias("at"), F.first("bands").alias("bands"), F.sum("n").alias("n")
+    signed = materialized(_signed_lines(rows, least_chars, shingle, bands, rows_per_band))
+    lines = signed.drop("bands")
+    grouped = signed.groupBy("digest").agg(
+        F.min(F.struct("id", "key", "line")).alias("at"),
+        F.first("bands", ignorenulls=True).alias("bands"),
+        F.count(F.lit(1)).alias("n"),
     )
     classes = materialized(
         grouped.select("digest", "bands", "at.*", "n").withColumn("node", F.monotonically_increasing_id())
@@ -314,13 +395,22 @@ def deduplicate_lines(
     index = materialized(_index(classes))
     nodes = materialized(index.select("id").distinct())
     known = _candidates(rows, classes, nodes, shingle)
-    near = materialized(_line_pairs(index, known, similarity, False))
-    first = materialized(_similar(known, near, shingle, similarity))
-    labels = materialized(min_labels(nodes, first))
-    further = materialized(_line_pairs(index.join(labels, "id"), known, similarity, True))
-    if not further.isEmpty():
-        more = materialized(_similar(known, further, shingle, similarity))
-        labels = materialized(min_labels(nodes, first.union(more)))
+    near = _pairs(_with_sketches(index, known), _near_neighbours(similarity), "sketch")
+    links = materialized(_similar(known, materialized(near), shingle, similarity))
+    labels = materialized(min_labels(nodes, links))
+    open_bands = materialized(_open_bands(materialized(index.join(labels, "id"))))
+    best = [True] * ROUNDS + [False]
+    while best and not open_bands.isEmpty():
+        pairs_of = _across(similarity, best.pop(0))
+        further = _pairs(_with_sketches(open_bands, known), pairs_of, "sketch", "component")
+        more = materialized(_similar(known, materialized(further), shingle, similarity))
+        if more.isEmpty():  # another round of the likest ones would find nothing either
+            best = best[-1:]
+            continue
+        merged = _merged(more, labels)
+        labels = materialized(_renamed(labels, merged))
+        if best:
+            open_bands = materialized(_open_bands(materialized(_renamed(open_bands, merged))))
     place = F.struct("id", "key", "line")
     member = classes.join(
         labels.select(F.col("id").alias("node"), "component"), "node", "left"
