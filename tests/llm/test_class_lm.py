@@ -113,3 +113,21 @@ def test_sweeps_go_on_until_the_likelihood_stops_rising(spark):
 
     moved = lm.exchange(table(class_of), class_of, 16, units.end)
     assert (moved == class_of).all() or value(moved) <= value(class_of) + 1e-6
+
+
+def test_what_is_learned_of_words_is_not_copied_for_each_text():
+    words, asked = lm.Words(), []
+
+    def compute(whole, ending):
+        asked.append(len(whole))
+        return whole % 7
+
+    for k in range(2000):
+        words.hashes(f"w{k} w{k // 2}")
+        numbers = np.array([words[f"w{k}".encode()], words[f"w{k // 2}".encode()]])
+        assert (words.values(compute, numbers) == words.whole[numbers] % 7).all()
+    held = words.learned[compute][0]
+    words.hashes("another")
+    words.values(compute, np.array([0]))
+    assert words.learned[compute][0] is held
+    assert sum(asked) == len(words)

@@ -13,6 +13,7 @@ fit its own best, until none moves or the likelihood of the class bigrams stops
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,20 +53,29 @@ class Words(dict):
             self.whole = np.resize(self.whole, 2 * number)
             self.ending = np.resize(self.ending, 2 * number)
         self.whole[number] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
-        last = word.decode("utf-8", "surrogatepass").rstrip(".,;:!?|*&%$#")[-ENDING:]
-        self.ending[number] = xxhash.xxh3_64_intdigest(last.encode("utf-8", "surrogatepass")) - (1 << 63)
+        if word.isascii():
+            last = word.rstrip(b".,;:!?|*&%$#")[-ENDING:]
+        else:
+            last = word.decode("utf-8", "surrogatepass").rstrip(".,;:!?|*&%$#")[-ENDING:].encode("utf-8", "surrogatepass")
+        self.ending[number] = xxhash.xxh3_64_intdigest(last) - (1 << 63)
         self[word] = number
         return number
 
-    def numbers(self, text: str) -> np.ndarray:
-        if len(self) > self.LIMIT:
+    def full(self) -> bool:
+        return len(self) > self.LIMIT
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the words' numbers in all these texts, how many words each has); numbers of earlier calls may be void."""
+        if self.full():
             self.clear()
             self.learned.clear()
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        found = [text.encode("utf-8", "surrogatepass").lower().split() for text in texts]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        every = map(self.__getitem__, chain.from_iterable(found))
+        return np.fromiter(every, np.int64, int(counts.sum())), counts
 
     def hashes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        numbers = self.numbers(text)
+        numbers, _ = self.numbers([text])
         return self.whole[numbers], self.ending[numbers]
 
     def values(self, compute, numbers: np.ndarray) -> np.ndarray:
@@ -73,16 +83,40 @@ class Words(dict):
 
         What is known goes when the next function comes.
         """
-        known, done = self.learned.get(compute, (np.empty(0, np.int64), 0))
+        known, done = self.learned.get(compute, (None, 0))
         if done < len(self):
             new = compute(self.whole[done : len(self)], self.ending[done : len(self)])
-            known, done = np.concatenate([known[:done], new]), len(self)
-            if compute not in self.learned and len(self.learned) > 1:
+            if known is None or len(known) < len(self):  # room for as many again, not a copy each time
+                wider = np.empty((2 * len(self), *new.shape[1:]), new.dtype)
+                if done:
+                    wider[:done] = known[:done]
+                known = wider
+            known[done : len(self)] = new
+            if compute not in self.learned:
                 self.learned.clear()
-            self.learned[compute] = known, done
+            self.learned[compute] = known, len(self)
+        elif known is None:
+            return compute(self.whole[:0], self.ending[:0])
         return known[numbers]
 
 
+# Texts whose words are looked up at once, and the characters that end such a group.
+GROUP_TEXTS, GROUP_CHARS = 256, 1 << 20
+
+
+def groups(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in their order, some at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        size += len(held[-1])
+        if len(held) == GROUP_TEXTS or size > GROUP_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 _WORDS = Words()
 
 
@@ -114,28 +148,24 @@ def _count_words(rows: DataFrame) -> DataFrame:
     """word, ending (hashes) and n over all rows; each task adds up its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        counts = np.zeros(0, np.int64)
 
         def summed() -> pa.RecordBatch:
-            nonlocal held, size
-            pairs = np.concatenate([np.empty((0, 2), np.int64), *held])
-            order = np.argsort(pairs[:, 0], kind="stable")
-            pairs = pairs[order]
-            start = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]]) if len(pairs) else np.empty(0, np.int64)
-            n = np.diff(np.r_[start, len(pairs)])
-            held, size = [], 0
+            seen = np.flatnonzero(counts)
             return pa.RecordBatch.from_arrays(
-                [pa.array(pairs[start, 0].copy()), pa.array(pairs[start, 1].copy()), pa.array(n.astype(np.int64))],
+                [pa.array(_WORDS.whole[seen]), pa.array(_WORDS.ending[seen]), pa.array(counts[seen])],
                 names=["word", "ending", "n"],
             )
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(np.stack(_WORDS.hashes(text), 1))
-                size += len(held[-1])
-                if size > 4_000_000:
+            for texts in groups(batch.column(0)):
+                if _WORDS.full():  # the numbers will be given anew
                     yield summed()
+                    counts = np.zeros(0, np.int64)
+                numbers, _ = _WORDS.numbers(texts)
+                if len(counts) < len(_WORDS):
+                    counts = np.concatenate([counts, np.zeros(2 * len(_WORDS) - len(counts), np.int64)])
+                np.add.at(counts, numbers, 1)
         yield summed()
 
     return (
@@ -181,9 +211,11 @@ def _bigrams(rows: DataFrame, units: Units) -> DataFrame:
 
         sequence, size = [end], 1
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                sequence += [_WORDS.values(unit_of, _WORDS.numbers(text)), end]
-                size += len(sequence[-2]) + 1
+            for texts in groups(batch.column(0)):
+                numbers, counts = _WORDS.numbers(texts)
+                # an end behind each text
+                sequence.append(np.insert(_WORDS.values(unit_of, numbers), np.cumsum(counts), end[0]))
+                size += len(sequence[-1])
                 if size > 4_000_000:
                     yield counted(sequence)
                     sequence, size = [end], 1
@@ -379,39 +411,49 @@ def score_texts(
 
     held: dict = {}
 
-    def functions(units, class_of, word):
-        # the same two for all batches of a task, so that words are looked up once
-        if not held:
-            held["class"] = lambda whole, ending: class_of[units.of(whole, ending)]
-            held["place"] = lambda whole, ending: _place(word, whole)
-        return held["class"], held["place"]
+    def of_words(model, word, n):
+        # the same function for all batches of a task, so that words are looked up once
+        def looked_up(whole, ending):
+            """Class, whether at hand, and what each place of the word adds to base and score."""
+            unit_class = model.class_of[model.units.of(whole, ending)]
+            at = _place(word, whole)
+            here = at >= 0
+            out = np.zeros((len(whole), 4))
+            out[:, 0], out[:, 1] = unit_class, here
+            c = n[at[here]].astype(float)
+            out[here, 2] = np.log10(c + BASE_ADD)
+            out[here, 3] = np.log10(c) + model.known[unit_class[here]]
+            return out
+
+        return held.setdefault("words", looked_up)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         model, word, n = shared.value
-        units, class_of = model.units, model.class_of
-        class_of_word, place_of_word = functions(units, class_of, word)
-        end_class = class_of[units.end]
-        ends = model.ends
-        out = {k: [] for k in ("tokens", "known", "base", "score")}
-        rare_offsets, rare_words, rare_classes = [0], [], []
-        for text in batch.column(1).to_pylist():
-            numbers = _WORDS.numbers(text)
-            unit_class = _WORDS.values(class_of_word, numbers)
-            path = np.concatenate([[end_class], unit_class, [end_class]])
-            at = _WORDS.values(place_of_word, numbers)
-            here = at >= 0
-            c = n[at[here]].astype(float)
-            logs = np.log10(c).sum()
-            base = np.log10(c + BASE_ADD).sum() + np.log10(ends + BASE_ADD) - (len(numbers) + 1) * model.base_unit
-            score = model.step[path[:-1], path[1:]].sum() + model.known[unit_class[here]].sum() + logs
-            out["tokens"].append(len(numbers) + 1)
-            out["known"].append(int(here.sum()) + (ends > 0))
-            out["base"].append(float(base))
-            out["score"].append(float(score))
-            rare_words.append(_WORDS.whole[numbers[~here]])
-            rare_classes.append(unit_class[~here])
-            rare_offsets.append(rare_offsets[-1] + len(rare_words[-1]))
-        offsets = pa.array(np.array(rare_offsets, np.int32))
+        looked_up = of_words(model, word, n)
+        end_class, ends = model.class_of[model.units.end], model.ends
+        out = {k: [np.empty(0)] for k in ("tokens", "known", "base", "score")}
+        rare_counts, rare_words, rare_classes = [np.zeros(1, np.int64)], [], []
+        for texts in groups(batch.column(1)):
+            numbers, counts = _WORDS.numbers(texts)
+            found = _WORDS.values(looked_up, numbers)
+            unit_class = found[:, 0].astype(np.int64)
+            # each text's words and behind them its end
+            behind = np.cumsum(counts)
+            first = np.r_[0, behind[:-1]] + np.arange(len(counts))
+            path = np.insert(unit_class, behind, end_class)
+            steps = model.step[np.r_[end_class, path[:-1]], path]
+            here, base, logs = (np.add.reduceat(np.insert(found[:, k], behind, 0.0), first) for k in (1, 2, 3))
+            out["tokens"].append(counts + 1)
+            out["known"].append(here + (ends > 0))
+            out["base"].append(base + np.log10(ends + BASE_ADD) - (counts + 1) * model.base_unit)
+            out["score"].append(np.add.reduceat(steps, first) + logs)
+            rare = found[:, 1] == 0
+            rare_counts.append(counts - here.astype(np.int64))
+            rare_words.append(_WORDS.whole[numbers[rare]])
+            rare_classes.append(unit_class[rare])
+        out = {k: np.concatenate(x) for k, x in out.items()}
+        rare_offsets = np.cumsum(np.concatenate(rare_counts))
+        offsets = pa.array(rare_offsets.astype(np.int32))
         lists = [
             pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int64), *x]).astype(t)))
             for x, t in ((rare_words, np.int64), (rare_classes, np.int32))
@@ -419,10 +461,10 @@ def score_texts(
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
-                pa.array(out["tokens"], pa.int64()),
-                pa.array(out["known"], pa.int64()),
-                pa.array(out["base"], pa.float64()),
-                pa.array(out["score"], pa.float64()),
+                pa.array(out["tokens"].astype(np.int64)),
+                pa.array(out["known"].astype(np.int64)),
+                pa.array(out["base"]),
+                pa.array(out["score"]),
                 *lists,
             ],
             names=["_id", "n_tokens", "n_known", "base", "score", "rare", "rare_class"],
