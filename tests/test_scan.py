@@ -5,9 +5,11 @@ import pytest
 import samples
 from pyspark.sql import functions as F
 
+import veilwork.operators.dictionary as dictionary
 from veilwork import EntityRule, Policy, mask, scan, scan_and_mask
 from veilwork.constants import REGEX_TYPES
 from veilwork.operators.detect import detect, explode_detections, remove_overlaps
+from veilwork.session import materialized
 
 FIELDS = ["doc_id", "entity_type", "start", "end", "text", "confidence"]
 
@@ -161,3 +163,26 @@ def test_unknown_strategy_fails_before_any_job():
         Policy(default_strategy="zip")
     with pytest.raises(ValueError, match="known are redact"):
         Policy(entity_rules={"EMAIL": EntityRule(strategy="zip")})
+
+
+def test_stored_texts_hold_what_was_found_once(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(dictionary, "materialized", lambda df: stored.append(df.columns) or materialized(df))
+    rows = [(1, "s", "mail me@corp.com or you@corp.com"), (2, "s", "nothing"), (3, "s", None)]
+    policy = Policy(default_strategy="pseudo")
+    found = scan(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), policy)
+    masked = dictionary.mask_with_pseudonyms(found, policy)
+    assert "redactions" in stored[0] and "detections" not in stored[0]
+    assert masked.columns == ["doc_id", "source", "text", "scanned", "detections", "redactions", "masked_text"]
+    before, after = ({r.doc_id: r.detections for r in df.collect()} for df in (found, masked))
+    assert before == after and len(after[1]) == 2
+
+
+def test_number_of_matches_does_not_change_their_offsets(spark):
+    line = "mail me@corp.com, call 555-123-4567"
+    rows = [(n, " ".join([line] * n)) for n in range(1, 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for r in detect(df, ("EMAIL", "PHONE_NUMBER")).collect():
+        text = dict(rows)[r.doc_id]
+        assert text[r.start : r.end] == r.text
+    assert detect(df, ("EMAIL",)).count() == 6
