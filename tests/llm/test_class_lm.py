@@ -131,3 +131,20 @@ def test_what_is_learned_of_words_is_not_copied_for_each_text():
     words.values(compute, np.array([0]))
     assert words.learned[compute][0] is held
     assert sum(asked) == len(words)
+
+
+def test_sweeps_read_packed_pairs(spark):
+    rows = spark.createDataFrame([("a b a c",), ("b a",), ("",)], "text string")
+    words = lm._count_words(rows).toPandas()
+    units = lm.Units(words["word"].to_numpy(), np.empty(0, np.int64))
+    pairs = lm._bigrams(rows, units)
+    packed = lm._packed(pairs.coalesce(1))
+    # one row for all, where each pair was a row on its way to Python
+    assert packed.count() == 1 < pairs.count()
+    class_of = np.arange(units.count)
+    table = lm._neighbours(packed, units, class_of, units.count)
+    expected = np.zeros((units.count, 2 * units.count), np.int64)
+    for r in pairs.collect():
+        expected[r["right"], r["left"]] += r["n"]
+        expected[r["left"], units.count + r["right"]] += r["n"]
+    assert (table == expected).all() and table.sum() == 2 * (6 + 3)

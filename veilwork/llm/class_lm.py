@@ -5,7 +5,7 @@ that of the word within its class.  Counts of words cover the whole training tex
 is clustered is a bounded number of units: the most frequent words one by one, all others
 by their last letters.  Every word belongs to a unit, every unit to a class.
 
-Pairs of neighbours are counted once.  Each sweep reads that table: tasks add up how often
+Pairs of neighbours are counted once and packed.  Each sweep reads that table: tasks add up how often
 each unit stands next to each class, and each unit then moves to the class whose neighbours
 fit its own best, until none moves or the likelihood of the class bigrams stops rising.
 """
@@ -230,9 +230,39 @@ def _bigrams(rows: DataFrame, units: Units) -> DataFrame:
     )
 
 
-def _neighbours(bigrams: DataFrame, units: Units, class_of: np.ndarray, classes: int) -> np.ndarray:
+# Pairs of units in a row of the table that the sweeps read.
+PACKED_PAIRS = 65_536
+
+
+def _packed(bigrams: DataFrame) -> DataFrame:
+    """The pairs as bytes, many to a row: ``left``, ``right`` (32 bits) and ``n`` (64 bits).
+
+    Every sweep reads all of them, and single rows take most of its time on their way to Python.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def row() -> pa.RecordBatch:
+            columns = [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3)]
+            data = [[c.astype(t).tobytes()] for c, t in zip(columns, ("<i4", "<i4", "<i8"))]
+            return pa.RecordBatch.from_arrays([pa.array(d, pa.binary()) for d in data], names=["left", "right", "n"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= PACKED_PAIRS:
+                yield row()
+                held, size = [], 0
+        if size:
+            yield row()
+
+    return bigrams.mapInArrow(run, "left binary, right binary, n binary")
+
+
+def _neighbours(packed: DataFrame, units: Units, class_of: np.ndarray, classes: int) -> np.ndarray:
     """How often each unit follows (first half) and precedes (second half) each class."""
-    spark = bigrams.sparkSession
+    spark = packed.sparkSession
     model = spark.sparkContext.broadcast((units.count, class_of))
     width = 2 * classes
 
@@ -240,9 +270,10 @@ def _neighbours(bigrams: DataFrame, units: Units, class_of: np.ndarray, classes:
         count, class_of = model.value
         table = np.zeros(count * width, np.int64)
         used = False
-        for batch in batches:
-            left, right, n = (batch.column(k).to_numpy().astype(np.int64) for k in range(3))
-            used |= len(n) > 0
+        for row in chain.from_iterable(zip(*batch.columns) for batch in batches):
+            left, right, n = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, ("<i4", "<i4", "<i8")))
+            left, right = left.astype(np.int64), right.astype(np.int64)
+            used = True
             np.add.at(table, right * width + class_of[left], n)
             np.add.at(table, left * width + classes + class_of[right], n)
         if used:
@@ -259,7 +290,7 @@ def _neighbours(bigrams: DataFrame, units: Units, class_of: np.ndarray, classes:
         return pa.table({"block": [key[0].as_py()], "table": pa.array([whole.tobytes()], pa.binary())})
 
     found = (
-        bigrams.mapInArrow(run, "block bigint, table binary")
+        packed.mapInArrow(run, "block bigint, table binary")
         .groupBy("block")
         .applyInArrow(total, "block bigint, table binary")
         .collect()
@@ -362,7 +393,7 @@ def train(rows: DataFrame, classes: int = CLASSES) -> tuple[Model, DataFrame, np
     class_of = np.zeros(units.count, np.int64)
     class_of[_place(units.words, word[top[: classes - 2]])] = np.arange(1, min(classes - 2, len(top)) + 1)
     class_of[units.end] = end_class
-    bigrams = materialized(_bigrams(rows, units))
+    bigrams = materialized(_packed(_bigrams(rows, units)))
     class_of, table = converged(
         lambda assigned: _neighbours(bigrams, units, assigned, classes), class_of, classes, units.end
     )
