@@ -148,3 +148,21 @@ def test_sweeps_read_packed_pairs(spark):
         expected[r["right"], r["left"]] += r["n"]
         expected[r["left"], units.count + r["right"]] += r["n"]
     assert (table == expected).all() and table.sum() == 2 * (6 + 3)
+
+
+def test_pairs_leave_a_task_packed_and_are_added_up_once(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PAIRS_AT_ONCE", 3)
+    rows = spark.createDataFrame([("a b a c",), ("b a b a",), ("",), ("a b",)] * 5, "text string").repartition(4)
+    words = lm._count_words(rows).toPandas()
+    units = lm.Units(words["word"].to_numpy(), np.empty(0, np.int64))
+    packed = lm._packed_bigrams(rows, units)
+    assert dict(packed.dtypes) == {"left": "binary", "right": "binary", "n": "binary"}
+    # no row of the shuffle is a pair: nothing is added up by Spark, pair by pair
+    assert "HashAggregate" not in packed._jdf.queryExecution().toString()
+    found = [(r["left"], r["right"], r["n"]) for r in lm._bigrams(rows, units).collect()]
+    number = dict(zip(words["word"], units.of(words["word"].to_numpy(), words["ending"].to_numpy())))
+    a, b, c = (int(number[lm.Words().hashes(w)[0][0]]) for w in "abc")
+    e = units.end
+    assert sorted(found) == sorted(
+        [(e, a, 10), (a, b, 15), (b, a, 15), (a, c, 5), (c, e, 5), (e, b, 5), (a, e, 5), (b, e, 5), (e, e, 5)]
+    )

@@ -191,9 +191,37 @@ def _most_frequent(counts: DataFrame, key: str, most: int) -> pa.Table:
     return counts.where(F.col("n") >= least).select(key, "n").toArrow()
 
 
-def _bigrams(rows: DataFrame, units: Units) -> DataFrame:
-    """left, right (unit numbers) and n of all pairs of neighbours; each task adds up its own first."""
+# Parts in which pairs of units are added up, by the left unit; the model bounds what one can hold.
+PAIR_PARTS = 256
+# Pairs that a task sorts at once.
+PAIRS_AT_ONCE = 4_000_000
+
+
+def summed_pairs(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs in order, and the sum of each one's numbers."""
+    order = np.argsort(pair, kind="stable")
+    pair, n = pair[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    return pair[first], np.add.reduceat(n, first)
+
+
+_PACKED = "left binary, right binary, n binary"
+
+
+def _packed_row(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Pairs as the bytes of one row: ``left``, ``right`` (32 bits) and ``n`` (64 bits)."""
+    data = [[c.astype(t).tobytes()] for c, t in zip((left, right, n), ("<i4", "<i4", "<i8"))]
+    return pa.RecordBatch.from_arrays([pa.array(d, pa.binary()) for d in data], names=["left", "right", "n"])
+
+
+def _packed_bigrams(rows: DataFrame, units: Units) -> DataFrame:
+    """All pairs of neighbours and their numbers, packed; each pair stands in one row only.
+
+    Each task adds up its own pairs first and sends them as bytes, a row for each part of the left units:
+    a task's pairs are different ones, and as single rows their way takes longer than all counting.
+    """
     model = rows.sparkSession.sparkContext.broadcast(units)
+    count, width = units.count, -(-units.count // PAIR_PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = model.value
@@ -202,11 +230,14 @@ def _bigrams(rows: DataFrame, units: Units) -> DataFrame:
         def counted(sequence: list[np.ndarray]) -> pa.RecordBatch:
             # texts one after another, an end before, between and behind them
             joined = np.concatenate(sequence)
-            pair, n = np.unique(joined[:-1] * units.count + joined[1:], return_counts=True)
-            left, right = np.divmod(pair, units.count)
+            pair, n = np.unique(joined[:-1] * count + joined[1:], return_counts=True)
+            part = pair // (count * width)
+            parts = np.unique(part)
+            cuts = np.append(np.searchsorted(part, parts), len(part))
+            data = [[x[i:j].astype("<i8").tobytes() for i, j in zip(cuts, cuts[1:])] for x in (pair, n)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(n.astype(np.int64))],
-                names=["left", "right", "n"],
+                [pa.array(parts.astype(np.int32)), *(pa.array(d, pa.binary()) for d in data)],
+                names=["part", "pair", "n"],
             )
 
         sequence, size = [end], 1
@@ -216,37 +247,66 @@ def _bigrams(rows: DataFrame, units: Units) -> DataFrame:
                 # an end behind each text
                 sequence.append(np.insert(_WORDS.values(unit_of, numbers), np.cumsum(counts), end[0]))
                 size += len(sequence[-1])
-                if size > 4_000_000:
+                if size > PAIRS_AT_ONCE:
                     yield counted(sequence)
                     sequence, size = [end], 1
         if len(sequence) > 1:
             yield counted(sequence)
 
-    return (
-        rows.select("text")
-        .mapInArrow(run, "left int, right int, n bigint")
-        .groupBy("left", "right")
-        .agg(F.sum("n").alias("n"))
-    )
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of whole parts, one part after another; what waits is added up whenever it has doubled."""
+        part, held, size, least = None, [], 0, PAIRS_AT_ONCE
 
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            return summed_pairs(*(np.concatenate([h[k] for h in held]) for k in range(2)))
 
-# Pairs of units in a row of the table that the sweeps read.
+        def row() -> pa.RecordBatch:
+            pair, n = added()
+            return _packed_row(*np.divmod(pair, count), n)
+
+        for batch in batches:
+            for number, *data in zip(*batch.columns):
+                if held and number.as_py() != part:
+                    yield row()
+                    held, size, least = [], 0, PAIRS_AT_ONCE
+                part = number.as_py()
+                # a copy: the batch goes
+                held.append([np.frombuffer(x.as_buffer(), "<i8").copy() for x in data])
+                size += len(held[-1][0])
+                if size > least:
+                    held = [added()]
+                    size = len(held[0][0])
+                    least = max(PAIRS_AT_ONCE, 2 * size)
+        if held:
+            yield row()
+
+    sent = rows.select("text").mapInArrow(run, "part int, pair binary, n binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(total, _PACKED)
+
+
+def _bigrams(rows: DataFrame, units: Units) -> DataFrame:
+    """left, right (unit numbers) and n of all pairs of neighbours, a row each."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data = [b"".join(c.to_pylist()) for c in batch.columns]
+        arrays = [pa.array(np.frombuffer(d, t)) for d, t in zip(data, ("<i4", "<i4", "<i8"))]
+        return pa.RecordBatch.from_arrays(arrays, names=["left", "right", "n"])
+
+    return map_rows(_packed_bigrams(rows, units), run, "left int, right int, n bigint")
+
+
+# Pairs of units in a row that is packed of single ones.
 PACKED_PAIRS = 65_536
 
 
 def _packed(bigrams: DataFrame) -> DataFrame:
-    """The pairs as bytes, many to a row: ``left``, ``right`` (32 bits) and ``n`` (64 bits).
-
-    Every sweep reads all of them, and single rows take most of its time on their way to Python.
-    """
+    """Rows of single pairs packed, many to a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def row() -> pa.RecordBatch:
-            columns = [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3)]
-            data = [[c.astype(t).tobytes()] for c, t in zip(columns, ("<i4", "<i4", "<i8"))]
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.binary()) for d in data], names=["left", "right", "n"])
+            return _packed_row(*(np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3)))
 
         for batch in batches:
             held.append(batch)
@@ -257,7 +317,7 @@ def _packed(bigrams: DataFrame) -> DataFrame:
         if size:
             yield row()
 
-    return bigrams.mapInArrow(run, "left binary, right binary, n binary")
+    return bigrams.mapInArrow(run, _PACKED)
 
 
 def _neighbours(packed: DataFrame, units: Units, class_of: np.ndarray, classes: int) -> np.ndarray:
@@ -393,7 +453,7 @@ def train(rows: DataFrame, classes: int = CLASSES) -> tuple[Model, DataFrame, np
     class_of = np.zeros(units.count, np.int64)
     class_of[_place(units.words, word[top[: classes - 2]])] = np.arange(1, min(classes - 2, len(top)) + 1)
     class_of[units.end] = end_class
-    bigrams = materialized(_packed(_bigrams(rows, units)))
+    bigrams = materialized(_packed_bigrams(rows, units))
     class_of, table = converged(
         lambda assigned: _neighbours(bigrams, units, assigned, classes), class_of, classes, units.end
     )
