@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.llm.base import join_balanced, map_rows, min_labels, rows_with, whole_text
+from veilwork.llm.base import join_balanced, map_batches, map_rows, min_labels, rows_with, whole_text
 from veilwork.llm.ngram_join import pairs_in_lists
 from veilwork.llm.words import mixed
 from veilwork.session import materialized
@@ -34,6 +34,8 @@ ROUNDS = 2
 _LAST_ID = (1 << 63) - 1
 # Characters that are hashed at once: what is made of them stays near the processor.
 _CHUNK = 1 << 16
+# White space below U+0100 that is neither a space nor ends a line here.
+_ODD_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 
 def plain(line: str) -> str:
@@ -41,6 +43,20 @@ def plain(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def plain_lines(text: str) -> list[str]:
+    """``plain`` of each line; most texts have single spaces only, which one look at the whole text tells."""
+    lowered = text.lower()
+    try:
+        lowered.encode("latin-1")
+        odd = any(c in lowered for c in _ODD_SPACE)
+    except UnicodeEncodeError:
+        odd = True
+    if odd:
+        return [" ".join(line.split()) for line in lowered.split("\n")]
+    lines = [line.strip(" ") for line in lowered.split("\n")]
+    return [" ".join(line.split()) if "  " in line else line for line in lines] if "  " in lowered else lines
+
+
 def shingle_set(line: str, size: int) -> set[str]:
     return {line[k : k + size] for k in range(max(1, len(line) - size + 1))}
 
@@ -74,10 +90,11 @@ def _shingle_hashes(lines: list[str], size: int) -> Iterator[tuple[int, int, np.
             right = first[step:] if h is text else mixed(h[step:])
             h = h[: len(h) - step] * np.uint64(0x9E3779B97F4A7C15) + right
             width += step
-        ends = np.cumsum(lengths)
-        of_line = np.repeat(np.arange(len(padded)), lengths)[: len(h)]
-        inside = np.arange(len(h)) <= ends[of_line] - size
-        yield start, end, mixed(h[inside]), of_line[inside]
+        # the last size - 1 places of a line begin no shingle
+        inside = np.ones(len(codes), bool)
+        inside[(np.cumsum(lengths)[:, None] - np.arange(1, size)).ravel()] = False
+        of_line = np.repeat(np.arange(len(padded)), lengths - (size - 1))
+        yield start, end, mixed(h[inside[: len(h)]]), of_line
         start = end
 
 
@@ -91,15 +108,13 @@ def least_hashes(lines: list[str], size: int, bins: int) -> np.ndarray:
         np.minimum.at(least, of_line * bins + (h - rank * np.uint64(bins)).astype(np.int64), rank)
         least = least.reshape(-1, bins)
         empty = least == none
-        filled = least.copy()
-        for k in range(1, bins):
-            if not empty.any():
-                break
-            near = np.roll(least, -k, axis=1)
-            use = empty & (near != none)
-            filled[use] = mixed(near[use] + np.uint64(k))
-            empty &= ~use
-        out[start:end] = filled
+        # how far the next bin that is not empty stands, going round
+        far = np.where(empty, np.int64(2 * bins), np.arange(bins))
+        far = np.concatenate([far, far + bins], axis=1)[:, ::-1]
+        row, column = np.nonzero(empty)
+        next_full = np.minimum.accumulate(far, axis=1)[:, ::-1][row, column]
+        least[row, column] = mixed(least[row, next_full % bins] + (next_full - column).astype(np.uint64))
+        out[start:end] = least
     return out
 
 
@@ -157,43 +172,64 @@ def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def _signed_lines(rows: DataFrame, least_chars: int, size: int, bands: int, per_band: int) -> DataFrame:
-    """Every line that counts: digest, id, key, line (its number), and its bands where first in a batch.
+    """Every line that counts: digest, id, key, line (its number); n and bands where it is the first of its equals.
 
+    Of equal lines in a batch the first place has their number ``n`` and their bands, all others have nulls.
     A line shorter than a shingle is like no other: it has no bands, only its digest.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: dict[str, int] = {}
-        first: list[bool] = []
-        digests, of_place = [], []
+        digests, of_place, least, counts = [], [], [], []
         docs, keys, numbers = [], [], []
-        for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
-            for number, line in enumerate(text.split("\n")):
-                line = plain(line)
+        for doc, key, text in zip(*batch.columns):
+            doc, key = doc.as_py(), key.as_py()
+            for number, line in enumerate(plain_lines(text.as_py())):
                 if len(line) < least_chars:
                     continue
                 at = seen.setdefault(line, len(seen))
-                first.append(at == len(digests))
-                if first[-1]:
+                if at == len(digests):
                     digests.append(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")))
+                    least.append(len(docs))
+                    counts.append(1)
+                else:
+                    counts[at] += 1
+                    k = least[at]
+                    if (doc, key, number) < (docs[k], keys[k], numbers[k]):
+                        least[at] = len(docs)
                 of_place.append(at)
                 docs.append(doc)
                 keys.append(key)
                 numbers.append(number)
         lines = list(seen)
         signed = [k.tobytes() if len(x) >= size else b"" for x, k in zip(lines, signatures(lines, size, bands, per_band))]
+        n, signs = [None] * len(docs), [None] * len(docs)
+        for k, count, sign in zip(least, counts, signed):
+            n[k], signs[k] = count, sign
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(digests, pa.binary()).take(pa.array(of_place, pa.int64())),
                 pa.array(docs, pa.int64()),
                 pa.array(keys, pa.int64()),
                 pa.array(numbers, pa.int32()),
-                pa.array([signed[at] if new else None for at, new in zip(of_place, first)], pa.binary()),
+                pa.array(n, pa.int64()),
+                pa.array(signs, pa.binary()),
             ],
-            names=["digest", "id", "key", "line", "bands"],
+            names=["digest", "id", "key", "line", "n", "bands"],
         )
 
-    return map_rows(rows, run, "digest binary, id bigint, key bigint, line int, bands binary")
+    return map_rows(rows, run, "digest binary, id bigint, key bigint, line int, n bigint, bands binary")
+
+
+def _classes(signed: DataFrame) -> DataFrame:
+    """One row per different line: digest, n (places), bands, its first place and a number ``node``.
+
+    A task has each line once already, so the rows are dealt out as they are and sorted once.
+    """
+    grouped = signed.where("n IS NOT NULL").repartition("digest").groupBy("digest").agg(
+        F.min(F.struct("id", "key", "line")).alias("at"), F.first("bands").alias("bands"), F.sum("n").alias("n")
+    )
+    return grouped.select("digest", "bands", "at.*", "n").withColumn("node", F.monotonically_increasing_id())
 
 
 def _index(classes: DataFrame) -> DataFrame:
@@ -203,19 +239,34 @@ def _index(classes: DataFrame) -> DataFrame:
         keys = batch.column(1).to_pylist()
         grams = np.frombuffer(b"".join(keys), np.int64)
         nodes = np.repeat(batch.column(0).to_numpy(), [len(k) // 8 for k in keys])
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(grams)], names=["id", "gram"])
+        return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(nodes)], names=["gram", "id"])
 
-    exploded = map_rows(classes.select("node", "bands"), run, "id bigint, gram bigint")
-    shared = exploded.withColumn("lines", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("lines > 1")
-    return shared.select("gram", "id")
+    exploded = map_rows(classes.select("node", "bands"), run, "gram bigint, id bigint")
+    ordered = exploded.repartition("gram").sortWithinPartitions("gram")
+    return map_batches(ordered, shared_grams, "gram bigint, id bigint")
 
 
-def _candidates(rows: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+def shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (gram, id) in order of gram those that are not alone with it."""
+    last, sent = [np.empty(0, np.int64)] * 2, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # the row before stands in front: whether it is alone is known only now
+        grams, ids = (np.concatenate([x, c.to_numpy()]) for x, c in zip(last, batch.columns))
+        same = np.concatenate([[False], grams[1:] == grams[:-1], [False]])
+        several = same[1:] | same[:-1]
+        last, repeated = [grams[-1:], ids[-1:]], several[-1]
+        if sent:
+            several[0] = False
+        sent = repeated
+        yield pa.RecordBatch.from_arrays([pa.array(grams[several]), pa.array(ids[several])], names=["gram", "id"])
+
+
+def _candidates(rows: DataFrame, banded: DataFrame, size: int) -> DataFrame:
     """Text and sketch of the lines that share a band with another."""
     wanted = materialized(
-        classes.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
-        .groupBy("id", "key")
-        .agg(F.collect_list(F.struct("line", "node")).alias("lines"))
+        banded.groupBy("id", "key").agg(F.collect_list(F.struct("line", "node")).alias("lines"))
     )
     keys = materialized(wanted.select("key").distinct())
 
@@ -383,18 +434,14 @@ def deduplicate_lines(
     """
     rows = _documents(docs, id_column, text_column)
     signed = materialized(_signed_lines(rows, least_chars, shingle, bands, rows_per_band))
-    lines = signed.drop("bands")
-    grouped = signed.groupBy("digest").agg(
-        F.min(F.struct("id", "key", "line")).alias("at"),
-        F.first("bands", ignorenulls=True).alias("bands"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    classes = materialized(
-        grouped.select("digest", "bands", "at.*", "n").withColumn("node", F.monotonically_increasing_id())
-    )
+    lines = signed.select("digest", "id", "key", "line")
+    classes = materialized(_classes(signed))
     index = materialized(_index(classes))
     nodes = materialized(index.select("id").distinct())
-    known = _candidates(rows, classes, nodes, shingle)
+    # what shares no band is like its equals only, and most lines are of that kind
+    of_nodes = nodes.select(F.col("id").alias("node"))
+    banded = materialized(rows_with(classes.drop("bands"), of_nodes, "node"))
+    known = _candidates(rows, banded, shingle)
     near = _pairs(_with_sketches(index, known), _near_neighbours(similarity), "sketch")
     links = materialized(_similar(known, materialized(near), shingle, similarity))
     labels = materialized(min_labels(nodes, links))
@@ -412,12 +459,12 @@ def deduplicate_lines(
         if best:
             open_bands = materialized(_open_bands(materialized(_renamed(open_bands, merged))))
     place = F.struct("id", "key", "line")
-    member = classes.join(
-        labels.select(F.col("id").alias("node"), "component"), "node", "left"
-    ).withColumn("component", F.coalesce("component", "node"))
+    member = materialized(banded.join(labels.select(F.col("id").alias("node"), "component"), "node"))
     stays = member.groupBy("component").agg(F.min(place).alias("keep"), F.sum("n").alias("of"))
+    linked = member.select("digest", "n", "component").join(stays.where("of > 1"), "component")
+    alone = rows_with(classes.where("n > 1").drop("bands"), of_nodes, "node", without=True)
     doubtful = materialized(
-        member.select("digest", "n", "component").join(stays.where("of > 1"), "component").select("digest", "n", "keep")
+        linked.select("digest", "n", "keep").unionByName(alone.select("digest", "n", place.alias("keep")))
     )
     gone = join_balanced(lines, doubtful, ["digest"], "n", lines.count()).where(place != F.col("keep"))
     removed = materialized(gone.groupBy("id", "key").agg(F.collect_set("line").alias("_gone")))
@@ -436,11 +483,12 @@ def deduplicate_lines(
     )
     same = rows_with(tagged, keys, "_key", without=True).withColumn("_gone", F.lit(None).cast("array<int>"))
     parts = F.split(text, "\n", -1)
+    ends = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     is_gone = F.size(F.coalesce("_gone", F.array().cast("array<int>")))
     kept = F.array_join(F.filter(parts, lambda x, k: ~F.array_contains(F.col("_gone"), k)), "\n")
     return changed.unionByName(same, allowMissingColumns=True).select(
         *[F.col(f"`{c}`") for c in others],
         F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(text_column),
-        F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(parts)).alias(f"{mark}n_lines"),
+        F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(ends + 1).alias(f"{mark}n_lines"),
         is_gone.alias(f"{mark}n_removed"),
     )
